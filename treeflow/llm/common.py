@@ -112,3 +112,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_crc(col: str = "doc_id"):
     """crc32 of the decimal text of an id, the basis of every held-out split."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+#: Rows of the bitmap below; 64 bits each.
+_BITMAP_ROWS = 1 << 16
+
+
+def prefiltered(df: DataFrame, key: str, among: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in the first column of ``among``, without a shuffle.
+
+    A bitmap of hashed keys of at most 65,536 rows (1 MB, whatever the input) is broadcast. It lets
+    some other rows pass, more of them the more keys there are, so a join has to follow.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(7)), F.lit(_BITMAP_ROWS * 64))
+    name = among.columns[0]
+    bits = among.select(place(name).alias("place")).groupBy((F.col("place") / 64).cast("long").alias("_word"))
+    bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("_bits"))
+    at = place(key)
+    return (
+        df.withColumn("_place", at)
+        .join(F.broadcast(bits), F.expr("cast(_place / 64 as long)") == F.col("_word"))
+        .filter(F.expr("getbit(_bits, cast(_place % 64 as int)) = 1"))
+        .select(*df.columns)
+    )
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of an undirected edge list: rows (node, component = smallest node).
+
+    Alternating large-star and small-star rounds; every round is two pre-aggregated minima and joins,
+    written to the shared folder. Only nodes with an edge appear.
+    """
+    spark = links.sparkSession
+    edges = written(
+        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges"
+    )
+    seen = None
+    while True:
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.filter("u <> v").distinct(), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(low, "u")
+        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(star.select("u", F.col("m").alias("v")))
+        small = written(small.filter("u <> v").distinct(), "edges")
+        drop(spark, edges, large)
+        edges = small
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,6 +8,10 @@ import importlib
 OPERATORS = {
     "op1_suffix_decontamination": "op1_decontaminate",
     "op2_token_efficiency_secrets": "op2_secrets",
+    "op3_indexed_warc": "op3_warc",
+    "op4_sketch_near_dedup": "op4_near_dedup",
+    "op5_prefix_token_counts": "op5_token_counts",
+    "op9_hierarchical_packing": "op9_packing",
 }
 
 
