@@ -11,12 +11,17 @@ OPERATORS = {
     "op3_indexed_warc": "op3_warc",
     "op4_sketch_near_dedup": "op4_near_dedup",
     "op5_prefix_token_counts": "op5_token_counts",
+    "op6_pitman_yor_scores": "op6_pitman_yor",
+    "op7_pivot_topk": "op7_pivot_topk",
+    "op8_balanced_shards": "op8_sharding",
     "op9_hierarchical_packing": "op9_packing",
+    "op10_random_indexing_quality": "op10_quality",
 }
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"treeflow.llm.{module}"), name) for name, module in OPERATORS.items()}
+    own = {name: getattr(importlib.import_module(f"treeflow.llm.{module}"), name) for name, module in OPERATORS.items()}
+    return own | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
