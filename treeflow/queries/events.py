@@ -185,3 +185,14 @@ def session_writes(spark: SparkSession, d: str) -> DataFrame:
     w = lens.chg(spark, d).filter("etype IN (1, 2)").withColumn("ts", F.col("ts").cast("timestamp"))
     out = w.groupBy("inode", F.session_window("ts", "21600001 milliseconds").alias("s")).agg(F.count("*").alias("writes"), F.sum("len").cast("long").alias("bytes"))
     return out.select("inode", F.unix_micros("s.start").alias("started_us"), "writes", "bytes")
+
+
+@query("flush_policy", f"""WITH w AS ({WRITES_SQL}), r AS (SELECT inode, seq, sum(len) OVER (PARTITION BY inode ORDER BY seq ROWS UNBOUNDED PRECEDING) AS bytes, seq - min(seq) OVER (PARTITION BY inode) AS age, inode % 3 = 0 AS busy FROM w)
+SELECT inode, seq, bytes >= 60 OR age > 4 OR NOT busy AS flush FROM r""")
+def flush_policy(spark: SparkSession, d: str) -> DataFrame:
+    """Pending writes are flushed at a byte limit, at an age, or at once while nothing else is to do."""
+    w = Window.partitionBy("inode").orderBy("seq")
+    r = lens.writes(spark, d).withColumns({
+        "bytes": F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0)), "age": F.col("seq") - F.min("seq").over(Window.partitionBy("inode")),
+    })
+    return r.select("inode", "seq", ((F.col("bytes") >= 60) | (F.col("age") > 4) | (F.col("inode") % 3 != 0)).alias("flush"))

@@ -10,6 +10,7 @@ from treeflow.lens import SRC_SQL, TARGETS_SQL, TREES
 from treeflow.operators import diff, filters
 from treeflow.plans import strategy
 from treeflow.registry import query
+from treeflow.shared import scratch
 
 
 @query("tree_verify", TREES + """, f AS (
@@ -353,3 +354,28 @@ def memory_share(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_type").alias("label"), "event_id", (F.floor(F.col("value") * 1000).cast("long") % 5000).alias("pending")
     )
     return strategy.storm_label(p, "event_id", 2000).select("event_id", "pending", "share")
+
+
+@query("merged_counters", _PLAN + """ SELECT target, sum(CASE WHEN method = 'reflink' THEN 1 ELSE 0 END)::BIGINT AS reflinked, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM plan GROUP BY ROLLUP (target)""")
+def merged_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of each target and their merged total (target null)."""
+    return _plan(spark, d).rollup("target").agg(
+        F.count_if(F.col("method") == "reflink").alias("reflinked"), F.sum("size").cast("long").alias("bytes"), F.count("*").alias("files")
+    )
+
+
+@query("internal_excludes", """SELECT p FROM (VALUES ('.treeflow*'), ('*.tmp.*'), ('*.swap_tmp'), ('*.log')) v(p)""")
+def internal_excludes(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's own patterns joined to the user's, each once."""
+    own = [filters.INTERNAL_PREFIX + "*", f"*{filters.INTERNAL_PART}*", "*" + filters.INTERNAL_SUFFIX]
+    arrays = spark.createDataFrame([(own, ["*.log", "*.swap_tmp"])], "own array<string>, users array<string>")
+    return arrays.select(F.explode(F.array_union("own", "users")).alias("p"))
+
+
+@query("signature_store", f"""WITH src AS ({SRC_SQL}) SELECT rel, size, mtime_sec, mtime_nsec, sha256(content) AS hash, CAST(4 AS INTEGER) AS version FROM src WHERE size >= 2048""")
+def signature_store(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures kept as a table keyed by path, partitioned by version, and read back."""
+    path = scratch(spark, "signatures")
+    t = lens.src_tree(spark, d).filter("size >= 2048")
+    t.select("rel", "size", "mtime_sec", "mtime_nsec", F.sha2("content", 256).alias("hash"), F.lit(4).alias("version")).write.partitionBy("version").parquet(path)
+    return spark.read.parquet(path).select("rel", "size", "mtime_sec", "mtime_nsec", "hash", "version")
