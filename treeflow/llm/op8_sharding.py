@@ -1,10 +1,11 @@
 """Balanced label propagation: linked documents move to their neighbours' shards under quotas.
 
-Documents with equal texts are linked. Every round joins each linked document to the shard, among those
-with room, that holds most of its group, and moves there as many as the shard's quota admits: whole
-groups drawn by a hash while they are small, single documents of groups that a shard can't hold. Then
-the law is enforced exactly: each shard keeps its capacity, linked documents first, and what is over fills
-the free places, group by group.
+Documents with equal texts are linked. Every round joins each linked document to the shard that holds
+most of its group (and isn't full of it). How many want to go from each shard to each other is a small
+table; quotas are the largest shares of these flows, found by scaling, with which what comes into a
+shard is at most what leaves it and its room. Movers are drawn by a hash: whole groups while they are
+small, single documents of groups that a shard can't hold. Then the law is enforced exactly: each shard
+keeps its capacity, linked documents first, and what is over fills the free places, group by group.
 
 Ranks are never taken in one task: rows are ranked within (shard, slice of a hash order), and the number
 of rows in earlier slices, a table of bounded size, is added.
@@ -12,6 +13,7 @@ of rows in earlier slices, a table of bounded size, is added.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,34 +66,44 @@ def _by_shard(values: list[int], shard: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.col(shard) + 1)
 
 
+def quotas(flow: np.ndarray, room: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Shares of the flows between shards: no shard takes in more than leaves it plus its room."""
+    share = np.ones_like(flow, dtype=float)
+    for _ in range(rounds):
+        into, out = (share * flow).sum(axis=0), (share * flow).sum(axis=1)
+        over = into > out + room + 1e-9
+        if not over.any():
+            break
+        share[:, over] *= ((out + room)[over] / into[over]).clip(0, 1)
+    return share
+
+
 def propagated(linked: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
-    """Rounds of moves of (doc_id, gid, members, shard, ...) rows; loads stay within the capacities."""
+    """Rounds of moves of (doc_id, gid, members, shard, ...) rows; loads stay about within the capacities."""
     spark, shards = linked.sparkSession, len(capacity)
+    # Equal counts are told apart by a hash, so that no shard is favoured.
+    weight = lambda n, shard: F.struct(F.col(n).alias("n"), F.xxhash64("gid", shard).alias("o"), F.col(shard).alias("s"))
     for k in range(rounds):
-        held = linked.groupBy("gid", "shard").agg(F.count("*").alias("here"))
+        held = linked.groupBy("gid", "shard").agg(F.count("*").alias("here")).withColumn("own", weight("here", "shard"))
         load = dict.fromkeys(range(shards), 0) | dict(held.groupBy("shard").agg(F.sum("here")).collect())
-        room = [max(0, capacity[s] - load[s]) for s in range(shards)]
-        open_ = held.filter(_by_shard([int(r > 0) for r in room], "shard") == 1)
-        best = open_.groupBy("gid").agg(F.max(F.struct("here", (-F.col("shard")).alias("s"))).alias("best"))
-        moves = linked.join(best.select("gid", "best.here", (-F.col("best.s")).alias("to")), "gid", "left")
-        # Towards a shard with more of the group than the own one, ties to the smaller shard.
-        own = held.select("gid", "shard", F.col("here").alias("own"))
-        moves = moves.join(own, ["gid", "shard"])
-        moves = moves.withColumn(
-            "wants", F.coalesce((F.col("here") > F.col("own")) | ((F.col("here") == F.col("own")) & (F.col("to") < F.col("shard"))), F.lit(False))
-        )
-        flow = dict.fromkeys(range(shards), 0) | dict(moves.filter("wants").groupBy("to").agg(F.count("*")).collect())
-        if not any(flow.values()):
+        best = held.filter(F.col("here") < _by_shard(capacity, "shard")).groupBy("gid").agg(F.max("own").alias("best"))
+        # Towards a shard with more of the group than the own one.
+        wishes = held.join(best, "gid").filter(F.col("best") > F.col("own")).select("gid", "shard", F.col("best.s").alias("to"), "here")
+        wishes = written(wishes, "wishes")
+        flow = np.zeros((shards, shards))
+        for s, t, n in wishes.groupBy("shard", "to").agg(F.sum("here")).collect():  # one row a pair of shards
+            flow[s, t] = n
+        if not flow.any():
             break
-        admitted = [min(1.0, 0.98 * room[s] / flow[s]) if flow[s] > room[s] else 1.0 for s in range(shards)]
+        share = quotas(flow, np.array([max(0, capacity[s] - load[s]) for s in range(shards)]))
+        moves = linked.join(wishes.drop("here"), ["gid", "shard"], "left")
         large = F.col("members") > LARGE * min(capacity)
-        draw = F.when(large, _unit("doc_id", F.lit(k))).otherwise(_unit("gid", F.lit(k)))
-        goes = F.col("wants") & (draw < F.element_at(F.array(*map(F.lit, admitted)), F.col("to") + 1))
-        moved = written(
-            moves.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard")).cast("int")).select(*linked.columns), "shards"
-        )
-        drop(spark, linked)
-        linked = moved
+        draw = F.when(large, _unit("doc_id", "gid", F.lit(k))).otherwise(_unit("gid", F.lit(k)))
+        admitted = F.element_at(F.array(*map(F.lit, share.ravel().tolist())), F.col("shard") * shards + F.col("to") + 1)
+        moved = F.when(F.col("to").isNotNull() & (draw < admitted), F.col("to")).otherwise(F.col("shard"))
+        after = written(moves.withColumn("shard", moved.cast("int")).select(*linked.columns), "shards")
+        drop(spark, linked, wishes)
+        linked = after
     return linked
 
 
@@ -102,7 +114,6 @@ def sharded(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
     null text has 8 bytes of size and is taken for an empty one; rows repeated whole are documents of
     one group; a null id is allowed. An empty table gives no rows.
     """
-    spark = documents.sparkSession
     nodes = written(nodes_of(documents), "nodes")
     n = nodes.count()
     capacity = [n // shards + (s < n % shards) for s in range(shards)]
