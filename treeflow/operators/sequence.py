@@ -10,15 +10,31 @@ DELETES = (9, 5)
 LARGE_GAP = 1000
 
 
-def _before(*partition: str, order: str):
-    return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+#: Rows of a slice of a sequence domain.
+SLICE_ROWS = 100_000
+
+
+def with_max_before(df: DataFrame, order: str, value: str, name: str, domain: str = "domain") -> DataFrame:
+    """Adds the largest ``value`` of the domain's rows that come earlier by ``order`` (null for the first).
+
+    A domain may hold all rows, so it is no window's partition: the order's range is cut into slices, the
+    window runs within a slice, and the largest value of the slices before is added from a table of
+    one row a slice.
+    """
+    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // SLICE_ROWS))))
+    sliced = df.withColumn("_slice", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    inside = F.max(value).over(Window.partitionBy(domain, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    tops = sliced.groupBy(domain, "_slice").agg(F.max(value).alias("_top"))
+    carry = F.max("_top").over(Window.partitionBy(domain).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(domain, "_slice", carry.alias("_carry"))
+    return sliced.withColumn("_inside", inside).join(tops, [domain, "_slice"]).withColumn(name, F.greatest("_inside", "_carry")).drop("_slice", "_inside", "_carry")
 
 
 def gaps(events: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Rows that arrive more than one above the highest number so far of their domain (0 at the start)."""
-    last = F.coalesce(F.max("seq").over(_before("domain", order=arrival)), F.lit(0))
-    found = events.withColumn("last", last).filter(F.col("seq") > F.col("last") + 1)
-    return found.select(
+    rows = with_max_before(events, arrival, "seq", "last").withColumn("last", F.coalesce("last", F.lit(0)))
+    return rows.filter(F.col("seq") > F.col("last") + 1).select(
         "domain", (F.col("last") + 1).alias("from_seq"), (F.col("seq") - 1).alias("to_seq"),
         (F.col("seq") - F.col("last") > LARGE_GAP).alias("large"),
     )
@@ -26,8 +42,7 @@ def gaps(events: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 def reordered(events: DataFrame) -> DataFrame:
     """Events by sequence number, with a ``GAP-from-to`` row in front of each hole; numbers are unique."""
-    before = F.lag("seq").over(Window.partitionBy("domain").orderBy("seq"))
-    rows = events.groupBy("domain", "seq").agg(F.min("etype").alias("etype")).withColumn("before", before)
+    rows = with_max_before(events.groupBy("domain", "seq").agg(F.min("etype").alias("etype")), "seq", "seq", "before")
     hole = rows.filter("seq > before + 1").select(
         "domain", (F.col("before") + 1).alias("seq"), F.lit(255).alias("etype"),
         F.format_string("GAP-%d-%d", F.col("before") + 1, F.col("seq") - 1).alias("name"),
@@ -37,7 +52,8 @@ def reordered(events: DataFrame) -> DataFrame:
 
 def late(events: DataFrame, arrival: str = "arrival") -> DataFrame:
     """All events, flagged if a higher number of their domain came before; none is dropped."""
-    return events.withColumn("late", F.coalesce(F.max("seq").over(_before("domain", order=arrival)) > F.col("seq"), F.lit(False)))
+    rows = with_max_before(events, arrival, "seq", "_last")
+    return rows.withColumn("late", F.coalesce(F.col("_last") > F.col("seq"), F.lit(False))).drop("_last")
 
 
 def transient_suppressed(events: DataFrame, drop_pair: bool = False) -> DataFrame:
@@ -68,11 +84,13 @@ def lifecycle_pruned(events: DataFrame, first: int) -> DataFrame:
 
 
 def completion_watermark(events: DataFrame) -> DataFrame:
-    """(domain, watermark): the highest number with no hole between the first one and it."""
-    w = Window.partitionBy("domain").orderBy("seq")
-    distinct = events.select("domain", "seq").distinct()
-    island = distinct.withColumns({"k": F.col("seq") - F.row_number().over(w), "start": F.min("seq").over(Window.partitionBy("domain"))})
-    return island.filter(F.col("k") == F.col("start") - 1).groupBy("domain").agg(F.max("seq").alias("watermark"))
+    """(domain, watermark): the highest number with no hole between the first one and it.
+
+    That is the number in front of the first hole, or the last one: two pre-aggregated extremes.
+    """
+    rows = with_max_before(events.select("domain", "seq").distinct(), "seq", "seq", "before")
+    hole = F.min(F.when(F.col("seq") > F.col("before") + 1, F.col("before")))
+    return rows.groupBy("domain").agg(F.coalesce(hole, F.max("seq")).alias("watermark"))
 
 
 def scan_depth(utilisation: Column, base: int) -> Column:
