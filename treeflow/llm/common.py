@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeflow.shared import drop, scratch, shared_dir, written  # noqa: F401  (used by the operators)
+
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Lower-cases A-Z and leaves every other byte (UTF-8 sequences included) alone.
 LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -65,46 +66,6 @@ def sized_batches(
             yield batch.slice(start)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the setting is absent (tests, a laptop) a local folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="treeflow-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/treeflow/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: cuts lineage, survives executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._treeflow_path = path  # for drop()
-    return out
-
-
-def drop(spark: SparkSession, *paths_or_frames) -> None:
-    """Deletes scratch paths through Hadoop's file system, wherever they are."""
-    jvm = spark.sparkContext._jvm
-    for x in paths_or_frames:
-        path = getattr(x, "_treeflow_path", x)
-        if isinstance(path, str):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,14 +4,21 @@ Sketch: rounds of hashed bin placement. In round i every shingle falls into a ha
 i + h; after t rounds the bins are taken one by one, so every one of the t coordinates is filled by a
 value, after about one pass for large sets, and equal coordinates count the similarity with
 concentration bounds. Bands of R coordinates are the keys under which documents meet; a pair at the
-threshold misses all BANDS keys with probability (1 - 0.75^R)^BANDS, below 2e-5.
+threshold misses all BANDS keys with probability (1 - 0.75^R)^BANDS, below 4e-6, and shares fewer than
+two with one below 6e-5.
 
 No step emits all pairs of a group. Documents with equal sets are one class from the start (a
-pre-aggregated minimum). A bucket is first a star around one member, twice with different centres; links
-are verified on full shingle sets and contracted to components. Only pairs that share a bucket and are
-still in different components are then compared one by one, and in buckets with many members only
-those that share a second key as well. Verification streams each centre's documents past its set, in
-salted portions, so a centre with very many members is spread over tasks.
+pre-aggregated minimum). Then come rounds of stars: every bucket that holds more than one component has
+a centre, and each member outside the centre's component is compared with one centre, the one it shares
+most buckets with; links are verified on full shingle sets and contracted. Each round compares a
+document at most once and takes another centre, so a family of copies becomes one component in a few
+rounds, however large. What is left are documents whose buckets still hold several components. Among
+them an exact filter finds all pairs that can be links: of two similar sets the first quarters, in any
+common order of shingles, share one, and the places where they do bound the overlap. The order puts
+shingles that many documents have last, so a passage that many share is in no first quarter and makes
+no pairs; only pairs of different components are compared.
+Verification streams each centre's documents past its set, in salted portions, so a centre with very
+many members is spread over tasks.
 """
 
 from __future__ import annotations
@@ -31,9 +38,12 @@ from treeflow.llm.common import components, drop, prefiltered, sized_batches, sp
 SHINGLE = 5
 #: Similarity of a link, as a fraction.
 SIMILAR = (75, 100)
-ROWS, BANDS = 6, 56
-#: Members of a bucket that are compared pair by pair under one key alone.
-CROWD = 48
+ROWS, BANDS = 6, 64
+#: Rounds of stars before pairs are compared one by one; they end early once few comparisons give links.
+STARS, WORTHWHILE = 5, 0.2
+#: Documents from which common shingles are counted, and how many of them the order knows. Both only
+#: make the filter sharper: it is exact in any order.
+ORDER_SAMPLE, ORDER_SHINGLES = 20_000, 400_000
 #: Documents that a portion of a star holds.
 PORTION = 256
 
@@ -169,8 +179,77 @@ def _with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with components, of the buckets that still hold more than one."""
     now = _with_components(members, labels)
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("crowd"))
-    return now.join(mixed.filter("lo <> hi").select("key", "crowd"), "key")
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return now.join(mixed.filter("lo <> hi").select("key"), "key")
+
+
+def _shingle_rows(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rep, component, text) of the nodes (rep, component)."""
+    texts = prefiltered(documents.select("doc_id", "text"), "doc_id", nodes.select("rep"))
+    return texts.join(nodes, texts["doc_id"] == nodes["rep"]).select("rep", "component", "text")
+
+
+def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several documents of a bounded sample have, and how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized_batches(batches, 2_000_000):
+            all_ = [s for s in shingle_sets(text_bytes(batch)) if len(s)]
+            if all_:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(all_).view(np.int64))], names=["s"])
+
+    share = min(1.0, ORDER_SAMPLE / max(1, rows.count()))
+    sample = rows.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = sample.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas()
+    s, n = found["s"].to_numpy(dtype=np.int64).view(np.uint64), found["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _first_parts(rows: DataFrame) -> DataFrame:
+    """(token, at, rep, n, component): the shingles among which similar sets share one, with their places."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(_common_shingles(rows.select("rep", "text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
+        for batch in sized_batches(batches, 1_000_000):
+            rep, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component"))
+            parts = []
+            for s in shingle_sets(text_bytes(batch)):
+                weight = np.zeros(len(s), dtype=np.int64)
+                if len(common) and len(s):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    weight = np.where(common[at] == s, often[at], 0)
+                least = -(-SIMILAR[0] * len(s) // SIMILAR[1])
+                parts.append(s[np.lexsort((s, weight))][: len(s) - least + 1])
+            k = np.array([len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate([np.arange(n) for n in k])),
+                pa.array(np.repeat(rep, k)), pa.array(np.repeat(component, k)),
+            ], names=["token", "at", "rep", "component"])
+
+    return rows.mapInArrow(run, "token long, at long, rep long, component long")
+
+
+def _possible(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b) of different components whose first parts leave room for enough overlap."""
+    # Documents outside a shingle's largest component meet all others: a large family costs its size, not its square.
+    held = tokens.groupBy("token", "component").agg(F.count("*").alias("n"))
+    main = held.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1")
+    own = tokens.join(main.select("token", F.col("m.component").alias("main")), "token").join(sizes, "rep")
+    side = lambda p: own.select("token", *(F.col(c).alias(p + c) for c in ("rep", "at", "n", "component", "main")))
+    met = side("x_").filter("x_component <> x_main").join(side("y_").drop("y_main"), "token")
+    once = (F.col("y_component") == F.col("x_main")) | (F.col("x_rep") < F.col("y_rep"))
+    met = met.filter((F.col("x_component") != F.col("y_component")) & once & _fits("x_n", "y_n"))
+    low = F.col("x_rep") < F.col("y_rep")
+    either = lambda c: (F.when(low, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(low, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
+    met = met.select(*(e.alias(f"{p}_{c}") for c in ("rep", "at", "n") for p, e in zip("xy", either(c), strict=True)))
+    pairs = met.groupBy("x_rep", "y_rep", "x_n", "y_n").agg(F.count("*").alias("c"), F.max("x_at").alias("x_at"), F.max("y_at").alias("y_at"))
+    most = F.col("c") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
+    enough = most * (SIMILAR[0] + SIMILAR[1]) >= (F.col("x_n") + F.col("y_n")) * SIMILAR[0]
+    return pairs.filter(enough).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -188,47 +267,52 @@ def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS)
         "classes",
     )
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    # The same pseudo-random order in all buckets, so that a family's buckets tend to share a centre.
-    centre = F.struct(F.xxhash64("rep").alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
-    stars = buckets.groupBy("key").agg(F.min(centre).alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = written(buckets.join(stars, "key").select("key", "rep", "n", "first"), "members")
-
-    def star(of: DataFrame, hub: str) -> DataFrame:
-        return (
-            of.filter((F.col("rep") != F.col(f"{hub}.hub")) & _fits("n", f"{hub}.hub_n"))
-            .select(F.col(f"{hub}.hub").alias("a"), F.col("rep").alias("b")).distinct()
-        )
-
-    tried = written(star(members, "first"), "pairs")
-    links = _verified(tried, documents)
-    labels = written(components(links), "labels")
-
-    def more(pairs: DataFrame):
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    members = written(buckets.join(shared, "key").select("key", "rep", "n"), "members")
+
+    def star(now: DataFrame, salt: int) -> DataFrame:
+        """(a, b): each member with the centre, of another component, that it shares most buckets with."""
+        # The same pseudo-random order in all buckets, so that a family's buckets tend to share a centre.
+        centre = F.struct(F.xxhash64("rep", F.lit(salt)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_c"))
+        centres = now.groupBy("key").agg(F.min(centre).alias("c")).select("key", "c.*")
+        near = now.join(centres, "key").filter((F.col("component") != F.col("hub_c")) & _fits("n", "hub_n"))
+        counted = near.groupBy("rep", "hub").agg(F.count("*").alias("times"), F.first("o").alias("o"))
+        return counted.groupBy("rep").agg(F.max(F.struct("times", "o", "hub"))["hub"].alias("a")).select("a", F.col("rep").alias("b"))
+
+    tried = links = None
+    labels = spark.createDataFrame([], "node long, component long")
+
+    def compare(pairs: DataFrame) -> float:
+        """Verifies pairs that weren't before; the share of them that are links."""
         nonlocal tried, links, labels
-        known_pairs = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        new = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(known_pairs, ["x", "y"], "left_anti")
-        new = written(new.select("a", "b").dropDuplicates(), "pairs")
-        found = _verified(new, documents)
-        tried, links = tried.unionAll(new), links.unionAll(found)
+        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["x", "y"], "left_anti")
+        new = written(pairs.groupBy("x", "y").agg(F.first("a").alias("a"), F.first("b").alias("b")), "pairs")
+        n = new.count()
+        if not n:
+            return 0.0
+        found = _verified(new.select("a", "b"), documents)
+        tried = new.select("x", "y") if tried is None else tried.unionAll(new.select("x", "y"))
+        links = found if links is None else links.unionAll(found)
         labels = written(components(links), "labels")
+        return found.count() / n
+
+    for salt in range(STARS):
+        mixed = written(_unresolved(members, labels), "mixed")
+        share = compare(star(mixed, salt))
+        drop(spark, mixed)
+        if share < WORTHWHILE:
+            break
 
-    # A second star, around the other end of the order, in the buckets that are still mixed.
-    mixed = _unresolved(members, labels)
-    other = F.struct(F.xxhash64("rep").alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_c"))
-    ends = mixed.groupBy("key").agg(F.max(other).alias("last"))
-    second = mixed.join(ends, "key").filter("component <> last.hub_c")
-    more(star(second, "last"))
-
-    # What is left: pairs of different components that share a bucket, and a second one in a crowd.
-    mixed = written(_unresolved(members, labels), "mixed")
-    few = mixed.filter(F.col("crowd") <= CROWD).select("key", F.lit(0).cast("long").alias("second"), "rep", "n", "component")
-    second_keys = members.select("rep", F.col("key").alias("second"))
-    crowd = mixed.filter(F.col("crowd") > CROWD).join(second_keys, "rep").filter("key < second")
-    meet = few.unionAll(crowd.select("key", "second", "rep", "n", "component"))
-    left = meet.select("key", "second", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = meet.select("key", "second", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = left.join(right, ["key", "second"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb"))
-    more(pairs.select("a", "b").distinct())
+    # What is left: pairs of different components among the documents of mixed buckets.
+    mixed = _unresolved(members, labels).select("rep", "component", "n").distinct()
+    nodes = written(mixed, "mixed")
+    texts = written(_shingle_rows(documents, nodes.select("rep", "component")), "mixed-texts")
+    tokens = written(_first_parts(texts), "first-parts")
+    drop(spark, texts)
+    compare(_possible(tokens, nodes.select("rep", "n")))
+    drop(spark, tokens)
 
     named = classes.select("print", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("print", F.coalesce("component", "rep").alias("found"))
@@ -239,7 +323,7 @@ def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS)
         .withColumn("component_id", F.coalesce("found", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     )
-    drop(spark, members, mixed)
+    drop(spark, members, nodes)
     return out
 
 

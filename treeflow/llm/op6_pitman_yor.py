@@ -2,20 +2,20 @@
 
 Restaurants: one for every context and one above them all that the context restaurants share as their
 parent; its base is uniform over the vocabulary and one unknown word. A context is the class of the
-word before (a hash into 255 classes; class 0 is the start of a text), so a frequent word's successors
+word before (a hash into 63 classes; class 0 is the start of a text), so a frequent word's successors
 have a restaurant of their own but for rare words that share the class.
 
 Everything about one word (its customers and tables in all restaurants) is one row, so sweeps read and
-write rows that need nothing but the restaurants' totals, 256 numbers, from the sweep before. A sweep
+write rows that need nothing but the restaurants' totals, 64 numbers, from the sweep before. A sweep
 seats all customers of every (word, context) anew, one after the other, given the parent's predictive
 probability, then those of the parent, which are the tables below. Draws come from a hash of word,
 context, sweep and customer, so the sample doesn't depend on how rows are dealt to tasks. Probabilities
 are averaged over the samples.
 
 Words travel as 64-bit hashes. A task sums its counts for chunks of texts, and gets back for each chunk
-the probabilities of just the words and contexts in it; so what is shuffled is one row per distinct word
-of a chunk, there and back, and the texts themselves are never shuffled. Vocabulary and counts are never
-gathered in one place.
+the probabilities of just the words and contexts in it, in the chunk's own order; so what is shuffled is
+one row per distinct word of a chunk, there and back, and the texts themselves are never shuffled.
+Vocabulary and counts are never gathered in one place.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from treeflow.llm.common import drop, id_crc, scratch, sized_batches, space_word
 
 #: A document is held out if crc32 of its id's text leaves no remainder.
 HELD_OUT_MOD = 10
-CLASSES = 256
+CLASSES = 64
 SWEEPS, BURN = 4, 2
 #: Concentrations of the parent and of the context restaurants.
 THETA = (1.0, 1.0)
@@ -42,6 +42,10 @@ THETA = (1.0, 1.0)
 CHUNK_BYTES = 24_000_000
 #: Up to this many customers are seated one by one, more of them in growing steps.
 SINGLE = 64
+#: A row's id: task, chunk and place of the word in the chunk.
+_TASK_BITS, _CHUNK_BITS = 40, 28
+_COUNTS = np.dtype([("b", "u1"), ("n", "<u4")])
+_FINAL = np.dtype([("b", "u1"), ("p", "<f8")])
 _END = np.uint64(0x9E3779B97F4A7C15)
 _word_hash = Cache(xxhash.xxh3_64_intdigest, 400_000)
 
@@ -75,6 +79,16 @@ class Chunk:
         self.contexts = np.concatenate([[0], classes[:-1]]).astype(np.uint8) if len(classes) else classes
         self.contexts[self.begins] = 0
 
+    def cells(self):
+        """Distinct (word, context) pairs in order, as places of the sorted tokens: the order, where each
+        pair begins, where each word begins among the pairs, and how many contexts each word has."""
+        order = np.lexsort((self.contexts, self.words))
+        w, b = self.words[order], self.contexts[order]
+        cell = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (b[1:] != b[:-1])]))
+        w = w[cell]
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        return order, cell, first, np.diff(np.append(first, len(w)))
+
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Batches gathered to chunks of about ``most`` text bytes; the same rows give the same chunks."""
@@ -113,31 +127,29 @@ def _longs(column: pa.Array) -> np.ndarray:
 
 
 def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(p, chunk, w, b, n): per chunk each word, its contexts, and its training count in each."""
+    """(w, id, cells): per chunk each word, with its contexts and its training count in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         for number, group in _chunks(batches, chunk_bytes):
             chunk = Chunk([x for b in group for x in text_bytes(b)])
             train = ~np.concatenate([np.asarray(b.column("held_out").to_pylist(), dtype=bool) for b in group])
-            weight = np.repeat(train, chunk.lengths)
-            order = np.lexsort((chunk.contexts, chunk.words))
-            w, b = chunk.words[order], chunk.contexts[order]
-            cell = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (b[1:] != b[:-1])]))
-            n = np.add.reduceat(weight[order].astype(np.int64), cell)
-            w, b = w[cell], b[cell]
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            lengths = np.diff(np.append(first, len(w)))
+            order, cell, first, lengths = chunk.cells()
+            cells = np.empty(len(cell), dtype=_COUNTS)
+            cells["b"] = chunk.contexts[order[cell]]
+            cells["n"] = np.add.reduceat(np.repeat(train, chunk.lengths)[order].astype(np.int64), cell)
+            words = chunk.words[order[cell[first]]].view(np.int64)
+            base = (p << _TASK_BITS) + (number << _CHUNK_BITS)
             for at in range(0, len(first), 50_000):
                 rows = slice(at, at + 50_000)
-                cells = slice(int(first[at]), int(first[at] + lengths[rows].sum()))
+                start = int(first[at])
                 k = len(first[rows])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(k, p, dtype=np.int32)), pa.array(np.full(k, number, dtype=np.int32)),
-                    pa.array(w[first[rows]].view(np.int64)), _packed(lengths[rows], b[cells], "u1"), _packed(lengths[rows], n[cells], "<i8"),
-                ], names=["p", "chunk", "w", "b", "n"])
+                    pa.array(words[rows]), pa.array(np.arange(base + at, base + at + k, dtype=np.int64)),
+                    _packed(lengths[rows], cells[start : start + int(lengths[rows].sum())], _COUNTS),
+                ], names=["w", "id", "cells"])
 
-    return documents.mapInArrow(run, "p int, chunk int, w long, b binary, n binary")
+    return documents.mapInArrow(run, "w long, id long, cells binary")
 
 
 def _merge(w: np.ndarray, b: np.ndarray, n: np.ndarray):
@@ -173,18 +185,17 @@ def _initial(counts: DataFrame) -> DataFrame:
                 yield _state_batch(w[first], lengths, b, n, np.ones(len(w)), np.ones(k, dtype=np.int64), np.zeros(len(w)), np.empty(0), 0)
 
         for batch in batches:
-            lengths, b = _unpacked(batch.column("b"), "u1")
-            _, n = _unpacked(batch.column("n"), "<i8")
+            lengths, cells = _unpacked(batch.column("cells"), _COUNTS)
             w = np.repeat(_longs(batch.column("w")), lengths)
             if not len(w):
                 continue
-            w, b, n = _merge(*(np.concatenate(x) for x in zip(held, (w, b, n), strict=True)))
+            w, b, n = _merge(*(np.concatenate(x) for x in zip(held, (w, cells["b"], cells["n"].astype(np.int64)), strict=True)))
             last = w == w[np.argmax(w)]  # rows come by word: only the last can go on in the next batch
             held = (w[last], b[last], n[last])
             yield from rows(w[~last], b[~last], n[~last])
         yield from rows(*held)
 
-    return counts.select("w", "b", "n").repartition("w").sortWithinPartitions("w").mapInArrow(run, _STATE)
+    return counts.select("w", "cells").repartition("w").sortWithinPartitions("w").mapInArrow(run, _STATE)
 
 
 class Totals:
@@ -263,7 +274,7 @@ def seat(customers: np.ndarray, prior: np.ndarray, discount: float, salt: np.nda
     return out
 
 
-def _swept(state: DataFrame, model: Model, sweep: int, keep: bool, samples: int, draw: bool = True) -> DataFrame:
+def _swept(state: DataFrame, model: Model, sweep: int, keep: bool, samples: int) -> DataFrame:
     """One Gibbs sweep; ``keep`` first adds the given state's probabilities to the averages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,68 +293,84 @@ def _swept(state: DataFrame, model: Model, sweep: int, keep: bool, samples: int,
                 if keep:
                     acc = acc + model.of(b, c, t, spread)
                     p1 = np.hstack([p1.reshape(len(w), samples), parent[:, None]]).ravel()
-                if draw:
-                    seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
-                    hashed = w.view(np.uint64)
-                    t = seat(c, model.strength[b] * spread, model.d2, _key(np.repeat(hashed, lengths) ^ seed, b))
-                    above = np.full(len(w), model.parent_strength * model.base)
-                    tw = seat(np.add.reduceat(t, first), above, model.d1, _mix(hashed ^ seed))
+                seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
+                hashed = w.view(np.uint64)
+                t = seat(c, model.strength[b] * spread, model.d2, _key(np.repeat(hashed, lengths) ^ seed, b))
+                above = np.full(len(w), model.parent_strength * model.base)
+                tw = seat(np.add.reduceat(t, first), above, model.d1, _mix(hashed ^ seed))
                 yield _state_batch(w, lengths, b, c, t, tw, acc, p1, samples + keep)
 
     return state.mapInArrow(run, _STATE)
 
 
+def _finished(state: DataFrame, model: Model, samples: int) -> DataFrame:
+    """(w, cells, c, p1): averaged probabilities of the contexts a word was seen in, its count, and the
+    parent's probability of it in each sample, the given state being the last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tw = _longs(batch.column("tw"))
+            if not len(tw):
+                continue
+            lengths, b = _unpacked(batch.column("b"), "u1")
+            c, t = (_unpacked(batch.column(x), "<i8")[1] for x in ("c", "t"))
+            acc, p1 = (_unpacked(batch.column(x), "<f8")[1] for x in ("acc", "p1"))
+            first = np.cumsum(lengths) - lengths
+            parent = model.parent(np.add.reduceat(t, first), tw)
+            cells = np.empty(len(b), dtype=_FINAL)
+            cells["b"], cells["p"] = b, (acc + model.of(b, c, t, np.repeat(parent, lengths))) / (samples + 1)
+            p1 = np.hstack([p1.reshape(len(tw), samples), parent[:, None]]).ravel()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("w"), _packed(lengths, cells, _FINAL), pa.array(np.add.reduceat(c, first)), _packed(np.full(len(tw), samples + 1), p1, "<f8")],
+                names=["w", "cells", "c", "p1"],
+            )
+
+    return state.mapInArrow(run, "w long, cells binary, c long, p1 binary")
+
+
 def _looked_up(counts: DataFrame, final: DataFrame, models: list[Model]) -> DataFrame:
-    """(p, chunk, w, b, lp, c) for every row of the counts: log10 probability in each context of the row,
-    and the word's training count."""
+    """(id, lp, c) for every row of the counts: log10 probability in each context of the row, and the
+    word's training count."""
     weights = np.stack([m.back_off() for m in models])
     unknown = np.mean([m.back_off() * m.unknown() for m in models], axis=0)
     samples = len(models)
-    empty = F.lit(None).cast("binary")
-    rows = final.select(
-        "w", F.lit(0).alias("kind"), F.lit(-1).alias("p"), F.lit(-1).alias("chunk"), "b", "c", "acc", "p1"
-    ).unionByName(
-        counts.select("w", F.lit(1).alias("kind"), "p", "chunk", "b", empty.alias("c"), empty.alias("acc"), empty.alias("p1"))
+    rows = final.select("w", F.lit(-1).cast("long").alias("id"), "cells", "c", "p1").unionByName(
+        counts.select("w", "id", "cells", F.lit(None).cast("long").alias("c"), F.lit(None).cast("binary").alias("p1"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the model row of the last word, for rows of it in the next batch
         for batch in batches:
-            table_ = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            now = table_.to_batches(max_chunksize=max(1, table_.num_rows))[0] if table_.num_rows else None
-            if now is None:
+            now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not now.num_rows:
                 continue
-            kind, w = _longs(now.column("kind")), _longs(now.column("w"))
-            known, asked = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            ids = _longs(now.column("id"))
+            known, asked = np.flatnonzero(ids < 0), np.flatnonzero(ids >= 0)
             held = now.slice(int(known[-1]), 1) if len(known) else None
             if not len(asked):
                 continue
-            model, query = now.take(pa.array(known)), now.take(pa.array(asked))
-            q_len, q_b = _unpacked(query.column("b"), "u1")
-            q_w = _longs(query.column("w"))
+            query = now.take(pa.array(asked))
+            q_len, q_cells = _unpacked(query.column("cells"), _COUNTS)
+            q_b, q_w = q_cells["b"].astype(np.int64), _longs(query.column("w"))
             p = unknown[q_b]
             count = np.zeros(len(q_w), dtype=np.int64)
             if len(known):
+                model = now.take(pa.array(known))
                 m_w = _longs(model.column("w"))
-                m_len, m_b = _unpacked(model.column("b"), "u1")
-                m_c, m_acc = _unpacked(model.column("c"), "<i8")[1], _unpacked(model.column("acc"), "<f8")[1]
+                m_len, m_cells = _unpacked(model.column("cells"), _FINAL)
                 m_p1 = _unpacked(model.column("p1"), "<f8")[1].reshape(len(m_w), samples)
                 home = np.minimum(np.searchsorted(m_w, q_w), len(m_w) - 1)
                 has = m_w[home] == q_w
-                count = np.where(has, np.add.reduceat(m_c, np.cumsum(m_len) - m_len)[home], 0)
-                cell_home, cell_has = np.repeat(home, q_len), np.repeat(has, q_len)
-                cells = np.repeat(np.arange(len(m_w)), m_len) * CLASSES + m_b
+                count = np.where(has, _longs(model.column("c"))[home], 0)
+                cell_home = np.repeat(home, q_len)
+                places = np.repeat(np.arange(len(m_w)), m_len) * CLASSES + m_cells["b"]
                 want = cell_home * CLASSES + q_b
-                at = np.minimum(np.searchsorted(cells, want), len(cells) - 1)
-                seen = cells[at] == want
+                at = np.minimum(np.searchsorted(places, want), len(places) - 1)
                 backed = (weights[:, q_b].T * m_p1[cell_home]).mean(axis=1)
-                p = np.where(cell_has, np.where(seen, m_acc[at] / samples, backed), p)
-            yield pa.RecordBatch.from_arrays([
-                query.column("p"), query.column("chunk"), query.column("w"), _packed(q_len, q_b, "u1"),
-                _packed(q_len, np.log10(p), "<f4"), pa.array(count),
-            ], names=["p", "chunk", "w", "b", "lp", "c"])
+                p = np.where(np.repeat(has, q_len), np.where(places[at] == want, m_cells["p"][at], backed), p)
+            yield pa.RecordBatch.from_arrays([query.column("id"), _packed(q_len, np.log10(p), "<f4"), pa.array(count)], names=["id", "lp", "c"])
 
-    return rows.repartition("w").sortWithinPartitions("w", "kind").mapInArrow(run, "p int, chunk int, w long, b binary, lp binary, c long")
+    return rows.repartition("w").sortWithinPartitions("w", "id").mapInArrow(run, "id long, lp binary, c long")
 
 
 def _scored(documents: DataFrame, folder: str, chunk_bytes: int, tokens: int, words: int) -> DataFrame:
@@ -352,31 +379,30 @@ def _scored(documents: DataFrame, folder: str, chunk_bytes: int, tokens: int, wo
         import pyarrow.fs as pafs
 
         fs, root = pafs.FileSystem.from_uri(folder)
-        looked_up = None
+        task, looked_up = TaskContext.get().partitionId(), None
         for number, group in _chunks(batches, chunk_bytes):
-            if looked_up is None:
-                looked_up = ds.dataset(f"{root}/p={TaskContext.get().partitionId()}", filesystem=fs, format="parquet")
-            rows = looked_up.to_table(columns=["w", "b", "lp", "c"], filter=ds.field("chunk") == number).combine_chunks()
-            column = lambda name: rows.column(name).combine_chunks()  # noqa: E731, B023
-            lengths, b = _unpacked(column("b"), "u1")
-            lp = _unpacked(column("lp"), "<f4")[1]
-            keys = _key(np.repeat(_longs(column("w")).view(np.uint64), lengths), b)
-            count = np.repeat(_longs(column("c")), lengths)
-            order = np.argsort(keys)
-            keys, lp, count = keys[order], lp[order].astype(np.float64), count[order]
+            looked_up = looked_up or ds.dataset(f"{root}/task={task}", filesystem=fs, format="parquet")
+            low = (task << _TASK_BITS) + (number << _CHUNK_BITS)
+            own = (ds.field("id") >= low) & (ds.field("id") < low + (1 << _CHUNK_BITS))
+            rows = looked_up.to_table(columns=["id", "lp", "c"], filter=own).sort_by("id").combine_chunks()
+            chunk = Chunk([x for b in group for x in text_bytes(b)])
+            order, cell, _, lengths = chunk.cells()
+            got, lp = _unpacked(rows.column("lp").combine_chunks(), "<f4")
+            if len(got) != len(lengths) or not (got == lengths).all():
+                raise ValueError("the documents were not read in the same parts twice; write them to a table first")
+            count = np.repeat(_longs(rows.column("c").combine_chunks()), lengths)
             base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
-            del rows, order
+            place = np.empty(len(order), dtype=np.int64)  # of each token among the pairs
+            place[order] = np.repeat(np.arange(len(cell)), np.diff(np.append(cell, len(order))))
+            total = lambda x: np.add.reduceat(x[place], chunk.begins)  # noqa: E731, B023
+            n_known, base_score, score = total((count > 0).astype(np.int64)), total(base), total(lp.astype(np.float64))
+            at = 0
             for batch in group:
-                chunk = Chunk(text_bytes(batch))
-                want = _key(chunk.words, chunk.contexts)
-                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                if not (keys[at] == want).all():
-                    raise ValueError("the documents were not read in the same parts twice; write them to a table first")
-                total = lambda x: np.add.reduceat(x[at], chunk.begins)  # noqa: E731, B023
+                own = slice(at, at + batch.num_rows)
+                at += batch.num_rows
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(chunk.lengths),
-                    pa.array(np.add.reduceat((count > 0)[at].astype(np.int64), chunk.begins)),
-                    pa.array(np.full(batch.num_rows, tokens, dtype=np.int64)), pa.array(total(base)), pa.array(total(lp)),
+                    batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(chunk.lengths[own]), pa.array(n_known[own]),
+                    pa.array(np.full(batch.num_rows, tokens, dtype=np.int64)), pa.array(base_score[own]), pa.array(score[own]),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return documents.mapInArrow(
@@ -417,10 +443,12 @@ def language_scores(
         state = after
         totals = Totals(state)
     model = Model(totals, discounts)
-    final = _swept(state, model, 0, True, len(models), draw=False)
+    final = _finished(state, model, len(models))
     models.append(model)
     folder = scratch(spark, "lm-lookup")
-    _looked_up(counts, final, models).repartition("p").sortWithinPartitions("p", "chunk").write.partitionBy("p").parquet(folder)
+    task = F.shiftright("id", _TASK_BITS).cast("int")
+    answers = _looked_up(counts, final, models).repartition(task).withColumn("task", task)
+    answers.sortWithinPartitions("task", "id").write.partitionBy("task").parquet(folder)
     drop(spark, counts, state)
     return _scored(rows, folder, chunk_bytes, first.tokens, first.words)
 
