@@ -242,7 +242,10 @@ def _possible(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     side = lambda p: own.select("token", *(F.col(c).alias(p + c) for c in ("rep", "at", "n", "component", "main")))
     met = side("x_").filter("x_component <> x_main").join(side("y_").drop("y_main"), "token")
     once = (F.col("y_component") == F.col("x_main")) | (F.col("x_rep") < F.col("y_rep"))
-    met = met.filter((F.col("x_component") != F.col("y_component")) & once & _fits("x_n", "y_n"))
+    # Of the smaller set a seventh is enough.
+    first = lambda p: F.col(f"{p}_at") <= F.col(f"{p}_n") - F.ceil(F.col(f"{p}_n") * (2 * SIMILAR[0]) / (SIMILAR[0] + SIMILAR[1]))
+    early = F.when(F.col("x_n") <= F.col("y_n"), first("x")).otherwise(first("y"))
+    met = met.filter((F.col("x_component") != F.col("y_component")) & once & early & _fits("x_n", "y_n"))
     low = F.col("x_rep") < F.col("y_rep")
     either = lambda c: (F.when(low, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(low, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
     met = met.select(*(e.alias(f"{p}_{c}") for c in ("rep", "at", "n") for p, e in zip("xy", either(c), strict=True)))
@@ -267,17 +270,22 @@ def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS)
         "classes",
     )
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    members = written(buckets.join(shared, "key").select("key", "rep", "n"), "members")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = written(buckets.join(shared, "key"), "buckets")
+    # A document that many others share buckets with is the likely origin of a family of copies.
+    met_by = met.groupBy("rep").agg(F.sum("size").alias("met_by"))
+    members = written(met.join(met_by, "rep").select("key", "rep", "n", "met_by"), "members")
+    drop(spark, met)
 
     def star(now: DataFrame, salt: int) -> DataFrame:
         """(a, b): each member with the centre, of another component, that it shares most buckets with."""
-        # The same pseudo-random order in all buckets, so that a family's buckets tend to share a centre.
-        centre = F.struct(F.xxhash64("rep", F.lit(salt)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_c"))
+        # First the likely origins of families, then others: the same pseudo-random order in all buckets.
+        order = -F.col("met_by") if salt == 0 else F.xxhash64("rep", F.lit(salt))
+        centre = F.struct(order.alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_c"), F.col("met_by").alias("hub_met"))
         centres = now.groupBy("key").agg(F.min(centre).alias("c")).select("key", "c.*")
         near = now.join(centres, "key").filter((F.col("component") != F.col("hub_c")) & _fits("n", "hub_n"))
-        counted = near.groupBy("rep", "hub").agg(F.count("*").alias("times"), F.first("o").alias("o"))
-        return counted.groupBy("rep").agg(F.max(F.struct("times", "o", "hub"))["hub"].alias("a")).select("a", F.col("rep").alias("b"))
+        counted = near.groupBy("rep", "hub").agg(F.count("*").alias("times"), F.first("hub_met").alias("hub_met"))
+        return counted.groupBy("rep").agg(F.max(F.struct("times", "hub_met", "hub"))["hub"].alias("a")).select("a", F.col("rep").alias("b"))
 
     tried = links = None
     labels = spark.createDataFrame([], "node long, component long")
