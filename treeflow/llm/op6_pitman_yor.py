@@ -20,7 +20,7 @@ Vocabulary and counts are never gathered in one place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ _TASK_BITS, _CHUNK_BITS = 40, 28
 _COUNTS = np.dtype([("b", "u1"), ("n", "<u4")])
 _FINAL = np.dtype([("b", "u1"), ("p", "<f8")])
 _END = np.uint64(0x9E3779B97F4A7C15)
-_word_hash = Cache(xxhash.xxh3_64_intdigest, 400_000)
+_word_hash = Cache(xxhash.xxh3_64_intdigest, 120_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ def _key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 class Chunk:
     """Tokens of some documents: hashes, context classes, and where each document ends."""
 
-    def __init__(self, rows: list[bytes]):
+    def __init__(self, rows: Iterable[bytes]):
         parts = []
         for text in rows:
             words = space_words(text)
@@ -82,7 +82,7 @@ class Chunk:
     def cells(self):
         """Distinct (word, context) pairs in order, as places of the sorted tokens: the order, where each
         pair begins, where each word begins among the pairs, and how many contexts each word has."""
-        order = np.lexsort((self.contexts, self.words))
+        order = np.lexsort((self.contexts, self.words)).astype(np.int32)
         w, b = self.words[order], self.contexts[order]
         cell = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (b[1:] != b[:-1])]))
         w = w[cell]
@@ -132,7 +132,7 @@ def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         for number, group in _chunks(batches, chunk_bytes):
-            chunk = Chunk([x for b in group for x in text_bytes(b)])
+            chunk = Chunk(x for b in group for x in text_bytes(b))
             train = ~np.concatenate([np.asarray(b.column("held_out").to_pylist(), dtype=bool) for b in group])
             order, cell, first, lengths = chunk.cells()
             cells = np.empty(len(cell), dtype=_COUNTS)
@@ -385,15 +385,16 @@ def _scored(documents: DataFrame, folder: str, chunk_bytes: int, tokens: int, wo
             low = (task << _TASK_BITS) + (number << _CHUNK_BITS)
             own = (ds.field("id") >= low) & (ds.field("id") < low + (1 << _CHUNK_BITS))
             rows = looked_up.to_table(columns=["id", "lp", "c"], filter=own).sort_by("id").combine_chunks()
-            chunk = Chunk([x for b in group for x in text_bytes(b)])
+            chunk = Chunk(x for b in group for x in text_bytes(b))
             order, cell, _, lengths = chunk.cells()
             got, lp = _unpacked(rows.column("lp").combine_chunks(), "<f4")
             if len(got) != len(lengths) or not (got == lengths).all():
                 raise ValueError("the documents were not read in the same parts twice; write them to a table first")
             count = np.repeat(_longs(rows.column("c").combine_chunks()), lengths)
             base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
-            place = np.empty(len(order), dtype=np.int64)  # of each token among the pairs
-            place[order] = np.repeat(np.arange(len(cell)), np.diff(np.append(cell, len(order))))
+            place = np.empty(len(order), dtype=np.int32)  # of each token among the pairs
+            place[order] = np.repeat(np.arange(len(cell), dtype=np.int32), np.diff(np.append(cell, len(order))))
+            chunk.words = chunk.contexts = order = rows = None  # only the places are still needed
             total = lambda x: np.add.reduceat(x[place], chunk.begins)  # noqa: E731, B023
             n_known, base_score, score = total((count > 0).astype(np.int64)), total(base), total(lp.astype(np.float64))
             at = 0
