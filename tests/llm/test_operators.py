@@ -334,6 +334,19 @@ def test_scores_do_not_depend_on_partitions_and_beat_the_base(spark, sf):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_every_preceding_word_is_a_context_of_its_own(spark):
+    """600 words, each with a follower of its own: hashed to 63 classes, ten followers would share a context."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    train = [i for i in range(100_000) if not held(i)]
+    test = [i for i in range(100_000) if held(i)][:2]
+    rows = [(train[20 * a + k], f"lead{a} next{a}") for a in range(600) for k in range(20)]
+    d = spark.createDataFrame([*rows, (test[0], "lead7 next7"), (test[1], "lead7 next8")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in op6_pitman_yor.language_scores(d).collect()}
+    # The lead is one of 600, and what follows is all but certain.
+    assert got[test[0]] == pytest.approx(math.log10(1 / 600), abs=0.3)
+    assert got[test[0]] - got[test[1]] > 2
+
+
 def test_predictive_probabilities_sum_to_one():
     class T:
         words, customers, tables = 3, np.array([5.0, 2.0]), np.array([3.0, 2.0])

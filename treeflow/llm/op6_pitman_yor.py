@@ -1,26 +1,27 @@
 """A hierarchical Pitman-Yor language model, sampled by Gibbs sweeps over the whole training corpus.
 
-Restaurants: one for every context and one above them all that the context restaurants share as their
-parent; its base is uniform over the vocabulary and one unknown word. A context is the class of the
-word before (a hash into 63 classes; class 0 is the start of a text), so a frequent word's successors
-have a restaurant of their own but for rare words that share the class.
-
-Everything about one word (its customers and tables in all restaurants) is one row, so sweeps read and
-write rows that need nothing but the restaurants' totals, 64 numbers, from the sweep before. A sweep
-seats all customers of every (word, context) anew, one after the other, given the parent's predictive
-probability, then those of the parent, which are the tables below. Draws come from a hash of word,
-context, sweep and customer, so the sample doesn't depend on how rows are dealt to tasks. Probabilities
-are averaged over the samples.
-
-Words travel as 64-bit hashes. A task sums its counts for chunks of texts, and gets back for each chunk
-the probabilities of just the words and contexts in it, in the chunk's own order; so what is shuffled is
-one row per distinct word of a chunk, there and back, and the texts themselves are never shuffled.
-Vocabulary and counts are never gathered in one place.
+Restaurants: one for every word that comes before another (and one for the start of a text), and one
+above them all that they share as their parent; its base is uniform over the vocabulary and one unknown
+word. A context is the word before itself, so there are as many restaurants as training words.
+
+A cell is a word in a context. A sweep seats the customers of every cell anew, one after the other,
+given the parent's predictive probability, then those of the parent, which are the tables below. A cell
+of one customer always has one table, so only cells of several customers are rows of a sweep; the
+others are counted once, for their word and for their context. What a cell needs (its context's tables,
+its word's customers and tables above) is joined by shuffle from one row per word. Draws come from a
+hash of word, context, sweep and customer, so the sample doesn't depend on how rows are dealt to tasks.
+Probabilities are averaged over the samples.
+
+Words travel as 64-bit hashes. A task sums its cells for chunks of texts, and gets back for each chunk
+what the probabilities of just the words and cells in it are made of, in the chunk's own order; the
+texts themselves are never shuffled. Cells are dealt by a hash of word and context, so a frequent word
+or context is spread over all tasks. Vocabulary and counts are never gathered in one place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,6 @@ from treeflow.llm.common import drop, id_crc, scratch, sized_batches, space_word
 
 #: A document is held out if crc32 of its id's text leaves no remainder.
 HELD_OUT_MOD = 10
-CLASSES = 64
 SWEEPS, BURN = 4, 2
 #: Concentrations of the parent and of the context restaurants.
 THETA = (1.0, 1.0)
@@ -42,11 +42,14 @@ THETA = (1.0, 1.0)
 CHUNK_BYTES = 24_000_000
 #: Up to this many customers are seated one by one, more of them in growing steps.
 SINGLE = 64
-#: A row's id: task, chunk and place of the word in the chunk.
+#: A row's id: task, chunk and place of the row in the chunk.
 _TASK_BITS, _CHUNK_BITS = 40, 28
-_COUNTS = np.dtype([("b", "u1"), ("n", "<u4")])
-_FINAL = np.dtype([("b", "u1"), ("p", "<f8")])
-_END = np.uint64(0x9E3779B97F4A7C15)
+#: Cells travel in rows of one part of the range of their keys.
+_BUCKET_BITS = 13
+#: Cells that are packed, and words that are asked for, in one row or at once.
+_PACKED, _ASKED = 400_000, 4096
+_CELL = np.dtype([("w", "<u8"), ("u", "<u8")])
+_END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 _word_hash = Cache(xxhash.xxh3_64_intdigest, 120_000)
 
 
@@ -62,7 +65,7 @@ def _key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Tokens of some documents: hashes, context classes, and where each document ends."""
+    """Tokens of some documents: hashes, the words before, and where each document ends."""
 
     def __init__(self, rows: Iterable[bytes]):
         parts = []
@@ -75,19 +78,35 @@ class Chunk:
         self.lengths = np.array([len(p) for p in parts], dtype=np.int64)
         self.words = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        classes = (self.words % np.uint64(CLASSES - 1) + np.uint64(1)).astype(np.uint8)
-        self.contexts = np.concatenate([[0], classes[:-1]]).astype(np.uint8) if len(classes) else classes
-        self.contexts[self.begins] = 0
 
-    def cells(self):
-        """Distinct (word, context) pairs in order, as places of the sorted tokens: the order, where each
-        pair begins, where each word begins among the pairs, and how many contexts each word has."""
-        order = np.lexsort((self.contexts, self.words)).astype(np.int32)
-        w, b = self.words[order], self.contexts[order]
-        cell = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (b[1:] != b[:-1])]))
-        w = w[cell]
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        return order, cell, first, np.diff(np.append(first, len(w)))
+    def contexts(self) -> np.ndarray:
+        out = np.concatenate([[_START], self.words[:-1]]) if len(self.words) else self.words.copy()
+        out[self.begins] = _START
+        return out
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of tokens by their cells' keys, where in it each cell begins, and the cells' keys."""
+        key = _key(self.words, self.contexts())
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        cell = _begins(key)
+        return order, cell, key[cell]
+
+    def asked(self) -> np.ndarray:
+        """The distinct words and contexts, in order."""
+        return np.unique(np.append(self.words, _START))
+
+
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+
+
+def _buckets(ordered_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of keys, and how many keys each has."""
+    bucket = (ordered_keys >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+    first = _begins(bucket)
+    return bucket[first], np.diff(np.append(first, len(bucket)))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -126,103 +145,120 @@ def _longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+_COUNTED = "bucket int, id long, cells binary, n binary"
+
+
 def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(w, id, cells): per chunk each word, with its contexts and its training count in each."""
+    """Per chunk and bucket its cells with their training counts, and in rows of bucket -1 its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         for number, group in _chunks(batches, chunk_bytes):
             chunk = Chunk(x for b in group for x in text_bytes(b))
             train = ~np.concatenate([np.asarray(b.column("held_out").to_pylist(), dtype=bool) for b in group])
-            order, cell, first, lengths = chunk.cells()
-            cells = np.empty(len(cell), dtype=_COUNTS)
-            cells["b"] = chunk.contexts[order[cell]]
-            cells["n"] = np.add.reduceat(np.repeat(train, chunk.lengths)[order].astype(np.int64), cell)
-            words = chunk.words[order[cell[first]]].view(np.int64)
+            order, cell, key = chunk.cells()
+            n = np.add.reduceat(np.repeat(train, chunk.lengths)[order].astype(np.int64), cell)
+            cells = np.empty(len(cell), dtype=_CELL)
+            cells["w"], cells["u"] = chunk.words[order[cell]], chunk.contexts()[order[cell]]
             base = (p << _TASK_BITS) + (number << _CHUNK_BITS)
-            for at in range(0, len(first), 50_000):
-                rows = slice(at, at + 50_000)
-                start = int(first[at])
-                k = len(first[rows])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(words[rows]), pa.array(np.arange(base + at, base + at + k, dtype=np.int64)),
-                    _packed(lengths[rows], cells[start : start + int(lengths[rows].sum())], _COUNTS),
-                ], names=["w", "id", "cells"])
-
-    return documents.mapInArrow(run, "w long, id long, cells binary")
-
-
-def _merge(w: np.ndarray, b: np.ndarray, n: np.ndarray):
-    """Sums over equal (word, context); words come together."""
-    order = np.lexsort((b, w))
-    w, b, n = w[order], b[order], n[order]
-    cell = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (b[1:] != b[:-1])]))
-    return w[cell], b[cell], np.add.reduceat(n, cell)
-
-
-_STATE = "w long, b binary, c binary, t binary, tw long, acc binary, p1 binary"
-
-
-def _state_batch(w, lengths, b, c, t, tw, acc, p1, samples) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array(w), _packed(lengths, b, "u1"), _packed(lengths, c, "<i8"), _packed(lengths, t, "<i8"), pa.array(tw),
-        _packed(lengths, acc, "<f8"), _packed(np.full(len(w), samples), p1, "<f8"),
-    ], names=["w", "b", "c", "t", "tw", "acc", "p1"])
-
-
-def _initial(counts: DataFrame) -> DataFrame:
-    """One row per training word, one table for every (word, context) and one for the word above."""
+            asked = chunk.asked()
+            chunk = order = cell = None
+            at = np.arange(0, len(asked), _ASKED)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), -1, dtype=np.int32)), pa.array(base + at), _packed(np.diff(np.append(at, len(asked))), asked, "<u8"),
+                pa.nulls(len(at), pa.binary()),
+            ], names=["bucket", "id", "cells", "n"])
+            bucket, lengths = _buckets(key)
+            ends = np.cumsum(lengths)
+            for at in range(0, len(bucket), 1024):
+                rows = slice(at, at + 1024)
+                own = slice(int(ends[at] - lengths[at]), int(ends[rows][-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[rows]), pa.array(base + bucket[rows].astype(np.int64)), _packed(lengths[rows], cells[own], _CELL), _packed(lengths[rows], n[own], "<u4")],
+                    names=["bucket", "id", "cells", "n"],
+                )
+
+    return documents.mapInArrow(run, _COUNTED)
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that come by bucket, cut where a bucket ends."""
+    held = None
+    for batch in batches:
+        now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not now.num_rows:
+            continue
+        bucket = _longs(now.column("bucket"))
+        cut = int(np.searchsorted(bucket, bucket[-1]))
+        if cut:
+            yield now.slice(0, cut)
+        held = now.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _merged(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over equal cells: their keys in order, sums, one place of each, and every given cell's place among them."""
+    key = _key(cells["w"], cells["u"])
+    order = np.argsort(key, kind="stable")
+    first = _begins(key[order])
+    home = np.empty(len(key), dtype=np.int64)
+    home[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    return key[order[first]], np.add.reduceat(n[order].astype(np.int64), first) if len(first) else n.astype(np.int64), order[first], home
+
+
+def _cells(counts: DataFrame) -> DataFrame:
+    """(w, u, c): every cell of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64))
+        for whole in _whole_buckets(batches):
+            cells, n = _unpacked(whole.column("cells"), _CELL)[1], _unpacked(whole.column("n"), "<u4")[1]
+            _, c, place, _ = _merged(cells, n)
+            some = c > 0
+            cells, c = cells[place[some]], c[some]
+            for at in range(0, len(c), _PACKED):
+                part = slice(at, at + _PACKED)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells["w"][part].view(np.int64)), pa.array(cells["u"][part].view(np.int64)), pa.array(c[part])], names=["w", "u", "c"]
+                )
+
+    rows = counts.filter("bucket >= 0").select("bucket", "cells", "n")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "w long, u long, c long")
+
+
+#: Per word: training count, customers it has as a context, tables of its cells of one customer as a word
+#: and as a context; customers and tables above, and its tables as a context; the last three of each sample.
+_NODE = "w long, c long, cu long, n1 long, s1 long, n long, tw long, tu long, ns array<long>, tws array<long>, tus array<long>"
+
+
+def _nodes(cells: DataFrame) -> DataFrame:
+    """One row per word or context with one table for every cell and one for the word above."""
+    one, none = (F.col("c") == 1).cast("long"), F.lit(0).cast("long")
+    each = F.lit(1).cast("long")
+    both = cells.select("w", "c", none.alias("cu"), one.alias("n1"), none.alias("s1"), each.alias("n"), none.alias("tu")).unionAll(
+        cells.select(F.col("u").alias("w"), none.alias("c"), F.col("c").alias("cu"), none.alias("n1"), one.alias("s1"), none.alias("n"), each.alias("tu"))
+    )
+    sums = both.groupBy("w").agg(*(F.sum(x).alias(x) for x in ("c", "cu", "n1", "s1", "n", "tu")))
+    empty = F.expr("cast(array() as array<bigint>)")
+    tw = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
+    return sums.select("w", "c", "cu", "n1", "s1", "n", tw.alias("tw"), "tu", empty.alias("ns"), empty.alias("tws"), empty.alias("tus"))
 
-        def rows(w, b, n):
-            some = n > 0
-            w, b, n = w[some], b[some], n[some]
-            if len(w):
-                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                lengths, k = np.diff(np.append(first, len(w))), len(first)
-                yield _state_batch(w[first], lengths, b, n, np.ones(len(w)), np.ones(k, dtype=np.int64), np.zeros(len(w)), np.empty(0), 0)
 
-        for batch in batches:
-            lengths, cells = _unpacked(batch.column("cells"), _COUNTS)
-            w = np.repeat(_longs(batch.column("w")), lengths)
-            if not len(w):
-                continue
-            w, b, n = _merge(*(np.concatenate(x) for x in zip(held, (w, cells["b"], cells["n"].astype(np.int64)), strict=True)))
-            last = w == w[np.argmax(w)]  # rows come by word: only the last can go on in the next batch
-            held = (w[last], b[last], n[last])
-            yield from rows(w[~last], b[~last], n[~last])
-        yield from rows(*held)
-
-    return counts.select("w", "cells").repartition("w").sortWithinPartitions("w").mapInArrow(run, _STATE)
+@dataclass(frozen=True)
+class Totals:
+    """What a sweep needs of all restaurants, and customers and tables of the contexts at hand."""
 
+    words: int
+    parent_customers: float
+    parent_tables: float
+    customers: np.ndarray
+    tables: np.ndarray
 
-class Totals:
-    """What a sweep needs of all restaurants: customers and tables."""
-
-    def __init__(self, state: DataFrame):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((7, CLASSES))
-            for batch in batches:
-                _, b = _unpacked(batch.column("b"), "u1")
-                (_, c), (_, t) = _unpacked(batch.column("c"), "<i8"), _unpacked(batch.column("t"), "<i8")
-                for k, x in enumerate((c, t, c == 1, c == 2)):
-                    sums[k] += np.bincount(b, weights=x, minlength=CLASSES)
-                tw = _longs(batch.column("tw"))
-                sums[4, 0] += tw.sum()
-                sums[5, 0] += len(tw)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(CLASSES, dtype=np.int32)), *(pa.array(s) for s in sums[:6])], names=["b", "c", "t", "n1", "n2", "tw", "words"]
-            )
 
-        rows = state.select("b", "c", "t", "tw").mapInArrow(run, "b int, c double, t double, n1 double, n2 double, tw double, words double")
-        table_ = {r["b"]: r for r in rows.groupBy("b").agg(*(F.sum(x).alias(x) for x in ("c", "t", "n1", "n2", "tw", "words"))).collect()}
-        column = lambda name: np.array([table_[b][name] if b in table_ else 0.0 for b in range(CLASSES)])
-        self.customers, self.tables = column("c"), column("t")
-        self.once, self.twice = column("n1").sum(), column("n2").sum()
-        self.parent_customers, self.parent_tables = self.tables.sum(), column("tw").sum()
-        self.words, self.tokens = int(column("words").sum()), int(self.customers.sum())
+def _totals(nodes: DataFrame) -> Totals:
+    none = np.empty(0)
+    r = nodes.filter("c > 0").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("tw").alias("tw")).first()
+    return Totals(r["words"], float(r["n"] or 0), float(r["tw"] or 0), none, none)
 
 
 class Model:
@@ -274,136 +310,158 @@ def seat(customers: np.ndarray, prior: np.ndarray, discount: float, salt: np.nda
     return out
 
 
-def _swept(state: DataFrame, model: Model, sweep: int, keep: bool, samples: int) -> DataFrame:
-    """One Gibbs sweep; ``keep`` first adds the given state's probabilities to the averages."""
+def _swept(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tuple[float, float], sweep: int) -> DataFrame:
+    """The cells (w, u, c, t, tsum) of several customers, seated anew."""
+    seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 100_000):
-                batch = whole.slice(at, 100_000)
-                w, tw = _longs(batch.column("w")), _longs(batch.column("tw"))
-                lengths, b = _unpacked(batch.column("b"), "u1")
-                c, t = (_unpacked(batch.column(x), "<i8")[1] for x in ("c", "t"))
-                acc, p1 = (_unpacked(batch.column(x), "<f8")[1] for x in ("acc", "p1"))
-                if not len(w):
-                    continue
-                first = np.cumsum(lengths) - lengths
-                parent = model.parent(np.add.reduceat(t, first), tw)
-                spread = np.repeat(parent, lengths)
-                if keep:
-                    acc = acc + model.of(b, c, t, spread)
-                    p1 = np.hstack([p1.reshape(len(w), samples), parent[:, None]]).ravel()
-                seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
-                hashed = w.view(np.uint64)
-                t = seat(c, model.strength[b] * spread, model.d2, _key(np.repeat(hashed, lengths) ^ seed, b))
-                above = np.full(len(w), model.parent_strength * model.base)
-                tw = seat(np.add.reduceat(t, first), above, model.d1, _mix(hashed ^ seed))
-                yield _state_batch(w, lengths, b, c, t, tw, acc, p1, samples + keep)
-
-    return state.mapInArrow(run, _STATE)
-
-
-def _finished(state: DataFrame, model: Model, samples: int) -> DataFrame:
-    """(w, cells, c, p1): averaged probabilities of the contexts a word was seen in, its count, and the
-    parent's probability of it in each sample, the given state being the last one."""
+        for batch in batches:
+            w, u, c, tsum, n, tw, tu = (_longs(x) for x in batch.columns)
+            if not len(w):
+                continue
+            model = Model(replace(totals, customers=np.zeros(len(w)), tables=tu), discounts)
+            t = seat(c, model.strength * model.parent(n, tw), model.d2, _key(w.view(np.uint64) ^ seed, u.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, u, c, t, tsum)], names=["w", "u", "c", "t", "tsum"])
+
+    above = nodes.select("w", "n", "tw")
+    beside = nodes.select(F.col("w").alias("u"), "tu")
+    rows = cells.join(beside, "u").join(above, "w").select("w", "u", "c", "tsum", "n", "tw", "tu")
+    return rows.mapInArrow(run, "w long, u long, c long, t long, tsum long")
+
+
+def _resummed(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tuple[float, float], sweep: int, keep: bool) -> DataFrame:
+    """The nodes after a sweep of the cells: their words seated above anew; ``keep`` adds them to the samples."""
+    seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
+    names = ["w", "c", "cu", "n1", "s1", "n", "tw", "tu", "ns", "tws", "tus"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(totals, discounts)
         for batch in batches:
-            tw = _longs(batch.column("tw"))
-            if not len(tw):
+            w, n = _longs(batch.column("w")), _longs(batch.column("n"))
+            if not len(w):
                 continue
-            lengths, b = _unpacked(batch.column("b"), "u1")
-            c, t = (_unpacked(batch.column(x), "<i8")[1] for x in ("c", "t"))
-            acc, p1 = (_unpacked(batch.column(x), "<f8")[1] for x in ("acc", "p1"))
-            first = np.cumsum(lengths) - lengths
-            parent = model.parent(np.add.reduceat(t, first), tw)
-            cells = np.empty(len(b), dtype=_FINAL)
-            cells["b"], cells["p"] = b, (acc + model.of(b, c, t, np.repeat(parent, lengths))) / (samples + 1)
-            p1 = np.hstack([p1.reshape(len(tw), samples), parent[:, None]]).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("w"), _packed(lengths, cells, _FINAL), pa.array(np.add.reduceat(c, first)), _packed(np.full(len(tw), samples + 1), p1, "<f8")],
-                names=["w", "cells", "c", "p1"],
-            )
+            tw = seat(n, np.full(len(w), model.parent_strength * model.base), model.d1, _mix(w.view(np.uint64) ^ seed))
+            tw = np.where(n > 0, tw, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(tw) if x == "tw" else batch.column(x) for x in names], names=names)
 
-    return state.mapInArrow(run, "w long, cells binary, c long, p1 binary")
+    none = F.lit(0).cast("long")
+    both = cells.select("w", F.col("t").alias("nt"), none.alias("tt")).unionAll(cells.select(F.col("u").alias("w"), none.alias("nt"), F.col("t").alias("tt")))
+    sums = both.groupBy("w").agg(F.sum("nt").alias("nt"), F.sum("tt").alias("tt"))
+    n = F.col("n1") + F.coalesce("nt", F.lit(0))
+    tu = F.col("s1") + F.coalesce("tt", F.lit(0))
+    rows = nodes.join(sums, "w", "left").withColumns({"n": n, "tu": tu}).select(*names).mapInArrow(run, _NODE)
+    if keep:
+        rows = rows.withColumns({x + "s": F.concat(x + "s", F.array(x)) for x in ("n", "tw", "tu")})
+    return rows
 
 
-def _looked_up(counts: DataFrame, final: DataFrame, models: list[Model]) -> DataFrame:
-    """(id, lp, c) for every row of the counts: log10 probability in each context of the row, and the
-    word's training count."""
-    weights = np.stack([m.back_off() for m in models])
-    unknown = np.mean([m.back_off() * m.unknown() for m in models], axis=0)
-    samples = len(models)
-    rows = final.select("w", F.lit(-1).cast("long").alias("id"), "cells", "c", "p1").unionByName(
-        counts.select("w", "id", "cells", F.lit(None).cast("long").alias("c"), F.lit(None).cast("binary").alias("p1"))
-    )
+def _asked(counts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, c, cu, ns, tws, tus) for every word that a chunk asks for; nulls for one that no training text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the model row of the last word, for rows of it in the next batch
         for batch in batches:
-            now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if not now.num_rows:
-                continue
-            ids = _longs(now.column("id"))
-            known, asked = np.flatnonzero(ids < 0), np.flatnonzero(ids >= 0)
-            held = now.slice(int(known[-1]), 1) if len(known) else None
-            if not len(asked):
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                lengths, w = _unpacked(part.column("cells"), "<u8")
+                ids = np.repeat(_longs(part.column("id")), lengths) + np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids)], names=["w", "id"])
+
+    asked = counts.filter("bucket < 0").select("id", "cells").mapInArrow(run, "w long, id long")
+    return asked.join(nodes.select("w", "c", "cu", "ns", "tws", "tus"), "w", "left").drop("w")
+
+
+def _looked_up(counts: DataFrame, cells: DataFrame, discount: float, samples: int) -> DataFrame:
+    """(id, v) for every row of cells of the counts: customers less the discounted tables, averaged."""
+    kind = np.dtype([("w", "<u8"), ("u", "<u8"), ("t", "<f8")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(waiting):
+            w, u, t = (np.concatenate([_longs(b.column(x)) for b in waiting]) for x in ("w", "u", "tsum"))
+            out = np.empty(len(w), dtype=kind)
+            out["w"], out["u"], out["t"] = w.view(np.uint64), u.view(np.uint64), t / samples
+            key = _key(out["w"], out["u"])
+            order = np.argsort(key)
+            bucket, lengths = _buckets(key[order])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket), pa.array(np.full(len(bucket), -1, dtype=np.int64)), _packed(lengths, out[order], kind), pa.nulls(len(bucket), pa.binary())],
+                names=["bucket", "id", "cells", "n"],
+            )
+
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n >= _PACKED:
+                yield from rows(waiting)
+                waiting, n = [], 0
+        if n:
+            yield from rows(waiting)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_buckets(batches):
+            ids = _longs(whole.column("id"))
+            model, query = (whole.take(pa.array(np.flatnonzero(x))) for x in (ids < 0, ids >= 0))
+            if not query.num_rows:
                 continue
-            query = now.take(pa.array(asked))
-            q_len, q_cells = _unpacked(query.column("cells"), _COUNTS)
-            q_b, q_w = q_cells["b"].astype(np.int64), _longs(query.column("w"))
-            p = unknown[q_b]
-            count = np.zeros(len(q_w), dtype=np.int64)
-            if len(known):
-                model = now.take(pa.array(known))
-                m_w = _longs(model.column("w"))
-                m_len, m_cells = _unpacked(model.column("cells"), _FINAL)
-                m_p1 = _unpacked(model.column("p1"), "<f8")[1].reshape(len(m_w), samples)
-                home = np.minimum(np.searchsorted(m_w, q_w), len(m_w) - 1)
-                has = m_w[home] == q_w
-                count = np.where(has, _longs(model.column("c"))[home], 0)
-                cell_home = np.repeat(home, q_len)
-                places = np.repeat(np.arange(len(m_w)), m_len) * CLASSES + m_cells["b"]
-                want = cell_home * CLASSES + q_b
-                at = np.minimum(np.searchsorted(places, want), len(places) - 1)
-                backed = (weights[:, q_b].T * m_p1[cell_home]).mean(axis=1)
-                p = np.where(np.repeat(has, q_len), np.where(places[at] == want, m_cells["p"][at], backed), p)
-            yield pa.RecordBatch.from_arrays([query.column("id"), _packed(q_len, np.log10(p), "<f4"), pa.array(count)], names=["id", "lp", "c"])
-
-    return rows.repartition("w").sortWithinPartitions("w", "id").mapInArrow(run, "id long, lp binary, c long")
-
-
-def _scored(documents: DataFrame, folder: str, chunk_bytes: int, tokens: int, words: int) -> DataFrame:
+            lengths, asked = _unpacked(query.column("cells"), _CELL)
+            key, c, _, home = _merged(asked, _unpacked(query.column("n"), "<u4")[1])
+            t = (c > 0).astype(np.float64)
+            known = _unpacked(model.column("cells"), kind)[1]
+            t[np.searchsorted(key, _key(known["w"], known["u"]))] = known["t"]
+            yield pa.RecordBatch.from_arrays([query.column("id"), _packed(lengths, (c - discount * t)[home], "<f4")], names=["id", "v"])
+
+    rows = counts.filter("bucket >= 0").unionAll(cells.select("w", "u", "tsum").mapInArrow(pack, _COUNTED))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "id long, v binary")
+
+
+def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, tokens: int, samples: list[Totals], discounts: tuple[float, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
         import pyarrow.fs as pafs
 
-        fs, root = pafs.FileSystem.from_uri(folder)
-        task, looked_up = TaskContext.get().partitionId(), None
-        for number, group in _chunks(batches, chunk_bytes):
-            looked_up = looked_up or ds.dataset(f"{root}/task={task}", filesystem=fs, format="parquet")
+        task, tables = TaskContext.get().partitionId(), None
+        vocabulary = samples[0].words
+
+        def own(k: int, number: int) -> pa.Table:
             low = (task << _TASK_BITS) + (number << _CHUNK_BITS)
-            own = (ds.field("id") >= low) & (ds.field("id") < low + (1 << _CHUNK_BITS))
-            rows = looked_up.to_table(columns=["id", "lp", "c"], filter=own).sort_by("id").combine_chunks()
+            mine = (ds.field("id") >= low) & (ds.field("id") < low + (1 << _CHUNK_BITS))
+            return tables[k].to_table(columns=[x for x in tables[k].schema.names if x != "task"], filter=mine).sort_by("id").combine_chunks()
+
+        for number, group in _chunks(batches, chunk_bytes):
+            if tables is None:
+                found = [pafs.FileSystem.from_uri(f) for f in folders]
+                tables = [ds.dataset(f"{root}/task={task}", filesystem=fs, format="parquet") for fs, root in found]
             chunk = Chunk(x for b in group for x in text_bytes(b))
-            order, cell, _, lengths = chunk.cells()
-            got, lp = _unpacked(rows.column("lp").combine_chunks(), "<f4")
-            if len(got) != len(lengths) or not (got == lengths).all():
+            order, cell, key = chunk.cells()
+            rows = own(1, number)
+            lengths, value = _unpacked(rows.column("v").combine_chunks(), "<f4")
+            if len(value) != len(cell) or not (lengths == _buckets(key)[1]).all():
+                raise ValueError("the documents were not read in the same parts twice; write them to a table first")
+            v = np.empty(len(order), dtype=np.float32)
+            v[order] = np.repeat(value, np.diff(np.append(cell, len(order))))
+            asked = chunk.asked()
+            word, before = (np.searchsorted(asked, x).astype(np.int32) for x in (chunk.words, chunk.contexts()))
+            chunk.words = order = cell = key = value = None  # only the places are still needed
+            rows = own(0, number)
+            if rows.num_rows != len(asked):
                 raise ValueError("the documents were not read in the same parts twice; write them to a table first")
-            count = np.repeat(_longs(rows.column("c").combine_chunks()), lengths)
-            base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
-            place = np.empty(len(order), dtype=np.int32)  # of each token among the pairs
-            place[order] = np.repeat(np.arange(len(cell), dtype=np.int32), np.diff(np.append(cell, len(order))))
-            chunk.words = chunk.contexts = order = rows = None  # only the places are still needed
-            total = lambda x: np.add.reduceat(x[place], chunk.begins)  # noqa: E731, B023
-            n_known, base_score, score = total((count > 0).astype(np.int64)), total(base), total(lp.astype(np.float64))
+            flat = lambda x: rows.column(x).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            count, customers = flat("c"), flat("cu")
+            p = np.zeros(len(word))
+            for k, totals in enumerate(samples):
+                model = Model(replace(totals, customers=customers, tables=flat(f"tu{k}")), discounts)
+                p += model.of(before, v, 0, model.parent(flat(f"n{k}"), flat(f"tw{k}"))[word])
+            lp, rows = np.log10(p / len(samples)), None
+            base = np.log10((count + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+            total = lambda x: np.add.reduceat(x, chunk.begins)  # noqa: E731, B023
+            n_known, base_score, score = total((count > 0).astype(np.int64)[word]), total(base[word]), total(lp)
             at = 0
             for batch in group:
-                own = slice(at, at + batch.num_rows)
+                mine = slice(at, at + batch.num_rows)
                 at += batch.num_rows
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(chunk.lengths[own]), pa.array(n_known[own]),
-                    pa.array(np.full(batch.num_rows, tokens, dtype=np.int64)), pa.array(base_score[own]), pa.array(score[own]),
+                    batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(chunk.lengths[mine]), pa.array(n_known[mine]),
+                    pa.array(np.full(batch.num_rows, tokens, dtype=np.int64)), pa.array(base_score[mine]), pa.array(score[mine]),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return documents.mapInArrow(
@@ -428,30 +486,33 @@ def language_scores(
     if not stable:
         rows = written(rows, "lm-documents")
     counts = written(_counted(rows, chunk_bytes), "lm-counts")
-    state = written(_initial(counts), "lm-state")
-    totals = Totals(state)
-    first = totals
-    # Discounts from how many cells and words have one and two customers.
-    d2 = min(0.95, max(0.05, totals.once / max(1.0, totals.once + 2 * totals.twice)))
-    discounts = (0.6, d2)
-    models = []
+    every = written(_cells(counts), "lm-cells")
+    # Discounts from how many cells have one and two customers.
+    found = every.agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice")).first()
+    tokens, once, twice = (int(x or 0) for x in found)
+    discounts = (0.6, min(0.95, max(0.05, once / max(1.0, once + 2 * twice))))
+    nodes = written(_nodes(every), "lm-words")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    cells = written(every.filter("c > 1").select("w", "u", "c", one.alias("t"), none.alias("tsum")), "lm-several")
+    drop(spark, every)
+    totals = _totals(nodes)
+    samples = []
     for sweep in range(1, sweeps + 1):
-        model = Model(totals, discounts)
-        keep = sweep - 1 > burn
-        after = written(_swept(state, model, sweep, keep, len(models)), "lm-state")
-        models += [model] * keep
-        drop(spark, state)
-        state = after
-        totals = Totals(state)
-    model = Model(totals, discounts)
-    final = _finished(state, model, len(models))
-    models.append(model)
-    folder = scratch(spark, "lm-lookup")
+        keep = sweep > burn
+        after = _swept(cells, nodes, totals, discounts, sweep)
+        after = written(after.withColumn("tsum", F.col("tsum") + F.col("t")) if keep else after, "lm-several")
+        above = written(_resummed(after, nodes, totals, discounts, sweep, keep), "lm-words")
+        drop(spark, cells, nodes)
+        cells, nodes, totals = after, above, _totals(above)
+        samples += [totals] * keep
     task = F.shiftright("id", _TASK_BITS).cast("int")
-    answers = _looked_up(counts, final, models).repartition(task).withColumn("task", task)
-    answers.sortWithinPartitions("task", "id").write.partitionBy("task").parquet(folder)
-    drop(spark, counts, state)
-    return _scored(rows, folder, chunk_bytes, first.tokens, first.words)
+    parts = [("n", "ns"), ("tw", "tws"), ("tu", "tus")]
+    words = _asked(counts, nodes).select("id", "c", "cu", *(F.col(a)[k].alias(f"{x}{k}") for x, a in parts for k in range(len(samples))))
+    folders = scratch(spark, "lm-words-asked"), scratch(spark, "lm-cells-asked")
+    for folder, answers in zip(folders, (words, _looked_up(counts, cells, discounts[1], len(samples))), strict=True):
+        answers.repartition(task).withColumn("task", task).sortWithinPartitions("task", "id").write.partitionBy("task").parquet(folder)
+    drop(spark, counts, cells, nodes)
+    return _scored(rows, folders, chunk_bytes, tokens, samples, discounts)
 
 
 def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
