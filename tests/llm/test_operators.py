@@ -437,3 +437,21 @@ def test_quality_edge_cases(spark, docs, nothing):
     assert op10_quality.quality_scores(docs, odd).count() == docs.count()
     assert op10_quality.quality_scores(nothing, odd).count() == 0
     assert op10_quality.accepted(docs, odd).columns == docs.columns
+
+
+def test_word_vectors_cover_all_documents(spark):
+    """Neighbours of texts without a label count as those of labelled ones, however texts are dealt."""
+    texts = [f"word{i % 7} stands near other{i % 5} words" for i in range(60)] + ["x" * 70 + "1 tail"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    index = op10_quality.index_vectors()
+    total = op10_quality._neighbours([t.encode() for t in texts], index).astype(np.float64)
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6) + index / op10_quality.NONZERO**0.5
+    for parts in (1, 5):
+        vectors, _ = op10_quality.fitted(d.repartition(parts), labels)
+        assert np.allclose(vectors, want, atol=1e-6)
+
+
+def test_shapes_come_from_whole_tokens():
+    rows = [op10_quality._rows_of(b"aB" * 32 + end) % op10_quality.ROWS for end in (b"", b"1", b"-")]
+    assert len(set(rows)) == 3

@@ -1,14 +1,16 @@
 """Quality scores: random-indexing word vectors pooled per document, and a small calibrated network.
 
 Random indexing: every word, and every word shape (letters, digits and marks with runs collapsed), has a
-sparse random index vector; a word's vector is the sum of the index vectors of its neighbours in the
-training texts, normalised, plus its own. Words are hashed into a fixed number of rows, so the vectors
+sparse random index vector; a word's vector is the sum of the index vectors of its neighbours in all
+texts, normalised, plus its own. Words are hashed into a fixed number of rows, so the vectors
 have a fixed size (8 MB) at any vocabulary. A document is the mean of its words' and of its shapes'
 vectors and a few ratios of its whole text. The network has one hidden layer and is written in numpy;
 its logits are divided by a temperature fitted on a part of the sample that it hasn't seen.
 
-The fit uses a sample of labelled rows of at most SAMPLE documents, chosen by a hash of the id; scoring
-reads every text once, whole, and shuffles nothing.
+Neighbours are counted over every document, labelled or not: a task adds up one table of whole numbers, and the
+tables are summed per row, so the vectors don't depend on how texts are dealt to tasks. The fit of the network uses a
+sample of labelled rows of at most SAMPLE documents, chosen by a hash of the id; scoring reads every text once,
+whole, and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 30, 3e-3, 1e-4
 #: Text bytes that are pooled at a time.
 BLOCK = 2_000_000
 EXTRAS = 8
+#: Tokens whose surroundings are added up at a time: few enough that 32-bit sums of whole numbers are exact.
+_AROUND = 1 << 16
 
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 _CAPITALS = re.compile(rb"[A-Z]+")
@@ -44,7 +48,7 @@ _DIGITS = re.compile(rb"[0-9]+")
 
 def _rows_of(token: bytes) -> int:
     """The rows of a word and of its shape, as one number."""
-    shape = _DIGITS.sub(b"0", _CAPITALS.sub(b"A", _LETTERS.sub(b"a", token[:64])))
+    shape = _DIGITS.sub(b"0", _CAPITALS.sub(b"A", _LETTERS.sub(b"a", token)))
     half = ROWS // 2
     return (xxhash.xxh3_64_intdigest(token) % half) * ROWS + half + xxhash.xxh3_64_intdigest(shape, 1) % half
 
@@ -99,22 +103,63 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
 
 def _neighbours(texts: list[bytes], index: np.ndarray) -> np.ndarray:
     """Sums of the index vectors of the words around each row's words, and of the shapes of its shapes."""
-    words, shapes, counts, _ = tokens_of(texts)
-    out = np.zeros((ROWS, DIM), dtype=np.float32)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    for rows in (words, shapes):
-        order = np.argsort(rows, kind="stable")
-        for step in [s for s in range(-WINDOW, WINDOW + 1) if s]:
-            at = order + step
-            fine = (at >= 0) & (at < len(rows))
-            fine[fine] = owner[at[fine]] == owner[order[fine]]
-            if fine.any():
-                own = rows[order[fine]]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                out[own[first]] += np.add.reduceat(index[rows[at[fine]]], first, axis=0)
+    out = np.zeros((ROWS, DIM), dtype=np.int64)
+    blank = [ROWS * ROWS + ROWS] * WINDOW  # between texts: a row of zeros, for word and shape
+    flat = list(blank)
+    for text in texts:
+        flat.extend(map(_token_rows.__getitem__, text.split()))
+        flat.extend(blank)
+    both = np.array(flat, dtype=np.int64)
+    vectors = np.vstack([index, np.zeros((1, DIM))]).astype(np.int8)
+    for rows in (np.minimum(both // ROWS, ROWS), np.where(both >= ROWS * ROWS, ROWS, both % ROWS)):
+        for at in range(WINDOW, len(rows) - WINDOW, _AROUND):
+            end = min(at + _AROUND, len(rows) - WINDOW)
+            near = vectors[rows[at - WINDOW : end + WINDOW]]
+            n = end - at
+            around = sum(near[k : k + n] for k in range(2 * WINDOW + 1) if k != WINDOW)
+            own = rows[at:end]
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            sums = np.add.reduceat(around[order].astype(np.float32), first, axis=0)
+            some = own[first] < ROWS
+            out[own[first[some]]] += sums[some].astype(np.int64)
     return out
 
 
+def _all_neighbours(documents: DataFrame, index: np.ndarray) -> np.ndarray:
+    """The neighbours' sums over all documents: one row of DIM whole numbers for each of ROWS."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((ROWS, DIM), dtype=np.int64)
+        for batch in sized_batches(batches, BLOCK):
+            total += _neighbours(text_bytes(batch), index)
+        most = np.abs(total).max(axis=1)
+        low = 0
+        for kind in (np.int8, np.int16, np.int32, np.int64):  # the length of the value tells which
+            high = np.iinfo(kind).max
+            some = np.flatnonzero((most > low) & (most <= high))
+            low = high
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([v.tobytes() for v in total[part].astype(kind)], pa.binary())], names=["row", "v"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {}
+        for batch in batches:
+            for row, v in zip(batch.column("row").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                total[row] = total.get(row, 0) + np.frombuffer(v, dtype=f"i{len(v) // DIM}").astype(np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "v"])
+
+    schema = "row long, v binary"
+    total = np.zeros((ROWS, DIM), dtype=np.float64)
+    # Of fixed size: one vector per row.
+    for r in documents.select("text").mapInArrow(sums, schema).repartition("row").mapInArrow(merged, schema).collect():
+        total[r["row"]] = np.frombuffer(r["v"], dtype=np.int64)
+    return total
+
+
 @dataclass
 class Network:
     mean: np.ndarray
@@ -171,7 +216,7 @@ def trained(x: np.ndarray, y: np.ndarray) -> Network:
 
 
 def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(word vectors, network) from at most ``sample`` labelled rows outside the held-out fold.
+    """(word vectors of all texts, network fitted on at most ``sample`` labelled rows outside the held-out fold).
 
     Without labelled rows, or with one class only, the network is None.
     """
@@ -185,21 +230,7 @@ def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     rows = prefiltered(documents.select("doc_id", "text"), "doc_id", chosen).join(F.broadcast(chosen), "doc_id")
     rows = written(rows.repartition(8, "doc_id"), "quality-texts")
     index = index_vectors()
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((ROWS, DIM), dtype=np.float32)
-        for batch in sized_batches(batches, BLOCK):
-            total += _neighbours(text_bytes(batch), index)
-        some = np.flatnonzero(total.any(axis=1))
-        for at in range(0, len(some), 4096):
-            part = some[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([v.tobytes() for v in total[part]], pa.binary())], names=["row", "v"])
-
-    total = np.zeros((ROWS, DIM), dtype=np.float32)
-    # Of fixed size: at most one vector per row and part, and a few parts.
-    parts = rows.coalesce(8).mapInArrow(sums, "row long, v binary")
-    for r in sorted(parts.collect(), key=lambda r: (r["row"], bytes(r["v"]))):
-        total[r["row"]] += np.frombuffer(r["v"], dtype=np.float32)
+    total = _all_neighbours(documents, index)
     length = np.linalg.norm(total, axis=1, keepdims=True)
     vectors = (total / np.maximum(length, 1e-6) + index / NONZERO**0.5).astype(np.float32)
 
