@@ -235,6 +235,43 @@ def test_components_equal_all_pairs(spark, rows, docs, nothing):
     assert op4_near_dedup.near_duplicates(nothing).count() == 0
 
 
+def _possible(spark, sets, components):
+    """The filter's pairs of sets of numbers, whose order is that of the numbers."""
+    tokens = [(t, at, rep, components[rep]) for rep, s in sets.items() for at, t in enumerate(sorted(s)[: len(s) - -(-75 * len(s) // 100) + 1])]
+    tokens = spark.createDataFrame(tokens, "token long, at long, rep long, component long")
+    sizes = spark.createDataFrame([(rep, len(s)) for rep, s in sets.items()], "rep long, n long")
+    return {tuple(r) for r in op4_near_dedup._possible(tokens, sizes).collect()}
+
+
+def _similar(sets, components):
+    pairs = itertools.combinations(sorted(sets), 2)
+    return {(a, b) for a, b in pairs if components[a] != components[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
+def test_equal_sets_at_the_threshold_pass_the_filter(spark):
+    """60 of 70 in common; who is outside a shingle's main component changes from shingle to shingle."""
+    common = set(range(100, 160))
+    first, last = common | set(range(10)), common | set(range(200, 210))
+    some, rest = {101, 102, 103, 104, 105, 106}, {100, 107}
+    for a, b in ((1, 2), (2, 1)):
+        # Small sets that fit neither, in the component of one or the other, make it a shingle's main one.
+        sets = {a: last, b: first} | {10 * a + i: {t} for i, t in enumerate(some, 1)} | {10 * b + i: {t} for i, t in enumerate(rest, 1)}
+        components = {rep: rep if rep < 10 else rep // 10 for rep in sets}
+        assert _similar(sets, components) == {(1, 2)} <= _possible(spark, sets, components)
+
+
+def test_filter_keeps_every_similar_pair_of_equal_sets(spark):
+    r = np.random.default_rng(12)
+    sets, components = {}, {}
+    for rep in range(120):
+        base = set(range(1000 * (rep % 4), 1000 * (rep % 4) + 70, 1))
+        gone = r.choice(sorted(base), int(r.integers(0, 11)), replace=False).tolist()
+        other = r.choice(sorted(set(range(-500, 4500)) - base), len(gone), replace=False).tolist()
+        sets[rep], components[rep] = (base - set(gone)) | set(other), int(r.integers(0, 5))
+    want = _similar(sets, components)
+    assert len(want) > 300 and want <= _possible(spark, sets, components)
+
+
 def test_sketches_fill_and_estimate():
     r = np.random.default_rng(4)
     a = np.unique(r.integers(0, 1 << 63, 400).astype(np.uint64))

@@ -242,9 +242,10 @@ def _possible(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     side = lambda p: own.select("token", *(F.col(c).alias(p + c) for c in ("rep", "at", "n", "component", "main")))
     met = side("x_").filter("x_component <> x_main").join(side("y_").drop("y_main"), "token")
     once = (F.col("y_component") == F.col("x_main")) | (F.col("x_rep") < F.col("y_rep"))
-    # Of the smaller set a seventh is enough.
+    # Of the smaller set a seventh is enough; of equal ones that of the smaller id, whichever is x for the shingle.
     first = lambda p: F.col(f"{p}_at") <= F.col(f"{p}_n") - F.ceil(F.col(f"{p}_n") * (2 * SIMILAR[0]) / (SIMILAR[0] + SIMILAR[1]))
-    early = F.when(F.col("x_n") <= F.col("y_n"), first("x")).otherwise(first("y"))
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rep") < F.col("y_rep")))
+    early = F.when(smaller, first("x")).otherwise(first("y"))
     met = met.filter((F.col("x_component") != F.col("y_component")) & once & early & _fits("x_n", "y_n"))
     low = F.col("x_rep") < F.col("y_rep")
     either = lambda c: (F.when(low, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(low, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
