@@ -7,6 +7,7 @@ import random
 import pytest
 
 from treeflow import dims
+from treeflow import registry
 from treeflow.operators import coalesce, dedup, diff, filters, identity, journal, merkle, retention, sequence, telemetry
 from treeflow.sources.config import Config
 
@@ -218,3 +219,18 @@ def test_config_is_validated():
 
 def test_every_type_has_a_class():
     assert {t for _, _, t, *_ in dims.EVENT_TYPES} == set(dims.TINS)
+
+
+def test_rename_chains_of_the_whole_table(spark):
+    """10,000 events: chains that start beyond the first 3,000 are followed too."""
+    sf = "/root/testdata/sf0.01"
+    ids = {r["event_id"] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
+    moves = {i: i + 1 for i in ids if i % 6 < 4}
+    want = set()
+    for start in moves.keys() - set(moves.values()):
+        end, hops = start, 0
+        while end in moves:
+            end, hops = moves[end], hops + 1
+        want.add((f"n{start}", f"n{end}", hops))
+    assert max(ids) > 3000
+    assert {(r["start"], r["end"], r["hops"]) for r in registry.QUERIES["rename_chain_ends"](spark, sf).collect()} == want
