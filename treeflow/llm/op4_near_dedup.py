@@ -12,11 +12,11 @@ pre-aggregated minimum). Then come rounds of stars: every bucket that holds more
 a centre, and each member outside the centre's component is compared with one centre, the one it shares
 most buckets with; links are verified on full shingle sets and contracted. Each round compares a
 document at most once and takes another centre, so a family of copies becomes one component in a few
-rounds, however large. What is left are documents whose buckets still hold several components. Among
-them an exact filter finds all pairs that can be links: of two similar sets the first quarters, in any
-common order of shingles, share one, and the places where they do bound the overlap. The order puts
-shingles that many documents have last, so a passage that many share is in no first quarter and makes
-no pairs; only pairs of different components are compared.
+rounds, however large. What is left are documents whose buckets still hold several components. Their
+parity bitmaps, of two to four bits a shingle, meet bucket by bucket, in blocks of bounded size: bitmaps
+differ in at most as many bits as the sets in shingles, so all pairs that can be links are found within
+a task, and only those leave it. Rounds that give each document its nearest candidate (as many rows as
+documents) contract what can be linked; a last one gives every candidate between what is still apart.
 Verification streams each centre's documents past its set, in salted portions, so a centre with very
 many members is spread over tasks.
 """
@@ -33,17 +33,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeflow.llm.bpe import Cache
-from treeflow.llm.common import components, drop, prefiltered, sized_batches, space_words, table, text_bytes, written
+from treeflow.llm.common import components, drop, prefiltered, sized_batches, space_words, split_batches, table, text_bytes, written
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction.
 SIMILAR = (75, 100)
 ROWS, BANDS = 6, 64
-#: Rounds of stars before pairs are compared one by one; they end early once few comparisons give links.
-STARS, WORTHWHILE = 5, 0.2
-#: Documents from which common shingles are counted, and how many of them the order knows. Both only
-#: make the filter sharper: it is exact in any order.
-ORDER_SAMPLE, ORDER_SHINGLES = 20_000, 400_000
+#: Rounds of stars, and of nearest candidates, before all candidates are verified; both end early once few comparisons give links.
+STARS, NEAREST, WORTHWHILE = 5, 3, 0.2
+#: Members of one block of a bucket, and pairs whose bitmaps are compared at once.
+BLOCK, COMPARED = 4096, 1 << 19
+#: Words of 64 bits of the parity bitmaps: two to four bits a shingle, within these bounds.
+LEAST_WORDS, MOST_WORDS = 16, 1024
 #: Documents that a portion of a star holds.
 PORTION = 256
 
@@ -110,9 +111,18 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(key).view(np.int64)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """The parity bitmap of a set: a bit tells whether an odd number of elements falls on it."""
+    words = LEAST_WORDS
+    while words * 32 < len(s) and words < MOST_WORDS:
+        words *= 2
+    at = (s & np.uint64(words * 64 - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=words * 64) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sketched(documents: DataFrame, rows: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, 3_000_000):
+        for batch in sized_batches(split_batches(batches, 2000), 2_000_000):
             sets = shingle_sets(text_bytes(batch))
             some = [i for i, s in enumerate(sets) if len(s)]
             keys = band_keys(sketches([sets[i] for i in some], rows * bands), bands, rows) if some else np.empty((0, bands), np.int64)
@@ -121,9 +131,10 @@ def _sketched(documents: DataFrame, rows: int, bands: int) -> DataFrame:
                 batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
-            ], names=["doc_id", "n_shingles", "print", "bands"])
+                pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+            ], names=["doc_id", "n_shingles", "print", "bands", "signature"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>, signature binary")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -179,81 +190,110 @@ def _with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with components, of the buckets that still hold more than one."""
     now = _with_components(members, labels)
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return now.join(mixed.filter("lo <> hi").select("key"), "key")
-
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"))
+    return now.join(mixed.filter("lo <> hi").select("key", "held"), "key")
 
-def _shingle_rows(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rep, component, text) of the nodes (rep, component)."""
-    texts = prefiltered(documents.select("doc_id", "text"), "doc_id", nodes.select("rep"))
-    return texts.join(nodes, texts["doc_id"] == nodes["rep"]).select("rep", "component", "text")
 
+def _folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmaps, one per row, folded to so many 64-bit words."""
+    return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
 
-def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that several documents of a bounded sample have, and how many do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, 2_000_000):
-            all_ = [s for s in shingle_sets(text_bytes(batch)) if len(s)]
-            if all_:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(all_).view(np.int64))], names=["s"])
-
-    share = min(1.0, ORDER_SAMPLE / max(1, rows.count()))
-    sample = rows.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = sample.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas()
-    s, n = found["s"].to_numpy(dtype=np.int64).view(np.uint64), found["n"].to_numpy(dtype=np.int64)
-    order = np.argsort(s)
-    return s[order], n[order]
 
+def candidates(rep: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, signatures: list[bytes], every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket, of different components, that may be links.
 
-def _first_parts(rows: DataFrame) -> DataFrame:
-    """(token, at, rep, n, component): the shingles among which similar sets share one, with their places."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(_common_shingles(rows.select("rep", "text")))
+    The parity bitmaps of two sets differ in at most as many bits as the sets in elements, so a link's
+    differ in at most (n + m) / 7 bits; nothing else is left out. Rows of sides 0 and 1 are compared with
+    each other, all rows if there is one side only. ``every`` gives all such pairs, else each row gives
+    the one with the smallest share of bits that differ.
+    """
+    width = np.array([len(x) // 8 for x in signatures])
+    values, counts = np.unique(component, return_counts=True)
+    main = values[counts.argmax()]
+    both = len(np.unique(side)) > 1
+    found_a, found_b, found_share = [], [], []
+    for w in np.unique(width):
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        bits = np.frombuffer(b"".join(signatures[i] for i in own), dtype="<u8").reshape(len(own), w)
+        others, other_bits = own, bits
+        if len(wider):
+            others = np.concatenate([own, wider])
+            other_bits = np.vstack([bits, _folded(np.frombuffer(b"".join(signatures[i] for i in wider), dtype="<u8").reshape(len(wider), 2 * w), w)])
+        order = np.argsort(n[others], kind="stable")
+        others, other_bits = others[order], other_bits[order]
+        sizes = n[others]
+        # Members of the largest component are only compared with others; that comparison starts from the others.
+        lead = np.flatnonzero(component[others] != main)
+        step = max(1, COMPARED // max(1, len(others)))
+        for at in range(0, len(lead), step):
+            x = lead[at : at + step]
+            low = np.searchsorted(sizes, -(-SIMILAR[0] * int(sizes[x[0]]) // SIMILAR[1]), "left")
+            high = np.searchsorted(sizes, int(sizes[x[-1]]) * SIMILAR[1] // SIMILAR[0], "right")
+            y = np.arange(low, high)
+            differ = np.zeros((len(x), len(y)), dtype=np.int32)
+            for k in range(w):
+                differ += np.bitwise_count(other_bits[x, k][:, None] ^ other_bits[low:high, k][None, :])
+            total = sizes[x][:, None] + sizes[y][None, :]
+            gx, gy = others[x], others[y]
+            good = (differ * (SIMILAR[0] + SIMILAR[1]) <= total * (SIMILAR[1] - SIMILAR[0])) & (component[gx][:, None] != component[gy][None, :])
+            good &= np.minimum(width[gx][:, None], width[gy][None, :]) == w  # wider pairs are compared in their own width
+            if both:
+                good &= side[gx][:, None] != side[gy][None, :]
+            i, j = np.nonzero(good)
+            found_a.append(gx[i])
+            found_b.append(gy[j])
+            found_share.append(differ[i, j] / total[i, j])
+    if not found_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    i, j, share = (np.concatenate(x) for x in (found_a, found_b, found_share))
+    if not every:  # the nearest of each row, from either end of a pair
+        i, j, share = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([share, share])
+        order = np.lexsort((rep[j], share, rep[i]))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.concatenate([[True], rep[i][1:] != rep[i][:-1]])) if len(i) else np.empty(0, np.int64)
+        i, j = i[first], j[first]
+    return np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1), axis=0).T if len(i) else (rep[i], rep[j])
+
+
+def _met(mixed: DataFrame, signatures: DataFrame, every: bool) -> DataFrame:
+    """(a, b): candidates() of every bucket. A bucket of more than BLOCK members is cut into blocks, which meet two by two."""
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0))))
+    rows = mixed.select("key", "rep", "n", "component", blocks.alias("blocks")).withColumn("own", own)
+    rows = rows.withColumn("other", other).join(signatures, "rep")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, 0).otherwise((F.col("own") == low).cast("int")).cast("int")
+    rows = rows.select("key", low.alias("low"), high.alias("high"), "rep", "n", "component", side.alias("side"), "signature")
+    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = shared.value
-        for batch in sized_batches(batches, 1_000_000):
-            rep, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component"))
-            parts = []
-            for s in shingle_sets(text_bytes(batch)):
-                weight = np.zeros(len(s), dtype=np.int64)
-                if len(common) and len(s):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    weight = np.where(common[at] == s, often[at], 0)
-                least = -(-SIMILAR[0] * len(s) // SIMILAR[1])
-                parts.append(s[np.lexsort((s, weight))][: len(s) - least + 1])
-            k = np.array([len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate([np.arange(n) for n in k])),
-                pa.array(np.repeat(rep, k)), pa.array(np.repeat(component, k)),
-            ], names=["token", "at", "rep", "component"])
-
-    return rows.mapInArrow(run, "token long, at long, rep long, component long")
-
-
-def _possible(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b) of different components whose first parts leave room for enough overlap."""
-    # Documents outside a shingle's largest component meet all others: a large family costs its size, not its square.
-    held = tokens.groupBy("token", "component").agg(F.count("*").alias("n"))
-    main = held.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1")
-    own = tokens.join(main.select("token", F.col("m.component").alias("main")), "token").join(sizes, "rep")
-    side = lambda p: own.select("token", *(F.col(c).alias(p + c) for c in ("rep", "at", "n", "component", "main")))
-    met = side("x_").filter("x_component <> x_main").join(side("y_").drop("y_main"), "token")
-    once = (F.col("y_component") == F.col("x_main")) | (F.col("x_rep") < F.col("y_rep"))
-    # Of the smaller set a seventh is enough; of equal ones that of the smaller id, whichever is x for the shingle.
-    first = lambda p: F.col(f"{p}_at") <= F.col(f"{p}_n") - F.ceil(F.col(f"{p}_n") * (2 * SIMILAR[0]) / (SIMILAR[0] + SIMILAR[1]))
-    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rep") < F.col("y_rep")))
-    early = F.when(smaller, first("x")).otherwise(first("y"))
-    met = met.filter((F.col("x_component") != F.col("y_component")) & once & early & _fits("x_n", "y_n"))
-    low = F.col("x_rep") < F.col("y_rep")
-    either = lambda c: (F.when(low, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(low, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
-    met = met.select(*(e.alias(f"{p}_{c}") for c in ("rep", "at", "n") for p, e in zip("xy", either(c), strict=True)))
-    pairs = met.groupBy("x_rep", "y_rep", "x_n", "y_n").agg(F.count("*").alias("c"), F.max("x_at").alias("x_at"), F.max("y_at").alias("y_at"))
-    most = F.col("c") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
-    enough = most * (SIMILAR[0] + SIMILAR[1]) >= (F.col("x_n") + F.col("y_n")) * SIMILAR[0]
-    return pairs.filter(enough).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+        def of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(parts)
+            if group.num_rows < 2:
+                return
+            rep, n, component, side = (group.column(c).to_numpy() for c in ("rep", "n", "component", "side"))
+            a, b = candidates(rep, n, component, side, group.column("signature").to_pylist(), every)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        waiting, last = [], None
+        for batch in batches:
+            cell = list(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high")), strict=True))
+            start = 0
+            for at in range(len(cell)):
+                if cell[at] != last:
+                    if at > start:
+                        waiting.append(batch.slice(start, at - start))
+                    if waiting:
+                        yield from of(waiting)
+                    waiting, last, start = [], cell[at], at
+            if len(cell) > start:
+                waiting.append(batch.slice(start))
+        if waiting:
+            yield from of(waiting)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -267,7 +307,7 @@ def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS)
     sk = written(_sketched(documents, rows, bands), "sketches")
     known = sk.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(
-        known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
         "classes",
     )
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
@@ -314,14 +354,17 @@ def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS)
         if share < WORTHWHILE:
             break
 
-    # What is left: pairs of different components among the documents of mixed buckets.
-    mixed = _unresolved(members, labels).select("rep", "component", "n").distinct()
-    nodes = written(mixed, "mixed")
-    texts = written(_shingle_rows(documents, nodes.select("rep", "component")), "mixed-texts")
-    tokens = written(_first_parts(texts), "first-parts")
-    drop(spark, texts)
-    compare(_possible(tokens, nodes.select("rep", "n")))
-    drop(spark, tokens)
+    def resolve(every: bool) -> float:
+        mixed = written(_unresolved(members, labels).select("key", "rep", "n", "component", "held"), "mixed")
+        share = compare(_met(mixed, classes.select("rep", "signature"), every))
+        drop(spark, mixed)
+        return share
+
+    # What is left: candidates of different components in mixed buckets, first the nearest of each document, then all.
+    for _ in range(NEAREST):
+        if resolve(every=False) < WORTHWHILE:
+            break
+    resolve(every=True)
 
     named = classes.select("print", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("print", F.coalesce("component", "rep").alias("found"))
@@ -332,7 +375,7 @@ def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS)
         .withColumn("component_id", F.coalesce("found", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     )
-    drop(spark, members, nodes)
+    drop(spark, members)
     return out
 
 
