@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeflow.shared import drop, scratch, shared_dir, written  # noqa: F401  (used by the operators)
+from treeflow.shared import drop, scratch, shared_dir, shuffles_released, written  # noqa: F401  (used by the operators)
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Lower-cases A-Z and leaves every other byte (UTF-8 sequences included) alone.
