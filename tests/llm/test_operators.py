@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from treeflow.llm import (
     op1_decontaminate, op2_secrets, op3_warc, op4_near_dedup, op5_token_counts, op6_pitman_yor, op7_pivot_topk, op8_sharding, op9_packing,
@@ -403,6 +404,81 @@ def test_seating_is_within_bounds():
     assert (t >= 1).all() and (t <= c).all() and t[0] == 1 and t[3] > t[1]
 
 
+def _seated(customers, prior, discount, salt):
+    """One customer after the other; one number for every new table, as op6_pitman_yor.seat() draws them."""
+    n = t = min(1, customers)
+    step, none, u = 0, 1.0, None
+    while n < customers:
+        if u is None:
+            draw = int(op6_pitman_yor._mix(np.array([salt], dtype=np.uint64) + np.uint64(step * 2 + 1))[0]) >> 11
+            u, none, step = (draw + 0.5) / (1 << 53), 1.0, step + 1
+        none *= 1 - prior / (prior + n - discount * t)
+        n += 1
+        if none < u:
+            t, u = t + 1, None
+    return t
+
+
+def test_seating_equals_seating_one_by_one():
+    r = np.random.default_rng(3)
+    c, prior, salt = r.integers(0, 2000, 300), r.uniform(1e-4, 20, 300), r.integers(0, 1 << 62, 300).astype(np.uint64)
+    got = op6_pitman_yor.seat(c, prior, 0.7, salt)
+    assert got.tolist() == [_seated(int(a), float(b), 0.7, s) for a, b, s in zip(c, prior, salt, strict=True)]
+
+
+def test_scores_equal_a_sampler_over_dictionaries(spark, sf):
+    """The same draws, restaurant by restaurant, in plain Python."""
+    m = op6_pitman_yor
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows += [(1_000_000, "ab " * 400), (1_000_001, None)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    word = lambda w: int(m._END) if w is None else xxhash.xxh3_64_intdigest(w.encode()) & ((1 << 48) - 1)
+    texts = {d: [word(w) for w in _tokens(t)] for d, t in rows}
+    pairs = lambda t: list(zip([int(m._START), *t[:-1]], t, strict=True))
+    cells = Counter(p for d, t in texts.items() if not held(d) for p in pairs(t))
+    as_u64 = lambda x: np.array([x], dtype=np.uint64)
+    tables = {p: 1 for p in cells}
+    vocabulary = {w for _, w in cells}
+    above = dict.fromkeys(vocabulary, 1)
+    estimate = lambda values: min(0.95, max(0.05, (n1 := sum(v == 1 for v in values)) / max(1.0, n1 + 2 * sum(v == 2 for v in values))))
+    per_word = lambda: Counter({w: sum_ for w, sum_ in _sums(tables, 1).items()})
+    d1, d2 = estimate(per_word().values()), estimate(cells.values())
+    base, total = 1 / (len(vocabulary) + 1), Counter()
+    held_tables = _sums(tables, 0)
+    customers = _sums(cells, 0)
+
+    def own(w):
+        return (n.get(w, 0) - d1 * above.get(w, 0) + (1 + d1 * all_above) * base) / (1 + all_customers)
+
+    def p(u, w):
+        rest = (1 + d2 * held_tables.get(u, 0)) / (1 + customers.get(u, 0))
+        return (cells[u, w] - d2 * tables.get((u, w), 0)) / (1 + customers.get(u, 0)) + rest * own(w)
+
+    asked = {pair for t in texts.values() for pair in pairs(t)}
+    for sweep in range(1, m.SWEEPS + 1):
+        seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
+        n, all_above = per_word(), sum(above.values())
+        all_customers = sum(n.values())
+        salt = lambda w, u: int(m._key(as_u64(w) ^ seed, as_u64(u))[0])  # noqa: E731, B023
+        tables = {(u, w): _seated(c, (1 + d2 * held_tables[u]) * own(w), d2, salt(w, u)) for (u, w), c in cells.items()}
+        held_tables, n = _sums(tables, 0), per_word()
+        above = {w: _seated(n[w], (1 + d1 * all_above) * base, d1, int(m._mix(as_u64(w) ^ seed)[0])) for w in vocabulary}
+        all_above, all_customers = sum(above.values()), sum(n.values())
+        if sweep > m.BURN:
+            total.update({pair: p(*pair) for pair in asked})
+    want = {d: sum(math.log10(total[x] / (m.SWEEPS - m.BURN)) for x in pairs(t)) for d, t in texts.items()}
+    got = {r["doc_id"]: r["score"] for r in m.language_scores(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=30_000).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d] == pytest.approx(want[d], rel=1e-5) for d in want)
+
+
+def _sums(cells, end):
+    out = {}
+    for pair, c in cells.items():
+        out[pair[end]] = out.get(pair[end], 0) + c
+    return out
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 
 

@@ -12,10 +12,13 @@ its word's customers and tables above) is joined by shuffle from one row per wor
 hash of word, context, sweep and customer, so the sample doesn't depend on how rows are dealt to tasks.
 Probabilities are averaged over the samples.
 
-Words travel as 64-bit hashes. A task sums its cells for chunks of texts, and gets back for each chunk
-what the probabilities of just the words and cells in it are made of, in the chunk's own order; the
-texts themselves are never shuffled. Cells are dealt by a hash of word and context, so a frequent word
-or context is spread over all tasks. Vocabulary and counts are never gathered in one place.
+Words travel as 48-bit hashes (a million words collide once in 500 corpora) and never as texts; the texts
+are never shuffled. A task sums its cells for chunks of texts, packs them by ranges of the cells' hashes and
+sends them once to where all chunks' counts of a range meet. There a cell's total is known, so what goes on
+is small: the cells of several customers, sums per word, and per chunk which of its cells occur never, once
+or more often in training. After the sweeps only the last are looked up. Cells are dealt by a hash of word
+and context, so a frequent word or context is spread over all tasks. Vocabulary and counts are never
+gathered in one place.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeflow.llm.bpe import Cache
-from treeflow.llm.common import drop, id_crc, scratch, sized_batches, space_words, table, text_bytes, written
+from treeflow.llm.common import drop, id_crc, scratch, shuffles_released, sized_batches, space_words, table, text_bytes, written
 
 #: A document is held out if crc32 of its id's text leaves no remainder.
 HELD_OUT_MOD = 10
@@ -40,17 +43,21 @@ SWEEPS, BURN = 4, 2
 THETA = (1.0, 1.0)
 #: Text bytes of one chunk.
 CHUNK_BYTES = 24_000_000
-#: Up to this many customers are seated one by one, more of them in growing steps.
-SINGLE = 64
 #: A row's id: task, chunk and place of the row in the chunk.
 _TASK_BITS, _CHUNK_BITS = 40, 28
-#: Cells travel in rows of one part of the range of their keys.
+#: Cells travel in rows of one part of the range of their keys; words in such rows behind those of the cells.
 _BUCKET_BITS = 13
-#: Cells that are packed, and words that are asked for, in one row or at once.
-_PACKED, _ASKED = 400_000, 4096
-_CELL = np.dtype([("w", "<u8"), ("u", "<u8")])
-_END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
-_word_hash = Cache(xxhash.xxh3_64_intdigest, 120_000)
+_WORD_BUCKETS = 1 << _BUCKET_BITS
+#: Cells that are packed or summed up at once.
+_PACKED = 400_000
+_WORD_BITS = 48
+_CELL = np.dtype([("w", "<u4"), ("w_high", "<u2"), ("u", "<u4"), ("u_high", "<u2")])
+_SEVERAL = np.dtype([("w", "<i8"), ("u", "<i8"), ("c", "<i8")])
+_SUM = np.dtype([(x, "<i8") for x in ("w", "c", "cu", "n1", "s1", "n", "tu")])
+#: What rows that answer no chunk hold, in place of a row's id.
+_MODEL, _SEVERAL_ROWS, _SUM_ROWS = -1, -2, -3
+_END, _START = np.uint64(0x79B97F4A7C15), np.uint64(0x14F22545F491)
+_word_hash = Cache(lambda word: xxhash.xxh3_64_intdigest(word) & ((1 << _WORD_BITS) - 1), 120_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,8 +100,21 @@ class Chunk:
         return order, cell, key[cell]
 
     def asked(self) -> np.ndarray:
-        """The distinct words and contexts, in order."""
-        return np.unique(np.append(self.words, _START))
+        """The distinct words and contexts, in the order of their hashes mixed."""
+        words = np.unique(np.append(self.words, _START))
+        return words[np.argsort(_mix(words))]
+
+
+def _pack_cells(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    out = np.empty(len(words), dtype=_CELL)
+    for name, x in (("w", words), ("u", contexts)):
+        out[name], out[name + "_high"] = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
+    return out
+
+
+def _unpack_cells(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    word = lambda name: cells[name].astype(np.uint64) | (cells[name + "_high"].astype(np.uint64) << np.uint64(32))
+    return word("w"), word("u")
 
 
 def _begins(ordered: np.ndarray) -> np.ndarray:
@@ -145,11 +165,23 @@ def _longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-_COUNTED = "bucket int, id long, cells binary, n binary"
+_ROWS = "bucket int, id long, a binary, n binary"
+
+
+def _rows(bucket: np.ndarray, lengths: np.ndarray, ids: np.ndarray, a: np.ndarray, kind, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Packed rows, some at a time."""
+    ends = np.cumsum(lengths)
+    for at in range(0, len(bucket), 1024):
+        rows = slice(at, at + 1024)
+        own = slice(int(ends[at] - lengths[at]), int(ends[rows][-1]))
+        counts = pa.nulls(len(bucket[rows]), pa.binary()) if n is None else _packed(lengths[rows], n[own], "<u4")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[rows].astype(np.int32)), pa.array(ids[rows].astype(np.int64)), _packed(lengths[rows], a[own], kind), counts], names=["bucket", "id", "a", "n"]
+        )
 
 
 def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Per chunk and bucket its cells with their training counts, and in rows of bucket -1 its words."""
+    """Per chunk and bucket its cells with their training counts, and its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
@@ -158,27 +190,17 @@ def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
             train = ~np.concatenate([np.asarray(b.column("held_out").to_pylist(), dtype=bool) for b in group])
             order, cell, key = chunk.cells()
             n = np.add.reduceat(np.repeat(train, chunk.lengths)[order].astype(np.int64), cell)
-            cells = np.empty(len(cell), dtype=_CELL)
-            cells["w"], cells["u"] = chunk.words[order[cell]], chunk.contexts()[order[cell]]
+            cells = _pack_cells(chunk.words[order[cell]], chunk.contexts()[order[cell]])
             base = (p << _TASK_BITS) + (number << _CHUNK_BITS)
             asked = chunk.asked()
             chunk = order = cell = None
-            at = np.arange(0, len(asked), _ASKED)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(at), -1, dtype=np.int32)), pa.array(base + at), _packed(np.diff(np.append(at, len(asked))), asked, "<u8"),
-                pa.nulls(len(at), pa.binary()),
-            ], names=["bucket", "id", "cells", "n"])
+            bucket, lengths = _buckets(_mix(asked))
+            bucket = bucket.astype(np.int64) + _WORD_BUCKETS
+            yield from _rows(bucket, lengths, base + bucket, asked, "<u8")
             bucket, lengths = _buckets(key)
-            ends = np.cumsum(lengths)
-            for at in range(0, len(bucket), 1024):
-                rows = slice(at, at + 1024)
-                own = slice(int(ends[at] - lengths[at]), int(ends[rows][-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[rows]), pa.array(base + bucket[rows].astype(np.int64)), _packed(lengths[rows], cells[own], _CELL), _packed(lengths[rows], n[own], "<u4")],
-                    names=["bucket", "id", "cells", "n"],
-                )
+            yield from _rows(bucket, lengths, base + bucket.astype(np.int64), cells, _CELL, n)
 
-    return documents.mapInArrow(run, _COUNTED)
+    return documents.mapInArrow(run, _ROWS)
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,33 +219,82 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield held
 
 
-def _merged(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over equal cells: their keys in order, sums, one place of each, and every given cell's place among them."""
-    key = _key(cells["w"], cells["u"])
-    order = np.argsort(key, kind="stable")
-    first = _begins(key[order])
-    home = np.empty(len(key), dtype=np.int64)
-    home[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-    return key[order[first]], np.add.reduceat(n[order].astype(np.int64), first) if len(first) else n.astype(np.int64), order[first], home
+def _summed(w: list[np.ndarray], u: list[np.ndarray], c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Cells summed per word and context, as one packed row."""
+    w, u, c = (np.concatenate(x) for x in (w, u, c))
+    words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
+    out = np.zeros(len(words), dtype=_SUM)
+    out["w"] = words.view(np.int64)
+    one = (c == 1).astype(np.float64)
+    for own, names in ((at[: len(w)], ("c", "n1", "n")), (at[len(w) :], ("cu", "s1", "tu"))):
+        for name, value in zip(names, (c, one, None), strict=True):
+            out[name] = np.bincount(own, value, minlength=len(words)).astype(np.int64)  # whole numbers below 2^53
+    yield from _rows(np.array([-1]), np.array([len(out)]), np.array([_SUM_ROWS]), out, _SUM)
+
 
+def _reduced(counts: DataFrame) -> DataFrame:
+    """What is known where the counts of all chunks meet: see the module's text.
 
-def _cells(counts: DataFrame) -> DataFrame:
-    """(w, u, c): every cell of the training texts."""
+    Rows of cells come out with a code per cell (0, 1, 2: training customers, two at most) in ``n`` and the keys
+    of those with code 2 in ``a``. Rows of words go through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        n_held = 0
         for whole in _whole_buckets(batches):
-            cells, n = _unpacked(whole.column("cells"), _CELL)[1], _unpacked(whole.column("n"), "<u4")[1]
-            _, c, place, _ = _merged(cells, n)
+            bucket = _longs(whole.column("bucket"))
+            cut = int(np.searchsorted(bucket, _WORD_BUCKETS))
+            if cut < len(bucket):
+                yield whole.slice(cut)
+            if not cut:
+                continue
+            own = whole.slice(0, cut)
+            lengths, cells = _unpacked(own.column("a"), _CELL)
+            w, u = _unpack_cells(cells)
+            key = _key(w, u)
+            order = np.argsort(key, kind="stable")
+            first = _begins(key[order])
+            c = np.add.reduceat(_unpacked(own.column("n"), "<u4")[1][order].astype(np.int64), first)
+            place = order[first]
+            code = np.empty(len(key), dtype=np.uint8)
+            code[order] = np.repeat(np.minimum(c, 2), np.diff(np.append(first, len(key))))
+            several = code == 2
+            ends = np.cumsum(lengths)
+            k = np.concatenate([[0], np.cumsum(several)])
+            yield pa.RecordBatch.from_arrays(
+                [own.column("bucket"), own.column("id"), _packed(k[ends] - k[ends - lengths], key[several], "<u8"), _packed(lengths, code, "<u1")], names=["bucket", "id", "a", "n"]
+            )
+            w, u = w[place], u[place]
+            some = c > 1
+            out = np.empty(int(some.sum()), dtype=_SEVERAL)
+            out["w"], out["u"], out["c"] = w[some].view(np.int64), u[some].view(np.int64), c[some]
+            yield from _rows(np.array([-1]), np.array([len(out)]), np.array([_SEVERAL_ROWS]), out, _SEVERAL)
             some = c > 0
-            cells, c = cells[place[some]], c[some]
-            for at in range(0, len(c), _PACKED):
-                part = slice(at, at + _PACKED)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells["w"][part].view(np.int64)), pa.array(cells["u"][part].view(np.int64)), pa.array(c[part])], names=["w", "u", "c"]
-                )
+            for x, y in zip(held, (w, u, c), strict=True):
+                x.append(y[some])
+            n_held += int(some.sum())
+            if n_held >= _PACKED:
+                yield from _summed(*held)
+                held, n_held = ([], [], []), 0
+        if n_held:
+            yield from _summed(*held)
 
-    rows = counts.filter("bucket >= 0").select("bucket", "cells", "n")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "w long, u long, c long")
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ROWS)
+
+
+def _as_columns(rows: DataFrame, kind: np.dtype) -> DataFrame:
+    """Packed rows as one row for every entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values = _unpacked(batch.column("a").slice(i, 1), kind)[1]
+                for at in range(0, len(values), 50_000):
+                    part = values[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[x])) for x in kind.names], names=list(kind.names))
+
+    return rows.select("a").mapInArrow(run, ", ".join(f"{x} long" for x in kind.names))
 
 
 #: Per word: training count, customers it has as a context, tables of its cells of one customer as a word
@@ -231,14 +302,9 @@ def _cells(counts: DataFrame) -> DataFrame:
 _NODE = "w long, c long, cu long, n1 long, s1 long, n long, tw long, tu long, ns array<long>, tws array<long>, tus array<long>"
 
 
-def _nodes(cells: DataFrame) -> DataFrame:
+def _nodes(sums: DataFrame) -> DataFrame:
     """One row per word or context with one table for every cell and one for the word above."""
-    one, none = (F.col("c") == 1).cast("long"), F.lit(0).cast("long")
-    each = F.lit(1).cast("long")
-    both = cells.select("w", "c", none.alias("cu"), one.alias("n1"), none.alias("s1"), each.alias("n"), none.alias("tu")).unionAll(
-        cells.select(F.col("u").alias("w"), none.alias("c"), F.col("c").alias("cu"), none.alias("n1"), one.alias("s1"), none.alias("n"), each.alias("tu"))
-    )
-    sums = both.groupBy("w").agg(*(F.sum(x).alias(x) for x in ("c", "cu", "n1", "s1", "n", "tu")))
+    sums = sums.groupBy("w").agg(*(F.sum(x).alias(x) for x in ("c", "cu", "n1", "s1", "n", "tu")))
     empty = F.expr("cast(array() as array<bigint>)")
     tw = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
     return sums.select("w", "c", "cu", "n1", "s1", "n", tw.alias("tw"), "tu", empty.alias("ns"), empty.alias("tws"), empty.alias("tus"))
@@ -286,42 +352,101 @@ class Model:
         return (c - self.d2 * t) / self.all[b] + self.back_off()[b] * parent
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for positive numbers: Stirling's series after ten steps up."""
+    z = x + 10.0
+    up = x.copy()
+    for k in range(1, 10):
+        up *= x + k
+    tail = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * z * z)) / (z * z)) / (z * z)) / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + tail - np.log(up)
+
+
+#: Customers that are tried one by one for each new table.
+_WALK = 8
+
+
 def seat(customers: np.ndarray, prior: np.ndarray, discount: float, salt: np.ndarray) -> np.ndarray:
     """Tables after seating each row's customers in turn; ``prior`` is strength times parent probability.
 
-    A customer opens a table with probability prior / (prior + seated - discount * tables). Beyond SINGLE
-    customers as many as a part of those seated are drawn at once, by their mean and a random rounding.
+    A customer opens a table with probability prior / (prior + seated - discount * tables). Between two new
+    tables the chance that m customers in a row open none is a ratio of gamma functions, so the one that opens
+    the next is drawn at once, by one number per table, from exactly that law.
     """
-    order = np.argsort(-customers, kind="stable")
-    c, p, s = customers[order], prior[order], salt[order]
-    tables = np.ones(len(c))
-    seated, step = 1, 0
-    while True:
-        n = int(np.searchsorted(-c, -seated, "left"))  # rows with more customers than seated
-        if not n:
-            break
-        m = np.minimum(max(1, seated // SINGLE), c[:n] - seated)
-        chance = p[:n] / (p[:n] + seated - discount * tables[:n])
-        u = (_mix(s[:n] + np.uint64(step * 2 + 1)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        tables[:n] += np.floor(m * chance + u)
-        seated, step = seated + max(1, seated // SINGLE), step + 1
-    out = np.empty(len(c), dtype=np.int64)
-    out[order] = tables.astype(np.int64)
+    tables = (customers > 0).astype(np.int64)
+    at = np.flatnonzero(customers > 1)
+    c, p, s = customers[at], prior[at], salt[at]
+    seated, t, step = np.ones(len(at), dtype=np.int64), np.ones(len(at), dtype=np.int64), 0
+    while len(at):
+        u = ((_mix(s + np.uint64(step * 2 + 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        a, left = seated - discount * t, c - seated
+        gap, none = np.zeros(len(at), dtype=np.int64), np.ones(len(at))
+        for j in range(_WALK):  # most gaps are short
+            none *= (a + j) / (p + a + j)
+            gap[(gap == 0) & (none < u) & (left > j)] = j + 1
+            if ((gap > 0) | (left <= j + 1)).all():
+                break
+        far = np.flatnonzero((gap == 0) & (left > _WALK))
+        if len(far):
+            gap[far] = _opener(a[far], p[far], left[far], np.log(u[far]))
+        seated, opens = seated + gap, gap > 0
+        t += opens
+        going = opens & (seated < c)
+        tables[at[~going]] = t[~going]
+        at, c, p, s, seated, t = (x[going] for x in (at, c, p, s, seated, t))
+        step += 1
+    return tables
+
+
+def _opener(a: np.ndarray, p: np.ndarray, left: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Which of the next ``left`` customers opens a table, 0 for none; one of the first _WALK doesn't."""
+    from_ = log_gamma(p + a) - log_gamma(a)
+    none_in = lambda m, k: log_gamma(a[k] + m) - log_gamma(p[k] + a[k] + m) + from_[k]
+    out = np.zeros(len(a), dtype=np.int64)
+    some = np.flatnonzero(none_in(left, slice(None)) < u)
+    low, high = np.full(len(some), _WALK), np.minimum(left[some], 2 * _WALK)
+    open_ = np.arange(len(some))
+    while len(open_):  # double the range until it holds the opener, among (low, high]
+        beyond = none_in(high[open_], some[open_]) >= u[some[open_]]
+        open_ = open_[beyond]
+        low[open_], high[open_] = high[open_], np.minimum(left[some[open_]], 2 * high[open_])
+    open_ = np.flatnonzero(high - low > 1)
+    while len(open_):
+        middle = (low[open_] + high[open_]) // 2
+        found = none_in(middle, some[open_]) < u[some[open_]]
+        high[open_[found]] = middle[found]
+        low[open_[~found]] = middle[~found]
+        open_ = open_[high[open_] - low[open_] > 1]
+    out[some] = high
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of about _PACKED rows."""
+    waiting, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            n += batch.num_rows
+        if n >= _PACKED:
+            yield waiting
+            waiting, n = [], 0
+    if waiting:
+        yield waiting
+
+
 def _swept(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tuple[float, float], sweep: int) -> DataFrame:
     """The cells (w, u, c, t, tsum) of several customers, seated anew."""
     seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, u, c, tsum, n, tw, tu = (_longs(x) for x in batch.columns)
-            if not len(w):
-                continue
+        for group in _gathered(batches):
+            w, u, c, tsum, n, tw, tu = (np.concatenate([_longs(b.column(x)) for b in group]) for x in ("w", "u", "c", "tsum", "n", "tw", "tu"))
             model = Model(replace(totals, customers=np.zeros(len(w)), tables=tu), discounts)
             t = seat(c, model.strength * model.parent(n, tw), model.d2, _key(w.view(np.uint64) ^ seed, u.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, u, c, t, tsum)], names=["w", "u", "c", "t", "tsum"])
+            for at in range(0, len(w), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (w, u, c, t, tsum)], names=["w", "u", "c", "t", "tsum"])
 
     above = nodes.select("w", "n", "tw")
     beside = nodes.select(F.col("w").alias("u"), "tu")
@@ -355,77 +480,109 @@ def _resummed(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tup
     return rows
 
 
-def _asked(counts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, c, cu, ns, tws, tus) for every word that a chunk asks for; nulls for one that no training text has."""
+def _answered(queries: DataFrame, model: DataFrame, answer) -> DataFrame:
+    """(id, v): ``answer(model rows, query rows)`` for every row of the queries, bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                lengths, w = _unpacked(part.column("cells"), "<u8")
-                ids = np.repeat(_longs(part.column("id")), lengths) + np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids)], names=["w", "id"])
-
-    asked = counts.filter("bucket < 0").select("id", "cells").mapInArrow(run, "w long, id long")
-    return asked.join(nodes.select("w", "c", "cu", "ns", "tws", "tus"), "w", "left").drop("w")
-
-
-def _looked_up(counts: DataFrame, cells: DataFrame, discount: float, samples: int) -> DataFrame:
-    """(id, v) for every row of cells of the counts: customers less the discounted tables, averaged."""
-    kind = np.dtype([("w", "<u8"), ("u", "<u8"), ("t", "<f8")])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(waiting):
-            w, u, t = (np.concatenate([_longs(b.column(x)) for b in waiting]) for x in ("w", "u", "tsum"))
-            out = np.empty(len(w), dtype=kind)
-            out["w"], out["u"], out["t"] = w.view(np.uint64), u.view(np.uint64), t / samples
-            key = _key(out["w"], out["u"])
+        for whole in _whole_buckets(batches):
+            ids = _longs(whole.column("id"))
+            known, query = (whole.take(pa.array(np.flatnonzero(x))) for x in (ids < 0, ids >= 0))
+            if query.num_rows:
+                yield pa.RecordBatch.from_arrays([query.column("id"), answer(known, query)], names=["id", "v"])
+
+    rows = queries.unionAll(model)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "id long, v binary")
+
+
+def _model_rows(df: DataFrame, columns: list[str], kind: np.dtype, values) -> DataFrame:
+    """The rows of a table packed by bucket; ``values(*columns)`` gives buckets' keys and packed values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _gathered(batches):
+            key, out = values(*(np.concatenate([_longs(b.column(x)) for b in group]) for x in columns))
             order = np.argsort(key)
             bucket, lengths = _buckets(key[order])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(np.full(len(bucket), -1, dtype=np.int64)), _packed(lengths, out[order], kind), pa.nulls(len(bucket), pa.binary())],
-                names=["bucket", "id", "cells", "n"],
-            )
+            bucket = bucket.astype(np.int64) + (_WORD_BUCKETS if "c" in kind.names else 0)
+            yield from _rows(bucket, lengths, np.full(len(bucket), _MODEL), out[order], kind)
 
-        waiting, n = [], 0
-        for batch in batches:
-            waiting.append(batch)
-            n += batch.num_rows
-            if n >= _PACKED:
-                yield from rows(waiting)
-                waiting, n = [], 0
-        if n:
-            yield from rows(waiting)
+    return df.select(*columns).mapInArrow(run, _ROWS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_buckets(batches):
-            ids = _longs(whole.column("id"))
-            model, query = (whole.take(pa.array(np.flatnonzero(x))) for x in (ids < 0, ids >= 0))
-            if not query.num_rows:
-                continue
-            lengths, asked = _unpacked(query.column("cells"), _CELL)
-            key, c, _, home = _merged(asked, _unpacked(query.column("n"), "<u4")[1])
-            t = (c > 0).astype(np.float64)
-            known = _unpacked(model.column("cells"), kind)[1]
-            t[np.searchsorted(key, _key(known["w"], known["u"]))] = known["t"]
-            yield pa.RecordBatch.from_arrays([query.column("id"), _packed(lengths, (c - discount * t)[home], "<f4")], names=["id", "v"])
-
-    rows = counts.filter("bucket >= 0").unionAll(cells.select("w", "u", "tsum").mapInArrow(pack, _COUNTED))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "id long, v binary")
 
+def _cells_answered(queries: DataFrame, cells: DataFrame, discount: float, samples: int) -> DataFrame:
+    """For every row of cells: customers less the discounted tables, averaged."""
+    kind = np.dtype([("key", "<u8"), ("v", "<f4")])
+
+    def values(w, u, c, tsum):
+        out = np.empty(len(w), dtype=kind)
+        out["key"], out["v"] = _key(w.view(np.uint64), u.view(np.uint64)), c - discount * tsum / max(1, samples)
+        return out["key"], out
+
+    def answer(known: pa.RecordBatch, query: pa.RecordBatch) -> pa.Array:
+        model = np.sort(_unpacked(known.column("a"), kind)[1], order="key")
+        asked = _unpacked(query.column("a"), "<u8")[1]
+        lengths, code = _unpacked(query.column("n"), "<u1")
+        v = np.where(code == 0, 0.0, 1 - discount)  # a cell of one customer has one table
+        v[code == 2] = model["v"][np.searchsorted(model["key"], asked)]
+        return _packed(lengths, v, "<f4")
+
+    return _answered(queries, _model_rows(cells, ["w", "u", "c", "tsum"], kind, values), answer)
+
+
+def _word_kind(samples: int) -> np.dtype:
+    """A word's training count, what its context's customers are divided by, and of each sample its own probability above
+    and its context's weight of it."""
+    return np.dtype([("w", "<u8"), ("c", "<i8"), ("all", "<f4"), ("p", "<f4", (samples,)), ("back_off", "<f4", (samples,))])
+
+
+def _words_answered(queries: DataFrame, nodes: DataFrame, samples: list[Totals], discounts: tuple[float, float]) -> DataFrame:
+    """For every row of words what their probabilities are made of."""
+    kind = _word_kind(len(samples))
+
+    def filled(w, c, cu, each) -> np.ndarray:
+        out = np.empty(len(w), dtype=kind)
+        out["w"], out["c"], out["all"] = w, c, THETA[1] + cu
+        for k, totals in enumerate(samples):
+            n, tw, tu = each[3 * k : 3 * k + 3]
+            model = Model(replace(totals, customers=cu, tables=tu), discounts)
+            out["p"][:, k], out["back_off"][:, k] = model.parent(n, tw), model.back_off()
+        return out
+
+    def values(w, c, cu, *each):
+        words = w.view(np.uint64)
+        return _mix(words), filled(words, c, cu, each)
+
+    none = np.zeros(1)
+    unknown = filled(np.zeros(1, dtype=np.uint64), none, none, [none] * 3 * len(samples))
+
+    def answer(known: pa.RecordBatch, query: pa.RecordBatch) -> pa.Array:
+        model = _unpacked(known.column("a"), kind)[1]
+        model = model[np.argsort(model["w"])]
+        lengths, asked = _unpacked(query.column("a"), "<u8")
+        out = np.repeat(unknown, len(asked))
+        if len(model):
+            at = np.minimum(np.searchsorted(model["w"], asked), len(model) - 1)
+            there = model["w"][at] == asked
+            out[there] = model[at[there]]
+        return _packed(lengths, out, kind)
+
+    parts = [(x, k) for k in range(len(samples)) for x in ("ns", "tws", "tus")]
+    rows = nodes.select("w", "c", "cu", *(F.col(x)[k].alias(f"{x}{k}") for x, k in parts))
+    return _answered(queries, _model_rows(rows, rows.columns, kind, values), answer)
+
+
+def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, tokens: int, vocabulary: int, samples: int) -> DataFrame:
+    kind = _word_kind(samples)
 
-def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, tokens: int, samples: list[Totals], discounts: tuple[float, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
         import pyarrow.fs as pafs
 
         task, tables = TaskContext.get().partitionId(), None
-        vocabulary = samples[0].words
 
-        def own(k: int, number: int) -> pa.Table:
+        def own(k: int, number: int) -> pa.Array:
             low = (task << _TASK_BITS) + (number << _CHUNK_BITS)
             mine = (ds.field("id") >= low) & (ds.field("id") < low + (1 << _CHUNK_BITS))
-            return tables[k].to_table(columns=[x for x in tables[k].schema.names if x != "task"], filter=mine).sort_by("id").combine_chunks()
+            return tables[k].to_table(columns=["id", "v"], filter=mine).sort_by("id").column("v").combine_chunks()
 
         for number, group in _chunks(batches, chunk_bytes):
             if tables is None:
@@ -433,25 +590,22 @@ def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, to
                 tables = [ds.dataset(f"{root}/task={task}", filesystem=fs, format="parquet") for fs, root in found]
             chunk = Chunk(x for b in group for x in text_bytes(b))
             order, cell, key = chunk.cells()
-            rows = own(1, number)
-            lengths, value = _unpacked(rows.column("v").combine_chunks(), "<f4")
+            lengths, value = _unpacked(own(1, number), "<f4")
             if len(value) != len(cell) or not (lengths == _buckets(key)[1]).all():
                 raise ValueError("the documents were not read in the same parts twice; write them to a table first")
             v = np.empty(len(order), dtype=np.float32)
             v[order] = np.repeat(value, np.diff(np.append(cell, len(order))))
-            asked = chunk.asked()
-            word, before = (np.searchsorted(asked, x).astype(np.int32) for x in (chunk.words, chunk.contexts()))
+            asked = _mix(chunk.asked())
+            word, before = (np.searchsorted(asked, _mix(x)).astype(np.int32) for x in (chunk.words, chunk.contexts()))
             chunk.words = order = cell = key = value = None  # only the places are still needed
-            rows = own(0, number)
-            if rows.num_rows != len(asked):
+            known = _unpacked(own(0, number), kind)[1]
+            if len(known) != len(asked):
                 raise ValueError("the documents were not read in the same parts twice; write them to a table first")
-            flat = lambda x: rows.column(x).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            count, customers = flat("c"), flat("cu")
             p = np.zeros(len(word))
-            for k, totals in enumerate(samples):
-                model = Model(replace(totals, customers=customers, tables=flat(f"tu{k}")), discounts)
-                p += model.of(before, v, 0, model.parent(flat(f"n{k}"), flat(f"tw{k}"))[word])
-            lp, rows = np.log10(p / len(samples)), None
+            for k in range(samples):
+                p += known["back_off"][:, k][before].astype(np.float64) * known["p"][:, k][word]
+            lp = np.log10(p / samples + v / known["all"][before].astype(np.float64))
+            count, known = known["c"], None
             base = np.log10((count + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
             total = lambda x: np.add.reduceat(x, chunk.begins)  # noqa: E731, B023
             n_known, base_score, score = total((count > 0).astype(np.int64)[word]), total(base[word]), total(lp)
@@ -485,16 +639,17 @@ def language_scores(
     rows = documents.select("doc_id", "text", held_out.alias("held_out"))
     if not stable:
         rows = written(rows, "lm-documents")
-    counts = written(_counted(rows, chunk_bytes), "lm-counts")
-    every = written(_cells(counts), "lm-cells")
-    # Discounts from how many cells have one and two customers.
-    found = every.agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice")).first()
-    tokens, once, twice = (int(x or 0) for x in found)
-    discounts = (0.6, min(0.95, max(0.05, once / max(1.0, once + 2 * twice))))
-    nodes = written(_nodes(every), "lm-words")
+    counts = written(_reduced(_counted(rows, chunk_bytes)), "lm-counts")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    cells = written(every.filter("c > 1").select("w", "u", "c", one.alias("t"), none.alias("tsum")), "lm-several")
-    drop(spark, every)
+    nodes = written(_nodes(_as_columns(counts.filter(F.col("id") == _SUM_ROWS), _SUM)), "lm-words")
+    several = _as_columns(counts.filter(F.col("id") == _SEVERAL_ROWS), _SEVERAL)
+    cells = written(several.select("w", "u", "c", one.alias("t"), none.alias("tsum")), "lm-several")
+    # Discounts from how many cells, and how many words above, have one and two customers.
+    sums = nodes.agg(F.sum("c"), F.sum("n1"), *(F.sum((F.col("n") == n).cast("long")) for n in (1, 2))).first()
+    tokens, once, above_once, above_twice = (int(x or 0) for x in sums)
+    twice = cells.filter("c = 2").count()
+    discount = lambda once, twice: min(0.95, max(0.05, once / max(1.0, once + 2 * twice)))
+    discounts = (discount(above_once, above_twice), discount(once, twice))
     totals = _totals(nodes)
     samples = []
     for sweep in range(1, sweeps + 1):
@@ -506,13 +661,17 @@ def language_scores(
         cells, nodes, totals = after, above, _totals(above)
         samples += [totals] * keep
     task = F.shiftright("id", _TASK_BITS).cast("int")
-    parts = [("n", "ns"), ("tw", "tws"), ("tu", "tus")]
-    words = _asked(counts, nodes).select("id", "c", "cu", *(F.col(a)[k].alias(f"{x}{k}") for x, a in parts for k in range(len(samples))))
+    queries = counts.filter("id >= 0")
+    answers = (
+        _words_answered(queries.filter(F.col("bucket") >= _WORD_BUCKETS), nodes, samples, discounts),
+        _cells_answered(queries.filter(F.col("bucket") < _WORD_BUCKETS), cells, discounts[1], len(samples)),
+    )
     folders = scratch(spark, "lm-words-asked"), scratch(spark, "lm-cells-asked")
-    for folder, answers in zip(folders, (words, _looked_up(counts, cells, discounts[1], len(samples))), strict=True):
-        answers.repartition(task).withColumn("task", task).sortWithinPartitions("task", "id").write.partitionBy("task").parquet(folder)
+    with shuffles_released(spark):
+        for folder, rows_ in zip(folders, answers, strict=True):
+            rows_.repartition(task).withColumn("task", task).sortWithinPartitions("task", "id").write.partitionBy("task").parquet(folder)
     drop(spark, counts, cells, nodes)
-    return _scored(rows, folders, chunk_bytes, tokens, samples, discounts)
+    return _scored(rows, folders, chunk_bytes, tokens, samples[-1].words, len(samples))
 
 
 def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
