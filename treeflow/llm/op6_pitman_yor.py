@@ -28,6 +28,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ SWEEPS, BURN = 4, 2
 #: Concentrations of the parent and of the context restaurants.
 THETA = (1.0, 1.0)
 #: Text bytes of one chunk.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 #: A row's id: task, chunk and place of the row in the chunk.
 _TASK_BITS, _CHUNK_BITS = 40, 28
 #: Cells travel in rows of one part of the range of their keys; words in such rows behind those of the cells.
@@ -50,6 +51,8 @@ _BUCKET_BITS = 13
 _WORD_BUCKETS = 1 << _BUCKET_BITS
 #: Cells that are packed or summed up at once.
 _PACKED = 400_000
+#: Packed bytes of whole buckets that are worked on at once.
+_WHOLE_BYTES = 4_000_000
 _WORD_BITS = 48
 _CELL = np.dtype([("w", "<u4"), ("w_high", "<u2"), ("u", "<u4"), ("u_high", "<u2")])
 _SEVERAL = np.dtype([("w", "<i8"), ("u", "<i8"), ("c", "<i8")])
@@ -204,17 +207,22 @@ def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that come by bucket, cut where a bucket ends."""
+    """Batches that come by bucket, cut where a bucket ends, and so that their packed values stay small."""
     held = None
     for batch in batches:
         now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not now.num_rows:
             continue
         bucket = _longs(now.column("bucket"))
-        cut = int(np.searchsorted(bucket, bucket[-1]))
-        if cut:
-            yield now.slice(0, cut)
-        held = now.slice(cut)
+        first = _begins(bucket)
+        last = int(first[-1])
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(now.column("a")).to_numpy(zero_copy_only=False))])
+        start = 0
+        for at in first[1:]:
+            if sizes[at] - sizes[start] >= _WHOLE_BYTES or at == last:
+                yield now.slice(start, int(at) - start)
+                start = int(at)
+        held = now.slice(last)
     if held is not None:
         yield held
 
