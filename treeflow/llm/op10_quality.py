@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeflow.llm.bpe import Cache
-from treeflow.llm.common import id_crc, prefiltered, sized_batches, table, text_bytes, written
+from treeflow.llm.common import id_crc, lean, prefiltered, sized_batches, table, text_bytes, written
 
 #: The bound of the labelled sample.
 SAMPLE = 12_000
@@ -53,7 +53,11 @@ def _rows_of(token: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(token) % half) * ROWS + half + xxhash.xxh3_64_intdigest(shape, 1) % half
 
 
-_token_rows = Cache(_rows_of, 300_000)
+_token_rows = Cache(_rows_of, 150_000)
+
+
+def _forget() -> None:
+    _token_rows.clear()
 
 
 def index_vectors() -> np.ndarray:
@@ -155,7 +159,7 @@ def _all_neighbours(documents: DataFrame, index: np.ndarray) -> np.ndarray:
     schema = "row long, v binary"
     total = np.zeros((ROWS, DIM), dtype=np.float64)
     # Of fixed size: one vector per row.
-    for r in documents.select("text").mapInArrow(sums, schema).repartition("row").mapInArrow(merged, schema).collect():
+    for r in documents.select("text").mapInArrow(lean(sums, _forget), schema).repartition("row").mapInArrow(lean(merged), schema).collect():
         total[r["row"]] = np.frombuffer(r["v"], dtype=np.int64)
     return total
 
@@ -242,7 +246,7 @@ def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
                 names=["doc_id", "quality", "x"],
             )
 
-    found = rows.mapInArrow(features, "doc_id long, quality int, x binary").collect()
+    found = rows.mapInArrow(lean(features, _forget), "doc_id long, quality int, x binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     y = np.array([r["quality"] for r in found], dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -261,7 +265,7 @@ def _applied(documents: DataFrame, model, schema: str, emit) -> DataFrame:
             score = network.scores(pooled(x, vectors).astype(np.float64)) if network is not None else np.full(len(x), 0.5)
             yield emit(batch, score)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(lean(run, _forget), schema)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeflow.llm.common import alnum_words, sized_batches, table, text_bytes
+from treeflow.llm.common import alnum_words, lean, sized_batches, table, text_bytes
 
 #: Words in a window; an item with fewer words is one window by itself.
 WINDOW = 13
@@ -257,7 +257,7 @@ def contamination(
             ], schema=OUT)
 
     return documents.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_at long"
+        lean(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_at long"
     )
 
 
@@ -274,7 +274,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
             keep = [not (h > 0 and HIT_PART * h >= n) for h, n in zip(hits, counts, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

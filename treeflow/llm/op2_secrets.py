@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from treeflow.llm.common import split_batches, table, texts
+from treeflow.llm.common import lean, split_batches, table, texts
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(
@@ -119,7 +119,7 @@ def secret_spans(documents: DataFrame, vocabulary: str | None = None, ratio: flo
                 pa.array([_joined(f) for f in found], pa.string()),
             ], names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(lean(run), _SCHEMA)
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -158,7 +158,7 @@ def redacted(documents: DataFrame, vocabulary: str | None = None, ratio: float =
                 columns["n_chars"] = pa.array([len(x) if f else n for x, f, n in zip(changed, found, old, strict=True)], kind)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def op2_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeflow.llm.common import scratch, sized_batches, table, written
+from treeflow.llm.common import lean, scratch, sized_batches, table, written
 
 #: Payloads of fewer bytes are always written in full.
 REVISIT_BYTES = 1000
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
         if out is not None:
             out.close()
 
-    index = with_record_types(pages).mapInArrow(run, INDEX)
+    index = with_record_types(pages).mapInArrow(lean(run), INDEX)
     return written(index, "warc-index")
 
 
@@ -183,7 +183,7 @@ def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
         selected.select("archive", "offset", "length")
         .repartitionByRange("archive", "offset")
         .sortWithinPartitions("archive", "offset")
-        .mapInArrow(run, RECORDS)
+        .mapInArrow(lean(run), RECORDS)
     )
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeflow.llm.bpe import Cache
-from treeflow.llm.common import components, drop, prefiltered, sized_batches, space_words, split_batches, table, text_bytes, written
+from treeflow.llm.common import components, drop, lean, prefiltered, sized_batches, space_words, split_batches, table, text_bytes, written
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction.
@@ -51,7 +51,11 @@ PORTION = 256
 _MASK = (1 << 64) - 1
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FULL = np.uint64(_MASK)
-_word_hash = Cache(xxhash.xxh3_64_intdigest, 400_000)
+_word_hash = Cache(xxhash.xxh3_64_intdigest, 150_000)
+
+
+def _forget() -> None:
+    _word_hash.clear()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,7 +138,7 @@ def _sketched(documents: DataFrame, rows: int, bands: int) -> DataFrame:
                 pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
             ], names=["doc_id", "n_shingles", "print", "bands", "signature"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>, signature binary")
+    return documents.select("doc_id", "text").mapInArrow(lean(run, _forget), "doc_id long, n_shingles long, print binary, bands array<long>, signature binary")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -173,7 +177,7 @@ def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return written(rows.mapInArrow(run, "a long, b long"), "links")
+    return written(rows.mapInArrow(lean(run, _forget), "a long, b long"), "links")
 
 
 def _fits(n: str, m: str):
@@ -293,7 +297,7 @@ def _met(mixed: DataFrame, signatures: DataFrame, every: bool) -> DataFrame:
         if waiting:
             yield from of(waiting)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from treeflow.llm.bpe import SPECIAL, Cache, PartEncoder, default_vocabulary, encoding
-from treeflow.llm.common import split_batches, table, texts
+from treeflow.llm.common import lean, split_batches, table, texts
 
 #: Documents of more tokens are over the limit.
 LIMIT = 512
@@ -137,7 +137,7 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None, limit: int
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(lean(run), _SCHEMA)
 
 
 def fitting_prefixes(documents: DataFrame, budget: int, vocabulary: str | None = None) -> DataFrame:
@@ -152,7 +152,7 @@ def fitting_prefixes(documents: DataFrame, budget: int, vocabulary: str | None =
                 names=["doc_id", "n_chars"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long")
+    return documents.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_chars long")
 
 
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

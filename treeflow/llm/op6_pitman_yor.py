@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeflow.llm.bpe import Cache
-from treeflow.llm.common import drop, id_crc, scratch, shuffles_released, sized_batches, space_words, table, text_bytes, written
+from treeflow.llm.common import drop, id_crc, lean, scratch, shuffles_released, sized_batches, space_words, table, text_bytes, written
 
 #: A document is held out if crc32 of its id's text leaves no remainder.
 HELD_OUT_MOD = 10
@@ -203,7 +203,7 @@ def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
             bucket, lengths = _buckets(key)
             yield from _rows(bucket, lengths, base + bucket.astype(np.int64), cells, _CELL, n)
 
-    return documents.mapInArrow(run, _ROWS)
+    return documents.mapInArrow(lean(run), _ROWS)
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +288,7 @@ def _reduced(counts: DataFrame) -> DataFrame:
         if n_held:
             yield from _summed(*held)
 
-    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ROWS)
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), _ROWS)
 
 
 def _as_columns(rows: DataFrame, kind: np.dtype) -> DataFrame:
@@ -302,7 +302,7 @@ def _as_columns(rows: DataFrame, kind: np.dtype) -> DataFrame:
                     part = values[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[x])) for x in kind.names], names=list(kind.names))
 
-    return rows.select("a").mapInArrow(run, ", ".join(f"{x} long" for x in kind.names))
+    return rows.select("a").mapInArrow(lean(run), ", ".join(f"{x} long" for x in kind.names))
 
 
 #: Per word: training count, customers it has as a context, tables of its cells of one customer as a word
@@ -459,7 +459,7 @@ def _swept(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tuple[
     above = nodes.select("w", "n", "tw")
     beside = nodes.select(F.col("w").alias("u"), "tu")
     rows = cells.join(beside, "u").join(above, "w").select("w", "u", "c", "tsum", "n", "tw", "tu")
-    return rows.mapInArrow(run, "w long, u long, c long, t long, tsum long")
+    return rows.mapInArrow(lean(run), "w long, u long, c long, t long, tsum long")
 
 
 def _resummed(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tuple[float, float], sweep: int, keep: bool) -> DataFrame:
@@ -482,7 +482,7 @@ def _resummed(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tup
     sums = both.groupBy("w").agg(F.sum("nt").alias("nt"), F.sum("tt").alias("tt"))
     n = F.col("n1") + F.coalesce("nt", F.lit(0))
     tu = F.col("s1") + F.coalesce("tt", F.lit(0))
-    rows = nodes.join(sums, "w", "left").withColumns({"n": n, "tu": tu}).select(*names).mapInArrow(run, _NODE)
+    rows = nodes.join(sums, "w", "left").withColumns({"n": n, "tu": tu}).select(*names).mapInArrow(lean(run), _NODE)
     if keep:
         rows = rows.withColumns({x + "s": F.concat(x + "s", F.array(x)) for x in ("n", "tw", "tu")})
     return rows
@@ -499,7 +499,7 @@ def _answered(queries: DataFrame, model: DataFrame, answer) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([query.column("id"), answer(known, query)], names=["id", "v"])
 
     rows = queries.unionAll(model)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "id long, v binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(lean(run), "id long, v binary")
 
 
 def _model_rows(df: DataFrame, columns: list[str], kind: np.dtype, values) -> DataFrame:
@@ -513,7 +513,7 @@ def _model_rows(df: DataFrame, columns: list[str], kind: np.dtype, values) -> Da
             bucket = bucket.astype(np.int64) + (_WORD_BUCKETS if "c" in kind.names else 0)
             yield from _rows(bucket, lengths, np.full(len(bucket), _MODEL), out[order], kind)
 
-    return df.select(*columns).mapInArrow(run, _ROWS)
+    return df.select(*columns).mapInArrow(lean(run), _ROWS)
 
 
 def _cells_answered(queries: DataFrame, cells: DataFrame, discount: float, samples: int) -> DataFrame:
@@ -627,7 +627,7 @@ def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, to
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return documents.mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeflow.llm.common import table, written
+from treeflow.llm.common import lean, table, written
 
 TOP = 5
 #: Every row whose id this divides is a query.
@@ -151,7 +151,7 @@ def top_inner_products(
                 )
 
     index = written(
-        vectors.mapInArrow(place, "vec_id long, vec array<int>, pivot int, dist double")
+        vectors.mapInArrow(lean(place), "vec_id long, vec array<int>, pivot int, dist double")
         .repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id"),
         "pivot-index",
     )
@@ -170,7 +170,7 @@ def top_inner_products(
                 )
 
     asked = vectors.filter(F.pmod("vec_id", F.lit(step)) == 0).dropDuplicates(["vec_id"])
-    asked = written(asked.mapInArrow(bounded, "vec_id long, vec array<int>, least double"), "queries")
+    asked = written(asked.mapInArrow(lean(bounded), "vec_id long, vec array<int>, least double"), "queries")
     blocks = max(1, -(-asked.count() // block))
     found = None
     for b in range(blocks):
@@ -195,7 +195,7 @@ def top_inner_products(
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
 
-        part = index.mapInArrow(search, "query_id long, vec_id long, score long")
+        part = index.mapInArrow(lean(search), "query_id long, vec_id long, score long")
         found = part if found is None else found.unionAll(part)
     if found is None:
         return spark.createDataFrame([], schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from treeflow.llm.bpe import PartEncoder, default_vocabulary, encoding
-from treeflow.llm.common import split_batches, table, texts
+from treeflow.llm.common import lean, split_batches, table, texts
 
 #: Tokens of the tiers, longest first; all powers of two.
 TIERS = (1024, 512, 256, 128)
@@ -183,7 +183,7 @@ def packed(
         if rows:
             yield batch_of(rows)
 
-    return documents.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(lean(run), _SCHEMA)
 
 
 def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
