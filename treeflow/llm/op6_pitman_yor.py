@@ -23,6 +23,7 @@ gathered in one place.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -43,14 +44,14 @@ SWEEPS, BURN = 4, 2
 #: Concentrations of the parent and of the context restaurants.
 THETA = (1.0, 1.0)
 #: Text bytes of one chunk.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 24_000_000
 #: A row's id: task, chunk and place of the row in the chunk.
 _TASK_BITS, _CHUNK_BITS = 40, 28
 #: Cells travel in rows of one part of the range of their keys; words in such rows behind those of the cells.
 _BUCKET_BITS = 13
 _WORD_BUCKETS = 1 << _BUCKET_BITS
-#: Cells that are packed or summed up at once.
-_PACKED = 400_000
+#: Cells that are packed, and that are summed up, at once.
+_PACKED, _SUMMED = 400_000, 1_000_000
 #: Packed bytes of whole buckets that are worked on at once.
 _WHOLE_BYTES = 4_000_000
 _WORD_BITS = 48
@@ -282,7 +283,7 @@ def _reduced(counts: DataFrame) -> DataFrame:
             for x, y in zip(held, (w, u, c), strict=True):
                 x.append(y[some])
             n_held += int(some.sum())
-            if n_held >= _PACKED:
+            if n_held >= _SUMMED:
                 yield from _summed(*held)
                 held, n_held = ([], [], []), 0
         if n_held:
@@ -370,8 +371,8 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + tail - np.log(up)
 
 
-#: Customers that are tried one by one for each new table.
-_WALK = 8
+#: Customers that are tried one by one for each new table, and rows that are worked on one by one.
+_WALK, _FEW = 8, 200
 
 
 def seat(customers: np.ndarray, prior: np.ndarray, discount: float, salt: np.ndarray) -> np.ndarray:
@@ -385,7 +386,7 @@ def seat(customers: np.ndarray, prior: np.ndarray, discount: float, salt: np.nda
     at = np.flatnonzero(customers > 1)
     c, p, s = customers[at], prior[at], salt[at]
     seated, t, step = np.ones(len(at), dtype=np.int64), np.ones(len(at), dtype=np.int64), 0
-    while len(at):
+    while len(at) > _FEW:
         u = ((_mix(s + np.uint64(step * 2 + 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
         a, left = seated - discount * t, c - seated
         gap, none = np.zeros(len(at), dtype=np.int64), np.ones(len(at))
@@ -397,12 +398,46 @@ def seat(customers: np.ndarray, prior: np.ndarray, discount: float, salt: np.nda
         far = np.flatnonzero((gap == 0) & (left > _WALK))
         if len(far):
             gap[far] = _opener(a[far], p[far], left[far], np.log(u[far]))
-        seated, opens = seated + gap, gap > 0
-        t += opens
+        opens = gap > 0
+        seated, t, step = seated + gap, t + opens, step + 1
         going = opens & (seated < c)
         tables[at[~going]] = t[~going]
         at, c, p, s, seated, t = (x[going] for x in (at, c, p, s, seated, t))
-        step += 1
+    for row in zip(at.tolist(), c.tolist(), p.tolist(), s.tolist(), seated.tolist(), t.tolist(), strict=True):
+        tables[row[0]] = _seat_one(*row[1:], discount, step)
+    return tables
+
+
+def _seat_one(customers: int, prior: float, salt: int, seated: int, tables: int, discount: float, step: int) -> int:
+    """The tables of one row, of which some customers are seated; for rows with more tables than most."""
+    full = (1 << 64) - 1
+    while seated < customers:
+        x = (salt + 2 * step + 1) & full
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        u = (((x ^ (x >> 31)) >> 11) + 0.5) / (1 << 53)
+        a, none, left, step = seated - discount * tables, 1.0, customers - seated, step + 1
+        for j in range(min(_WALK, left)):
+            none *= (a + j) / (prior + a + j)
+            if none < u:
+                gap = j + 1
+                break
+        else:
+            gap, at, bound = 0, a + prior, math.log(u)
+            from_ = math.lgamma(at) - math.lgamma(a) - bound
+            if left > _WALK and math.lgamma(a + left) - math.lgamma(at + left) + from_ < 0:
+                low, gap = _WALK, min(left, 2 * _WALK)
+                while math.lgamma(a + gap) - math.lgamma(at + gap) + from_ >= 0:
+                    low, gap = gap, min(left, 2 * gap)
+                while gap - low > 1:
+                    middle = (low + gap) // 2
+                    if math.lgamma(a + middle) - math.lgamma(at + middle) + from_ < 0:
+                        gap = middle
+                    else:
+                        low = middle
+        if not gap:
+            break
+        seated, tables = seated + gap, tables + 1
     return tables
 
 
@@ -603,27 +638,31 @@ def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, to
                 raise ValueError("the documents were not read in the same parts twice; write them to a table first")
             v = np.empty(len(order), dtype=np.float32)
             v[order] = np.repeat(value, np.diff(np.append(cell, len(order))))
-            asked = _mix(chunk.asked())
-            word, before = (np.searchsorted(asked, _mix(x)).astype(np.int32) for x in (chunk.words, chunk.contexts()))
-            chunk.words = order = cell = key = value = None  # only the places are still needed
+            order = cell = key = value = None
+            words = chunk.asked()
             known = _unpacked(own(0, number), kind)[1]
-            if len(known) != len(asked):
+            if len(known) != len(words):
                 raise ValueError("the documents were not read in the same parts twice; write them to a table first")
-            p = np.zeros(len(word))
-            for k in range(samples):
-                p += known["back_off"][:, k][before].astype(np.float64) * known["p"][:, k][word]
-            lp = np.log10(p / samples + v / known["all"][before].astype(np.float64))
-            count, known = known["c"], None
-            base = np.log10((count + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
-            total = lambda x: np.add.reduceat(x, chunk.begins)  # noqa: E731, B023
-            n_known, base_score, score = total((count > 0).astype(np.int64)[word]), total(base[word]), total(lp)
-            at = 0
+            asked, words = _mix(words), None
+            base = np.log10((known["c"] + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+            at = first = 0
             for batch in group:
-                mine = slice(at, at + batch.num_rows)
-                at += batch.num_rows
+                lengths = chunk.lengths[at : at + batch.num_rows]
+                end = first + int(lengths.sum())
+                begins = np.cumsum(lengths) - lengths
+                x = chunk.words[first:end]
+                u = np.concatenate([[_START], x[:-1]])
+                u[begins] = _START
+                word, before = (np.searchsorted(asked, _mix(y)) for y in (x, u))
+                p = np.zeros(len(word))
+                for k in range(samples):
+                    p += known["back_off"][:, k][before].astype(np.float64) * known["p"][:, k][word]
+                p = np.log10(p / samples + v[first:end] / known["all"][before].astype(np.float64))
+                n_known, base_score, score = (np.add.reduceat(y, begins) for y in ((known["c"][word] > 0).astype(np.int64), base[word], p))
+                at, first = at + batch.num_rows, end
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(chunk.lengths[mine]), pa.array(n_known[mine]),
-                    pa.array(np.full(batch.num_rows, tokens, dtype=np.int64)), pa.array(base_score[mine]), pa.array(score[mine]),
+                    batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(lengths), pa.array(n_known),
+                    pa.array(np.full(batch.num_rows, tokens, dtype=np.int64)), pa.array(base_score), pa.array(score),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return documents.mapInArrow(
