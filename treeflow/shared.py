@@ -46,12 +46,15 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: cuts lineage, survives executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back: cuts lineage, survives executors.
+
+    ``options`` are those of Spark's Parquet writer.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     with shuffles_released(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._treeflow_path = path  # for drop()
     return out
