@@ -35,7 +35,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeflow.llm.bpe import Cache
 from treeflow.llm.common import drop, id_crc, lean, scratch, shuffles_released, sized_batches, space_words, table, text_bytes, written
 
 #: A document is held out if crc32 of its id's text leaves no remainder.
@@ -61,7 +60,6 @@ _SUM = np.dtype([(x, "<i8") for x in ("w", "c", "cu", "n1", "s1", "n", "tu")])
 #: What rows that answer no chunk hold, in place of a row's id.
 _MODEL, _SEVERAL_ROWS, _SUM_ROWS = -1, -2, -3
 _END, _START = np.uint64(0x79B97F4A7C15), np.uint64(0x14F22545F491)
-_word_hash = Cache(lambda word: xxhash.xxh3_64_intdigest(word) & ((1 << _WORD_BITS) - 1), 120_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,38 +73,53 @@ def _key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return _mix(words + contexts.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+class _Ids(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Chunk:
-    """Tokens of some documents: hashes, the words before, and where each document ends."""
+    """Tokens of some documents: numbers of their words, the words' hashes, and where each document ends."""
 
     def __init__(self, rows: Iterable[bytes]):
-        parts = []
+        ids, parts = _Ids(), []
+        ids[None], ids[b""] = 0, 1  # the start and the end of a text
         for text in rows:
             words = space_words(text)
-            h = np.empty(len(words) + 1, dtype=np.uint64)
-            h[:-1] = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
-            h[-1] = _END
-            parts.append(h)
+            own = np.ones(len(words) + 1, dtype=np.int32)
+            own[:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+            parts.append(own)
         self.lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        self.words = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
+        self.ids = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
         self.begins = np.cumsum(self.lengths) - self.lengths
+        found = np.fromiter((xxhash.xxh3_64_intdigest(w or b"") for w in ids), np.uint64, len(ids)) & np.uint64((1 << _WORD_BITS) - 1)
+        found[:2] = _START, _END
+        self.hashes = found
 
     def contexts(self) -> np.ndarray:
-        out = np.concatenate([[_START], self.words[:-1]]) if len(self.words) else self.words.copy()
-        out[self.begins] = _START
+        """The number of the word before each."""
+        out = np.zeros_like(self.ids)
+        out[1:] = self.ids[:-1]
+        out[self.begins] = 0
         return out
 
     def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order of tokens by their cells' keys, where in it each cell begins, and the cells' keys."""
-        key = _key(self.words, self.contexts())
+        key = _key(self.hashes[self.ids], self.hashes[self.contexts()])
         order = np.argsort(key, kind="stable").astype(np.int32)
         key = key[order]
         cell = _begins(key)
         return order, cell, key[cell]
 
-    def asked(self) -> np.ndarray:
-        """The distinct words and contexts, in the order of their hashes mixed."""
-        words = np.unique(np.append(self.words, _START))
-        return words[np.argsort(_mix(words))]
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes in the order of their mixed values, and each word's place among them."""
+        words, at = np.unique(_mix(self.hashes), return_inverse=True)
+        out = np.empty(len(words), dtype=np.uint64)
+        out[at] = self.hashes
+        return out, at.astype(np.int32)
 
 
 def _pack_cells(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -194,9 +207,9 @@ def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
             train = ~np.concatenate([np.asarray(b.column("held_out").to_pylist(), dtype=bool) for b in group])
             order, cell, key = chunk.cells()
             n = np.add.reduceat(np.repeat(train, chunk.lengths)[order].astype(np.int64), cell)
-            cells = _pack_cells(chunk.words[order[cell]], chunk.contexts()[order[cell]])
+            cells = _pack_cells(chunk.hashes[chunk.ids[order[cell]]], chunk.hashes[chunk.contexts()[order[cell]]])
             base = (p << _TASK_BITS) + (number << _CHUNK_BITS)
-            asked = chunk.asked()
+            asked, _ = chunk.asked()
             chunk = order = cell = None
             bucket, lengths = _buckets(_mix(asked))
             bucket = bucket.astype(np.int64) + _WORD_BUCKETS
@@ -493,7 +506,8 @@ def _swept(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tuple[
 
     above = nodes.select("w", "n", "tw")
     beside = nodes.select(F.col("w").alias("u"), "tu")
-    rows = cells.join(beside, "u").join(above, "w").select("w", "u", "c", "tsum", "n", "tw", "tu")
+    # One row a word, dealt evenly: hashed, so that the cells needn't be sorted.
+    rows = cells.join(beside.hint("shuffle_hash"), "u").join(above.hint("shuffle_hash"), "w").select("w", "u", "c", "tsum", "n", "tw", "tu")
     return rows.mapInArrow(lean(run), "w long, u long, c long, t long, tsum long")
 
 
@@ -639,26 +653,23 @@ def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, to
             v = np.empty(len(order), dtype=np.float32)
             v[order] = np.repeat(value, np.diff(np.append(cell, len(order))))
             order = cell = key = value = None
-            words = chunk.asked()
+            asked, place = chunk.asked()
             known = _unpacked(own(0, number), kind)[1]
-            if len(known) != len(words):
+            if len(known) != len(asked):
                 raise ValueError("the documents were not read in the same parts twice; write them to a table first")
-            asked, words = _mix(words), None
+            known = known[place]  # as the chunk numbers its words
+            above, back_off = np.ascontiguousarray(known["p"]).astype(np.float64), np.ascontiguousarray(known["back_off"]).astype(np.float64)
+            customers, there = known["all"].astype(np.float64), (known["c"] > 0).astype(np.int64)
             base = np.log10((known["c"] + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+            known, contexts = None, chunk.contexts()
             at = first = 0
             for batch in group:
                 lengths = chunk.lengths[at : at + batch.num_rows]
                 end = first + int(lengths.sum())
                 begins = np.cumsum(lengths) - lengths
-                x = chunk.words[first:end]
-                u = np.concatenate([[_START], x[:-1]])
-                u[begins] = _START
-                word, before = (np.searchsorted(asked, _mix(y)) for y in (x, u))
-                p = np.zeros(len(word))
-                for k in range(samples):
-                    p += known["back_off"][:, k][before].astype(np.float64) * known["p"][:, k][word]
-                p = np.log10(p / samples + v[first:end] / known["all"][before].astype(np.float64))
-                n_known, base_score, score = (np.add.reduceat(y, begins) for y in ((known["c"][word] > 0).astype(np.int64), base[word], p))
+                word, before = chunk.ids[first:end], contexts[first:end]
+                p = np.einsum("ij,ij->i", above[word], back_off[before]) / samples + v[first:end] / customers[before]
+                n_known, base_score, score = (np.add.reduceat(y, begins) for y in (there[word], base[word], np.log10(p)))
                 at, first = at + batch.num_rows, end
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(lengths), pa.array(n_known),
@@ -686,7 +697,7 @@ def language_scores(
     rows = documents.select("doc_id", "text", held_out.alias("held_out"))
     if not stable:
         rows = written(rows, "lm-documents")
-    counts = written(_reduced(_counted(rows, chunk_bytes)), "lm-counts")
+    counts = written(_reduced(_counted(rows, chunk_bytes)), "lm-counts", compression="zstd")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     nodes = written(_nodes(_as_columns(counts.filter(F.col("id") == _SUM_ROWS), _SUM)), "lm-words")
     several = _as_columns(counts.filter(F.col("id") == _SEVERAL_ROWS), _SEVERAL)
