@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import operator
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -482,25 +483,42 @@ def _sums(cells, end):
 # --- 7 ------------------------------------------------------------------------------------------
 
 
+def _top_k(vectors, scale=256, low=-(1 << 63), high=(1 << 63) - 1):
+    """In Python's integers; candidates have the query's dimension."""
+    ok = [(i, [math.floor(scale * float(np.float32(x))) for x in v]) for i, v, *_ in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q in sorted({i for i, _ in ok if i % 50 == 0}):
+        own = min(v for i, v in ok if i == q)
+        best = sorted((-min(max(sum(map(operator.mul, own, v)), low), high), i) for i, v in ok if i != q and len(v) == len(own))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(7)
     vectors = [(i, r.normal(size=8).astype(np.float32).tolist(), 1) for i in range(400)]
     vectors += [(1000 + i, vectors[3][1], 1) for i in range(200)]  # one very common vector
     vectors += [(2000, None, 1), (2050, [1.0, None] + [0.0] * 6, 1), (2100, [float("nan")] * 8, 1), (2150, [float("inf")] * 8, 1), (2200, [], 1), (2250, [1.0], 1)]
+    vectors += [(2300, [1.0, 2.0], 1), (2301, [1e6, 1.0], 1), (2350, [3.0, 4.0], 1), (50, r.normal(size=8).astype(np.float32).tolist(), 1), (2400, [], 1)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, dist int").repartition(5)
-    ok = {i: np.floor(256 * np.array(v, dtype=np.float64)).astype(int) for i, v, _ in vectors if v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)}
-    want = []
-    for q in (i for i in ok if i % 50 == 0):
-        best = sorted((-int(ok[q] @ v), i) for i, v in ok.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     for sample, block in ((4096, 4096), (20, 4)):
         got = op7_pivot_topk.top_inner_products(df, sample=sample, block=block, pivots=6)
-        assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+        assert sorted(tuple(x) for x in got.collect()) == _top_k(vectors)
     assert op7_pivot_topk.top_inner_products(df.limit(0)).count() == 0
     few = op7_pivot_topk.top_inner_products(df.filter("vec_id IN (0, 1, 2)"))
     assert few.count() == 2
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    """Products beyond 2^53, and beyond a long."""
+    r = np.random.default_rng(8)
+    vectors = [(i, (r.integers(-(1 << 26), 1 << 26, 64) / 256).astype(np.float32).tolist()) for i in range(300)]
+    vectors += [(1000 + i, (r.normal(size=64) * 10.0 ** r.integers(-3, 37)).astype(np.float32).tolist()) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    got = op7_pivot_topk.top_inner_products(df, sample=50, block=3, pivots=6)
+    assert sorted(tuple(x) for x in got.collect()) == _top_k(vectors)
+
+
 # --- 8 ------------------------------------------------------------------------------------------
 
 

@@ -2,13 +2,19 @@
 
 A vector x gets one more coordinate sqrt(M - |x|^2), M the largest squared length, so that all lie on a
 sphere and the largest inner product with q is the smallest Euclidean distance to (q, 0). Every vector is
-keyed by its nearest pivot and its distance to it; the index is range-partitioned and sorted by (pivot,
-distance, id), so even a vector that a third of all rows share is spread over tasks. A query expands the
-sorted annuli of all pivots from its own distance outwards and stops when the triangle inequality
-||q - p| - |x - p|| <= |q - x| rules the rest out: only then, so results are exact.
-
-Queries go to executors in blocks of bounded size and every block is held against the whole index; each
-task returns its k best per query, so what is shuffled is k rows per query and task.
+keyed by its nearest pivot and its distance to it; the index is range-partitioned and sorted by (dimension,
+pivot, distance, id), so even a vector that a third of all rows share is spread over tasks. A query expands
+the sorted annuli of the pivots from the nearest on and stops when the triangle inequality
+||q - p| - |x - p|| <= |q - x|, with room for the rounding of distances, rules the rest out: only then, so
+results are exact.
+
+Queries are written to the shared folder in files of bounded size. A task holds a bounded part of the index
+and reads one file of queries after the other, so the index is read once, whatever the number of queries;
+an annulus is held against all queries of a file that reach it in one matrix product. What is shuffled is k
+rows per query and part.
+
+Scores are exact integers: products that 64-bit floats can't hold exactly only choose which vectors may be
+among the best, and those are scored with Python's integers.
 """
 
 from __future__ import annotations
@@ -28,35 +34,46 @@ QUERY_STEP = 50
 PIVOTS = 64
 #: Vectors (by a hash of the id) that the pivots and first bounds come from; the only sample here.
 SAMPLE = 4096
-#: Queries of one block.
+#: Queries of one file.
 BLOCK = 4096
 #: Vectors of one annulus.
 RING = 256
-#: Vectors that a task searches at a time.
-CHUNK = 65_536
-#: Components beyond this after scaling don't fit an exact 64-bit score.
-_LARGEST = 1 << 27
+#: Components of the index that a task holds at a time.
+PART = 1 << 25
+#: Hits of a file of queries that are kept before only the best remain.
+HITS = 1 << 18
+_EXACT = 2.0**53
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, vec): floor(scale * x) of each component, without rows that take no part.
+    """(vec_id, vec): floor(scale * x) of each component, whole numbers held as doubles.
 
-    Those are rows with a null id, a null or empty vector, a null or non-finite component, one that is
-    too large for 64-bit scores, or another dimension than most rows have.
+    Rows with a null id, a null vector, or a component that is null or not finite (after scaling) take no part.
     """
-    x = F.transform(F.col("embedding"), lambda v: F.floor(v.cast("double") * scale))
-    fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < _LARGEST))
-    rows = embeddings.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).filter(F.coalesce(fine, F.lit(False)))
-    common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if common is not None:
-        rows = rows.filter(F.size("embedding") == common["d"])
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: v.cast("int")).alias("vec"))
+    scaled = lambda v: v.cast("double") * scale
+    fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(scaled(v)) < float("inf")))
+    # Beyond 2^53 a double has no fraction.
+    whole = F.transform("embedding", lambda v: F.when(F.abs(scaled(v)) < _EXACT, F.floor(scaled(v)).cast("double")).otherwise(scaled(v)))
+    rows = embeddings.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vec"))
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    import pyarrow.compute as pc
 
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(n, -1)
+
+def _by_dimension(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of the vectors of each dimension."""
+    lengths = _lengths(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    for d in np.unique(lengths):
+        rows = np.flatnonzero(lengths == d)
+        at = (ends[rows] - d)[:, None] + np.arange(d)
+        yield rows, flat[at] if d else np.zeros((len(rows), 0))
 
 
 def _lifted(x: np.ndarray, largest: float) -> np.ndarray:
@@ -80,45 +97,120 @@ def choose_pivots(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray
     return np.unique(pivots, axis=0)
 
 
+def exact(x: np.ndarray, y: np.ndarray) -> int:
+    """The inner product of whole numbers held as doubles, or the nearest long."""
+    return min(max(sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), _LONG[0]), _LONG[1])
+
+
+class Space:
+    """Pivots, and the length of the longest vector, of one dimension.
+
+    Without a finite square of that length there are no distances: one pivot, from which all are at 0.
+    """
+
+    def __init__(self, sample: np.ndarray, largest: float, count: int):
+        dimension = sample.shape[1]
+        self.bounded = bool(np.isfinite(largest * 64))
+        self.largest = largest if self.bounded else 0.0
+        #: What a computed distance may be off by: its square is off by some units in the last place of M.
+        self.room = float(np.sqrt(64 * np.finfo(float).eps * (dimension + 8) * self.largest)) + 1e-6
+        self.pivots = choose_pivots(_lifted(sample, largest), count) if self.bounded and len(sample) else np.zeros((1, dimension + 1))
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.bounded:
+            return np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        d = _distances(_lifted(x, self.largest), self.pivots)
+        near = d.argmin(axis=1)
+        return near, d[np.arange(len(d)), near]
+
+
 class Searcher:
-    """Running top k of a block of queries over chunks of the index."""
+    """The top k of some queries of one dimension over parts of the index."""
 
-    def __init__(self, ids, queries, floor, pivots, largest, top):
-        self.ids, self.q, self.top, self.largest = ids, queries, top, largest
-        self.to_pivot = _distances(np.hstack([queries, np.zeros((len(queries), 1))]), pivots)
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, space: Space, top: int):
+        self.ids, self.q, self.space, self.top = ids, queries, space, top
+        self.least = np.minimum(least, 2.0**63 - 2048)  # scores end at the largest long
         self.square = (queries * queries).sum(axis=1)
-        self.least = floor.copy()  # scores below can't be among the k best
-        self.best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.to_pivot = _distances(np.hstack([queries, np.zeros((len(queries), 1))]), space.pivots) if space.bounded else None
+        self.most = np.abs(queries).max(axis=1, initial=0)
+        self.hits: list[tuple] = []
+        self.held = 0
 
-    def reach(self, i: int) -> float:
-        """Distance beyond which nothing can score ``least``, with room for rounding."""
-        return float(np.sqrt(max(self.square[i] + self.largest - 2 * self.least[i], 0))) * (1 + 1e-9) + 1e-3
+    def reach(self) -> np.ndarray:
+        """Distances beyond which nothing can score ``least``."""
+        low = self.least - np.abs(self.least) * 1e-12
+        return np.sqrt(np.maximum(self.square + self.space.largest - 2 * low, 0)) * (1 + 1e-9) + 2 * self.space.room
 
     def add(self, pivot: np.ndarray, dist: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        """A chunk of the index, sorted by pivot and distance."""
+        """A part of the index, sorted by pivot and distance."""
         starts = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
         ends = np.append(starts[1:], len(pivot))
-        rings = [(a, min(a + RING, e)) for s, e in zip(starts, ends, strict=True) for a in range(s, e, RING)]
-        low = np.array([dist[a] for a, _ in rings])
-        high = np.array([dist[b - 1] for _, b in rings])
-        home = np.array([pivot[a] for a, _ in rings])
-        for i in range(len(self.ids)):
-            at = self.to_pivot[i][home]
-            bound = np.maximum(np.maximum(low - at, at - high), 0)
-            reach = self.reach(i)
-            for r in np.argsort(bound, kind="stable"):
-                if bound[r] > reach:
-                    break
-                a, b = rings[r]
-                score = x[a:b] @ self.q[i]
-                good = np.flatnonzero((score >= self.least[i]) & (ids[a:b] != self.ids[i]))
-                if len(good):
-                    kept = self.best[i] + [(-float(score[j]), int(ids[a + j])) for j in good]
-                    kept.sort()
-                    self.best[i] = kept[: self.top]
-                    if len(kept) >= self.top:
-                        self.least[i] = max(self.least[i], -self.best[i][-1][0])
-                        reach = self.reach(i)
+        rings = np.array([(a, min(a + RING, e)) for s, e in zip(starts, ends, strict=True) for a in range(s, e, RING)])
+        if self.space.bounded:
+            at = self.to_pivot[:, pivot[rings[:, 0]]]
+            bound = np.maximum(np.maximum(dist[rings[:, 0]] - at, at - dist[rings[:, 1] - 1]), 0)
+        else:
+            bound = np.zeros((len(self.ids), len(rings)))
+        reach = self.reach() if self.space.bounded else np.full(len(self.ids), np.inf)
+        for r in np.argsort(bound.mean(axis=0), kind="stable"):
+            who = np.flatnonzero(bound[:, r] <= reach)
+            if not len(who):
+                continue
+            a, b = rings[r]
+            if self._score(who, ids[a:b], x[a:b].astype(np.float64)) and self.space.bounded:
+                reach = self.reach()
+
+    def _score(self, who: np.ndarray, ids: np.ndarray, x: np.ndarray) -> bool:
+        """Holds vectors against queries; whether bounds have risen."""
+        dimension = x.shape[1]
+        sure = dimension * float(np.abs(x).max(initial=0)) * float(self.most[who].max()) < _EXACT
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = self.q[who] @ x.T
+            if sure:
+                good = score >= self.least[who][:, None]
+            else:
+                off = (dimension + 2) * 2.0**-51 * (np.abs(self.q[who]) @ np.abs(x).T)
+                good = ~(score + off < self.least[who][:, None])
+        good &= ids[None, :] != self.ids[who][:, None]
+        i, j = np.nonzero(good)
+        if not len(i):
+            return False
+        values = score[i, j].astype(np.int64) if sure else np.array([exact(self.q[who[a]], x[b]) for a, b in zip(i, j, strict=True)], dtype=object)
+        self.hits.append((who[i], ids[j], values))
+        self.held += len(i)
+        if self.held < HITS:
+            return False
+        self._prune()
+        return True
+
+    def _prune(self) -> None:
+        q, ids, values = self.best()
+        self.hits, self.held = [(q, ids, values)], 0
+        last = np.flatnonzero(np.append(q[1:] != q[:-1], True))
+        full = last[(last >= self.top - 1) & (q[np.maximum(last - self.top + 1, 0)] == q[last])]
+        # A bound may be too low, never too high.
+        for k in full:
+            value = float(values[k])
+            self.least[q[k]] = max(self.least[q[k]], value if abs(value) < _EXACT else value - abs(value) * 2.0**-52)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, score) of the best k of each query, best first."""
+        if not self.hits:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        q, ids = (np.concatenate([h[k] for h in self.hits]) for k in (0, 1))
+        values = np.concatenate([h[2] for h in self.hits])
+        if values.dtype == object:
+            order = np.array(sorted(range(len(q)), key=lambda k: (q[k], -values[k], ids[k])))
+        else:
+            order = np.lexsort((ids, -values, q))
+        q, ids, values = q[order], ids[order], values[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = place < self.top
+        return q[keep], ids[keep], values[keep]
+
+
+_INDEX = "vec_id long, vec array<double>, dim int, pivot int, dist double"
 
 
 def top_inner_products(
@@ -126,83 +218,117 @@ def top_inner_products(
 ) -> DataFrame:
     """The ``top`` best other rows of every row whose id ``step`` divides, ties to smaller ids.
 
-    See integer_vectors() for rows that take no part. Rows that repeat an id are each candidates of
-    other queries, and none of its own. Fewer candidates than ``top`` give all; none give no rows.
+    See integer_vectors() for rows that take no part. A query's candidates are the vectors of its own
+    dimension. Rows that repeat an id are each candidates of other queries, and none of its own; as a query
+    such an id has the smallest of its vectors. Fewer candidates than ``top`` give all; none, and an empty
+    table, give no rows. A score beyond a long is the nearest long. Other columns are ignored.
     """
     spark = embeddings.sparkSession
     vectors = written(integer_vectors(embeddings), "vectors")
     schema = "query_id long, rank int, vec_id long, score long"
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).collect()
     if not some:
         return spark.createDataFrame([], schema)
-    largest = float(vectors.agg(F.max(F.aggregate("vec", F.lit(0).cast("double"), lambda a, v: a + v.cast("double") * v))).first()[0])
-    known_ids = np.array([r["vec_id"] for r in some], dtype=np.int64)
-    known = np.array([r["vec"] for r in some], dtype=np.float64)
-    centres = choose_pivots(_lifted(known, largest), pivots)
+    square = F.aggregate("vec", F.lit(0).cast("double"), lambda a, v: a + v * v)
+    spaces, known = {}, {}
+    # One row a dimension.
+    for d, largest in vectors.groupBy(F.size("vec").alias("d")).agg(F.max(square)).collect():
+        own = [r for r in some if len(r["vec"]) == d]
+        matrix = np.array([r["vec"] for r in own], dtype=np.float64).reshape(len(own), d)
+        spaces[d], known[d] = Space(matrix, float(largest), pivots), (np.array([r["vec_id"] for r in own], dtype=np.int64), matrix)
+    shared = spark.sparkContext.broadcast((spaces, known))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spaces, _ = shared.value
         for batch in batches:
-            if batch.num_rows:
-                d = _distances(_lifted(_matrix(batch.column("vec")), largest), centres)
-                near = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), batch.column("vec"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])],
-                    names=["vec_id", "vec", "pivot", "dist"],
-                )
-
-    index = written(
-        vectors.mapInArrow(lean(place), "vec_id long, vec array<int>, pivot int, dist double")
-        .repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id"),
-        "pivot-index",
-    )
+            pivot, dist = np.zeros(batch.num_rows, dtype=np.int32), np.zeros(batch.num_rows)
+            for rows, x in _by_dimension(batch.column("vec")):
+                pivot[rows], dist[rows] = spaces[x.shape[1]].place(x)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), batch.column("vec"), pa.array(_lengths(batch.column("vec")), pa.int32()), pa.array(pivot), pa.array(dist)],
+                names=["vec_id", "vec", "dim", "pivot", "dist"],
+            )
+
+    order = ["dim", "pivot", "dist", "vec_id"]
+    index = written(vectors.mapInArrow(lean(place), _INDEX).repartitionByRange(*order).sortWithinPartitions(*order), "pivot-index")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k-th best score among the sample: no worse than the k-th best of all."""
+        """A bound from the sample: its k-th best score is no better than the k-th best of all."""
+        _, known = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = part.column("vec_id").to_numpy(zero_copy_only=False)
-                score = _matrix(part.column("vec")) @ known.T
-                score[ids[:, None] == known_ids[None, :]] = -np.inf
-                least = np.sort(score, axis=1)[:, -top] if len(known) >= top else np.full(len(ids), -np.inf)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id"), part.column("vec"), pa.array(np.where(np.isfinite(least), least, -1e300))], names=["vec_id", "vec", "least"]
-                )
-
-    asked = vectors.filter(F.pmod("vec_id", F.lit(step)) == 0).dropDuplicates(["vec_id"])
-    asked = written(asked.mapInArrow(lean(bounded), "vec_id long, vec array<int>, least double"), "queries")
-    blocks = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((
-            np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["vec"] for r in rows], dtype=np.float64),
-            np.array([r["least"] for r in rows]),
-        ))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, queries, least = shared.value
-            run = None
-            for batch in batches:
-                for at in range(0, batch.num_rows, CHUNK):
-                    part = batch.slice(at, CHUNK)
-                    run = run or Searcher(ids, queries, least, centres, largest, top)
-                    run.add(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "dist", "vec_id")), _matrix(part.column("vec")))
-            if run:
-                rows = [(int(ids[i]), v, int(-s)) for i, best in enumerate(run.best) for s, v in best]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
-
-        part = index.mapInArrow(lean(search), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+            least = np.full(batch.num_rows, -np.inf)
+            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            for rows, x in _by_dimension(batch.column("vec")):
+                known_ids, matrix = known[x.shape[1]]
+                if len(known_ids) < top:
+                    continue
+                for at in range(0, len(rows), 512):
+                    part = rows[at : at + 512]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        score = x[at : at + 512] @ matrix.T
+                        score -= (x.shape[1] + 2) * 2.0**-51 * (np.abs(x[at : at + 512]) @ np.abs(matrix).T)
+                    score[(ids[part][:, None] == known_ids[None, :]) | ~np.isfinite(score)] = -np.inf
+                    least[part] = np.floor(np.sort(score, axis=1)[:, -top])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(least)], names=["vec_id", "vec", "least"])
+
+    asked = vectors.filter(F.pmod("vec_id", F.lit(step)) == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = written(asked.mapInArrow(lean(bounded), "vec_id long, vec array<double>, least double"), "queries", maxRecordsPerFile=str(block))
+    files = sorted(asked.inputFiles())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spaces, _ = shared.value
+        for part in _parts(batches):
+            yield from _searched(part, files, spaces, top)
+
+    found = index.mapInArrow(lean(search), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Parts of the index of one dimension each: (dimension, pivots, distances, ids, vectors) runs of batches."""
+    held, n, dimension = [], 0, None
+    for batch in batches:
+        dims = batch.column("dim").to_numpy(zero_copy_only=False)
+        for at in np.flatnonzero(np.concatenate([[True], dims[1:] != dims[:-1]])) if len(dims) else ():
+            own = batch.slice(at, int(np.searchsorted(dims, dims[at], "right")) - at)
+            if held and (dims[at] != dimension or n >= PART):
+                yield held
+                held, n = [], 0
+            dimension = dims[at]
+            (_, x), *_ = _by_dimension(own.column("vec"))
+            with np.errstate(over="ignore"):
+                small = x.astype(np.float32)
+            x = small if (small == x).all() else x
+            held.append((int(dimension), *(own.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "dist", "vec_id")), x))
+            n += x.size + len(x)
+    if held:
+        yield held
+
+
+def _searched(part: list[tuple], files: list[str], spaces: dict, top: int) -> Iterator[pa.RecordBatch]:
+    """The best of one part of the index for the queries of all files."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    dimension = part[0][0]
+    pivot, dist, ids = (np.concatenate([p[k] for p in part]) for k in (1, 2, 3))
+    x = np.concatenate([p[4] for p in part])
+    for file in files:
+        fs, path = pafs.FileSystem.from_uri(file)
+        queries = pq.read_table(path, filesystem=fs).combine_chunks()
+        own = queries.filter(pa.array(_lengths(queries.column("vec").combine_chunks()) == dimension))
+        if not own.num_rows:
+            continue
+        (_, q), *_ = _by_dimension(own.column("vec").combine_chunks())
+        query_ids, least = (own.column(c).to_numpy() for c in ("vec_id", "least"))
+        run = Searcher(query_ids, q, least, spaces[dimension], top)
+        run.add(pivot, dist, ids, x)
+        who, found, score = run.best()
+        if len(who):
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(found), pa.array(score.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
+
+
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"))
 
