@@ -104,6 +104,35 @@ def test_longest_match_and_place(spark):
     assert (r["longest_match"], r["longest_item"], r["longest_at"]) == (len(PROSE.split()), "7", 2)
 
 
+def test_longest_matches_of_items_that_share_windows(spark):
+    """Every match by brute force: items that begin alike, one that repeats itself, and one without an id."""
+    w = [f"w{i}" for i in range(40)]
+    e = [f"e{i}" for i in range(10)]
+    a, b = w[:13], [*w[:13], *e]
+    again = [*w[:20], "x", *w[:13], *e[:4]]
+    items = [("A", " ".join(a)), ("B", " ".join(b)), ("C", " ".join(again)), ("D", "lone words"), (None, " ".join(w)), ("E", " ".join(w[5:30])), ("F", "r " * 40)]
+    texts = [["other", *b], [*w[3:33], "y", *b], again, ["lone", "words", "lone"], w[:12], [], ["r"] * 60, ["q", *w[:13], "q", *w[:13]], *(["z"] * k + w[k : k + 20] for k in range(6))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        found = []
+        for item, text in items:
+            own = text.split()
+            least = min(13, len(own))
+            for p in range(len(t) if item else 0):
+                for j in range(len(own)):
+                    n = 0
+                    while p + n < len(t) and j + n < len(own) and t[p + n] == own[j + n]:
+                        n += 1
+                    if n >= least:
+                        found.append((-n, p, item))
+        want[i] = (-min(found)[0], min(found)[2], min(found)[1]) if found else (0, None, None)
+    for block in (2_000_000, 1):
+        got = op1_decontaminate.contamination(docs, bench, block_words=block, shard_bytes=200).collect()
+        assert {r["doc_id"]: (r["longest_match"], r["longest_item"], r["longest_at"]) for r in got} == want
+
+
 def test_suffix_array_is_sorted():
     words = np.random.default_rng(3).integers(0, 4, 500)
     array = op1_decontaminate.SuffixArray(words, 5, 13)

@@ -6,23 +6,29 @@ in it. The interval of a suffix holds the locations of its longest verbatim matc
 
 The documents are read once and never shuffled. Words that occur in no item are one sentinel:
 a match can't cross them, so suffixes that start at one are left out of the array (a match can't
-start there either). The item words reach executors in blocks of bounded size; a test set beyond
-one block is searched block by block within the same pass over a shard, each block read from its
-own broadcast.
+start there either). Items reach executors as files of bounded size in the shared folder; a test set
+beyond one of them is searched file by file within the same pass over a shard, and a worker holds one
+at a time.
+
+Matches shorter than a window affect no document, so suffixes are compared to that depth first. What
+agrees so far is extended along every place of the window in the items to the whole match.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeflow.llm.common import alnum_words, lean, sized_batches, table, text_bytes
+from treeflow.llm.common import alnum_words, lean, scratch, sized_batches, table, text_bytes
 
 #: Words in a window; an item with fewer words is one window by itself.
 WINDOW = 13
@@ -30,30 +36,40 @@ WINDOW = 13
 HIT_PART = 20
 #: Text bytes in one shard of the training suffix array.
 SHARD_BYTES = 4_000_000
-#: Item words in one broadcast block.
+#: Item words in one file.
 BLOCK_WORDS = 2_000_000
+#: Occurrences of windows in a shard and in the items that are held against each other at once.
+PAIRS = 1 << 20
 
 
 @dataclass
 class ItemBlock:
     """Suffixes of a block of items as integer words, ready for searching.
 
-    ``starts[k]`` is the place of window k in ``words``; ``owner[k]`` its item.
+    Window k has ``lengths[k]`` words and lies at the places ``places[first[k] : first[k + 1]]`` of ``words``;
+    ``starts[k]`` is one of them. ``owners`` are the items of places, as places in ``names`` (sorted).
     """
 
     vocabulary: dict[bytes, int]
     words: np.ndarray
-    starts: np.ndarray
     lengths: np.ndarray
-    owners: list[list[str]]
-    tails: np.ndarray
+    first: np.ndarray
+    places: np.ndarray
+    owners: np.ndarray
+    names: list[str]
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self.places[self.first[:-1]]
 
     @classmethod
     def of(cls, items: list[tuple[object, bytes]], window: int) -> ItemBlock:
         vocabulary: dict[bytes, int] = {}
-        flat: list[int] = []
+        flat: list[int] = [0]  # a sentinel before, between and behind the items
         seen: dict[tuple[int, ...], int] = {}
-        starts, lengths, tails, owners = [], [], [], []
+        lengths, kinds, places, owners = [], [], [], []
+        names = sorted({str(item) for item, _ in items})
+        number = {name: k for k, name in enumerate(names)}
         for item, text in items:
             w = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in alnum_words(text)]
             n = min(window, len(w))
@@ -63,15 +79,16 @@ class ItemBlock:
             flat += [*w, 0]
             for at in range(len(w) - n + 1):
                 key = tuple(w[at : at + n])
-                if (k := seen.setdefault(key, len(starts))) == len(starts):
-                    starts.append(base + at)
+                if (k := seen.setdefault(key, len(lengths))) == len(lengths):
                     lengths.append(n)
-                    tails.append(len(w) - at)
-                    owners.append([])
-                if str(item) not in owners[k][-1:]:
-                    owners[k].append(str(item))
+                kinds.append(k)
+                places.append(base + at)
+                owners.append(number[str(item)])
         as_array = lambda x: np.array(x, dtype=np.int64)
-        return cls(vocabulary, as_array(flat), as_array(starts), as_array(lengths), owners, as_array(tails))
+        kinds = as_array(kinds)
+        order = np.argsort(kinds, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(kinds, minlength=len(lengths)))]).astype(np.int64)
+        return cls(vocabulary, as_array(flat), as_array(lengths), first, as_array(places)[order], as_array(owners)[order], names)
 
 
 def _packed(words: np.ndarray, bits: int, per_key: int, keys: int) -> list[np.ndarray]:
@@ -143,7 +160,7 @@ class SuffixArray:
 def _shard_matches(words: np.ndarray, block: ItemBlock, window: int) -> tuple[np.ndarray, np.ndarray]:
     """All occurrences of windows in a shard: their places and the numbers of the windows."""
     none = np.array([], dtype=np.int64)
-    if not len(block.starts) or not words.any():
+    if not len(block.lengths) or not words.any():
         return none, none
     array = SuffixArray(words, len(block.vocabulary) + 1, window)
     lo, hi = array.intervals(block.words, block.starts, block.lengths)
@@ -156,21 +173,35 @@ def _shard_matches(words: np.ndarray, block: ItemBlock, window: int) -> tuple[np
     )
 
 
-def _longest(words: np.ndarray, places: np.ndarray, block: ItemBlock, windows: np.ndarray) -> np.ndarray:
-    """Words that agree from each place of the shard and the start of its window on."""
+def _maximal(words: np.ndarray, places: np.ndarray, windows: np.ndarray, block: ItemBlock) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, lengths, items) of the matches that no word before or behind extends.
+
+    Every occurrence of a window is held against every place that the window has in the items.
+    """
     here = np.concatenate([words, [0]])
-    length = block.lengths[windows].copy()
-    tail, start = block.tails[windows], block.starts[windows]
-    open_ = np.flatnonzero(length < tail)
-    while len(open_):
-        agree = here[np.minimum(places[open_] + length[open_], len(words))] == block.words[start[open_] + length[open_]]
-        open_ = open_[agree]
-        length[open_] += 1
-        open_ = open_[length[open_] < tail[open_]]
-    return length
-
-
-def _scan(batches: Iterator[pa.RecordBatch], blocks, window: int, shard_bytes: int):
+    copies = np.diff(block.first)[windows]
+    ends = np.cumsum(copies)
+    at = 0
+    while at < len(places):  # some pairs at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        k = copies[at:to]
+        place = np.repeat(places[at:to], k)
+        own = np.repeat(block.first[windows[at:to]], k) + np.arange(len(place)) - np.repeat(np.cumsum(k) - k, k)
+        length = np.repeat(block.lengths[windows[at:to]], k)
+        item_at, item = block.places[own], block.owners[own]
+        before = block.words[item_at - 1]
+        begins = (before == 0) | (place == 0) | (here[place - 1] != before)
+        place, item_at, length, item = place[begins], item_at[begins], length[begins], item[begins]
+        open_ = np.arange(len(place))
+        while len(open_):
+            next_ = block.words[item_at[open_] + length[open_]]
+            open_ = open_[(next_ != 0) & (here[np.minimum(place[open_] + length[open_], len(words))] == next_)]
+            length[open_] += 1
+        yield place, length, item
+        at = to
+
+
+def _scan(batches: Iterator[pa.RecordBatch], blocks: list[str], window: int, shard_bytes: int):
     """For every shard: (batch, word counts, per-document hits, items and longest matches)."""
     for batch in sized_batches(batches, shard_bytes):
         docs = [alnum_words(x) for x in text_bytes(batch)]
@@ -180,9 +211,9 @@ def _scan(batches: Iterator[pa.RecordBatch], blocks, window: int, shard_bytes: i
         total = int(ends[-1]) if len(ends) else 0
         cover = np.zeros(total + 1, dtype=np.int64)
         items: list[set[str]] = [set() for _ in docs]
-        best: list[tuple] = [(0, None, None)] * len(docs)
-        for broadcast in blocks:
-            block = broadcast.value
+        best: list[tuple] = [(0, None, None)] * len(docs)  # words, place, item
+        for path in blocks:
+            block = _opened(path)
             words = np.zeros(total, dtype=np.int64)
             get = block.vocabulary.get
             for d, begin, n in zip(docs, begins, counts, strict=True):
@@ -193,15 +224,17 @@ def _scan(batches: Iterator[pa.RecordBatch], blocks, window: int, shard_bytes: i
             np.add.at(cover, places, 1)
             np.add.at(cover, places + block.lengths[windows], -1)
             owner = np.searchsorted(ends, places, "right")
-            for pair in np.unique(owner * len(block.starts) + windows).tolist():
-                items[pair // len(block.starts)].update(block.owners[pair % len(block.starts)])
-            length = _longest(words, places, block, windows)
-            order = np.lexsort((windows, places, -length, owner))
-            lead = order[np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))]
-            for j in lead.tolist():
-                i = int(owner[j])
-                if length[j] > best[i][0]:
-                    best[i] = (int(length[j]), block.owners[int(windows[j])][0], int(places[j] - begins[i]))
+            for pair in np.unique(owner * len(block.lengths) + windows).tolist():
+                doc, k = divmod(pair, len(block.lengths))
+                items[doc].update(block.names[x] for x in block.owners[block.first[k] : block.first[k + 1]])
+            for place, length, item in _maximal(words, places, windows, block):
+                owner = np.searchsorted(ends, place, "right")
+                order = np.lexsort((item, place, -length, owner))
+                for j in order[np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))] if len(order) else ():
+                    i = int(owner[j])
+                    found = (int(length[j]), int(place[j] - begins[i]), block.names[item[j]])
+                    if not best[i][0] or (-found[0], *found[1:]) < (-best[i][0], *best[i][1:]):
+                        best[i] = found
         hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
         yield batch, counts, hit[ends] - hit[begins], items, best
 
@@ -213,24 +246,42 @@ OUT = pa.schema([
 ])
 
 
-def item_blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list:
-    """Broadcasts of the items, each of at most ``block_words`` words (or one longer item).
+def item_blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list[str]:
+    """Files of the items in the shared folder, each of at most ``block_words`` words (or one longer item).
 
-    The rows come to the driver one partition at a time; a block is sent off as soon as it is
-    full, so neither side holds more than a block's bound at once.
+    The rows come to the driver one partition at a time; a file is written as soon as it is full, so
+    neither side holds more than its bound at once.
     """
+    folder = scratch(spark, "items")
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
     blocks, rows, n = [], [], 0
-    for item, text in benchmark.select("item_id", F.col("text").cast("binary")).toLocalIterator():
+
+    def close() -> None:
+        path = f"{len(blocks)}.pickle"
+        with fs.open_output_stream(f"{root}/{path}", compression=None) as out:
+            out.write(pickle.dumps(ItemBlock.of(rows, window)))
+        blocks.append(f"{folder}/{path}")
+
+    for item, text in benchmark.filter(F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("binary")).toLocalIterator():
         rows.append((item, bytes(text or b"")))
         n += len(alnum_words(rows[-1][1]))
         if n >= block_words:
-            blocks.append(spark.sparkContext.broadcast(ItemBlock.of(rows, window)))
+            close()
             rows, n = [], 0
     if rows:
-        blocks.append(spark.sparkContext.broadcast(ItemBlock.of(rows, window)))
+        close()
     return blocks
 
 
+@functools.lru_cache(maxsize=1)
+def _opened(path: str) -> ItemBlock:
+    """An item file of item_blocks(); a worker keeps the one it read last."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(name, compression=None) as f:
+        return pickle.loads(f.read())
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS,
@@ -252,8 +303,8 @@ def contamination(
                 pa.array([len(i) for i in items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]),
                 pa.array([bool(h > 0 and HIT_PART * h >= n) for h, n in zip(hits, counts, strict=True)], pa.bool_()),
-                pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.string()),
-                pa.array([b[2] for b in best], pa.int64()),
+                pa.array([b[0] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.string()),
+                pa.array([b[1] for b in best], pa.int64()),
             ], schema=OUT)
 
     return documents.select("doc_id", "text").mapInArrow(
@@ -278,8 +329,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
 
 
 def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""
@@ -288,23 +338,30 @@ WITH dw AS (
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (
-  SELECT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS g
+  SELECT item_id, i AS j, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM iw WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
 grams AS (
   SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
-occ AS (SELECT doc_id, i, grams.n, item_id FROM grams JOIN win ON grams.g = win.g AND grams.n = win.n),
+occ AS (SELECT doc_id, i, j, grams.n, item_id FROM grams JOIN win ON grams.g = win.g AND grams.n = win.n),
 hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM occ)) GROUP BY doc_id),
 its AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM occ) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM occ) GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, CAST(item_id AS VARCHAR) AS x, min(i) AS i, count(*) + n - 1 AS words
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j, n ORDER BY i) AS run FROM (SELECT DISTINCT * FROM occ))
+  GROUP BY doc_id, item_id, i - j, n, run),
+longest AS (
+  SELECT doc_id, words, x, i FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, i, x) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(words, 0) AS BIGINT) AS longest_match, x AS longest_item, CAST(i - 1 AS BIGINT) AS longest_at
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
