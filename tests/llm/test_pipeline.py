@@ -37,3 +37,34 @@ def test_equals_twin(name, spark, sf):
     df = __spark_entry__.queries()[name](spark, sf)
     assert sorted(df.columns) == sorted(names)
     assert sorted(repr(tuple(r[n] for n in names)) for r in df.collect()) == sorted(map(repr, twin.fetchall()))
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, hub string, rows long"
+
+
+def _stages(spark, docs, sf, tmp_path):
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        out.append(docs)
+    return out
+
+
+def test_stages_on_edge_cases(spark, sf, tmp_path):
+    good = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"] and len(r["text"].split()) > 30][:3]
+    long = " ".join(good) * 2000
+    rows = [(1, None), (2, ""), (3, " \n"), (4, good[0]), (4, good[0]), (5, good[0]), (None, good[0]), (None, good[0]), (6, good[1]), (6, good[2]), (7, good[2]), (8, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "h", 1) for i, t in rows], EDGES)
+    out = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert out.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in out.collect() if r["text"] and r["text"].strip())
+    assert kept == sorted([(4, good[0]), (0, good[0]), (0, good[0]), (6, min(good[1], good[2])), (8, long)])
+    assert {r["doc_id"] for r in out.collect() if not (r["text"] or "").strip()} == {1, 2, 3}
+    found = _stages(spark, docs, sf, tmp_path)
+    assert all(d.columns == docs.columns for d in found[:-1])
+
+
+def test_stages_on_an_empty_table(spark, sf, tmp_path):
+    found = _stages(spark, spark.createDataFrame([], EDGES), sf, tmp_path)
+    assert all(d.count() == 0 for d in found)
