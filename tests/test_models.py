@@ -176,9 +176,9 @@ def test_empty_trees(spark):
     none = spark.createDataFrame([], "rel string, parent string, name string, size long, mtime_sec long, mtime_nsec long, content string")
     assert diff.verify(none, none).count() == 0
     assert diff.directory_hashes(none).count() == 0
-    assert merkle.leaves(none, 1024).count() == 0
+    assert merkle.leaves(merkle.signatures(none, 1024), 1024).count() == 0
     one = spark.createDataFrame([("d/e", "d", "e", 0, 1, 1, "")], none.schema)
-    assert merkle.leaves(one, 1024).count() == 0
+    assert merkle.leaves(merkle.signatures(one, 1024), 1024).count() == 0
     assert [r["finding"] for r in diff.verify(one, none).collect()] == ["missing"]
 
 

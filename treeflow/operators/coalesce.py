@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,17 +27,14 @@ def contiguous(writes: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Rows of one key at a time, from batches whose rows come sorted by their first columns."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[-1][:keys] != row[:keys]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[Iterator[tuple]]:
+    """The rows of one key after the other, as they stream past, from batches that come sorted by their first columns.
+
+    No key's rows are gathered: a fold holds what it keeps itself.
+    """
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for _, run in itertools.groupby(rows, key=lambda row: row[:keys]):
+        yield run
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -69,7 +67,8 @@ def merge_capped(writes: DataFrame, depth: int, limit: int) -> DataFrame:
     so the last one may overshoot.
     """
 
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
+    def fold(run: Iterator[tuple]) -> Iterator[tuple]:
+        rows = list(run)  # one file's writes
         used = [False] * len(rows)
         for i, (inode, seq, name, off, n) in enumerate(rows):
             if used[i]:
@@ -92,7 +91,7 @@ def aggregate_window(writes: DataFrame, gap_ns: int, most: int) -> DataFrame:
     """The capture-side merge: a write extends the pending one while young, contiguous, of equal flags and
     within the size bound; else the pending one is flushed."""
 
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         pending = None
         for inode, t, off, n, flags in rows:
             if (

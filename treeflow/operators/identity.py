@@ -114,7 +114,7 @@ def projected(events: DataFrame) -> DataFrame:
     links don't occur; it needs no order.
     """
 
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         paths: dict[int, list[str]] = {}
         owner: dict[str, int] = {}
         waiting: dict[int, list[tuple]] = {}

@@ -16,33 +16,56 @@ def chunk_size(size: Column) -> Column:
     return F.when(size <= 0, F.lit(MIN_CHUNK).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")))
 
 
-def leaves(tree: DataFrame, chunk: int, content: str = "content") -> DataFrame:
-    """(rel, idx, offset, length, hash) of each chunk of ``chunk`` characters; an empty file has none.
-
-    Slices are cut in the scan's own tasks; only digests leave them.
-    """
-    n = F.ceil(F.length(content) / chunk).cast("int")
-    idx = tree.filter(F.length(content) > 0).select("rel", content, F.explode(F.sequence(F.lit(0), n - 1)).alias("idx"))
-    part = F.substring(F.col(content), F.col("idx") * chunk + 1, F.lit(chunk))
-    return idx.select(
-        "rel", F.col("idx").cast("long").alias("idx"), (F.col("idx") * chunk).cast("long").alias("offset"),
-        F.length(part).cast("long").alias("length"), F.sha2(part, 256).alias("hash"),
-    )
+def pieces(text: Column | str, size: int) -> Column:
+    """A text cut into pieces of ``size`` characters, in one pass over it; null for a null, none of an empty one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def signatures(tree: DataFrame, chunk: int, content: str = "content") -> DataFrame:
+    """(rel, chars, hashes): digests of each file's chunks in order. Content stays in the scan's own tasks."""
+    hashes = F.transform(pieces(content, chunk), lambda x: F.sha2(x, 256))
+    return tree.select("rel", F.length(content).cast("long").alias("chars"), hashes.alias("hashes"))
+
+
+def leaves(signed: DataFrame, chunk: int) -> DataFrame:
+    """(rel, idx, offset, length, hash) of each chunk of signatures(); an empty file has none."""
+    each = signed.select("rel", "chars", F.posexplode("hashes").alias("idx", "hash"))
+    offset = F.col("idx").cast("long") * chunk
+    return each.select("rel", F.col("idx").cast("long").alias("idx"), offset.alias("offset"), F.least(F.lit(chunk), F.col("chars") - offset).cast("long").alias("length"), "hash")
+
+
+def root(hashes: str) -> Column:
+    """The digest of all leaf digests in order; one leaf is its own root, no leaf has none."""
+    return F.when(F.size(hashes) == 1, F.element_at(hashes, 1)).when(F.size(hashes) > 1, F.sha2(F.array_join(hashes, ""), 256))
 
 
-def roots(leaf: DataFrame) -> DataFrame:
-    """(rel, root, leaf_count): the digest of all leaf digests in order; one leaf is its own root."""
-    listed = leaf.groupBy("rel").agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("l"))
-    hashes = F.transform("l", lambda x: x["hash"])
-    root = F.when(F.size("l") == 1, hashes[0]).otherwise(F.sha2(F.array_join(hashes, ""), 256))
-    return listed.select("rel", root.alias("root"), F.size("l").cast("long").alias("leaf_count"))
+def roots(signed: DataFrame) -> DataFrame:
+    """(rel, root, leaf_count) of files that aren't empty."""
+    some = signed.filter(F.size("hashes") > 0)
+    return some.select("rel", root("hashes").alias("root"), F.size("hashes").cast("long").alias("leaf_count"))
 
 
-def dirty_leaves(src: DataFrame, tgt: DataFrame) -> DataFrame:
+def compared(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """Signatures of source files beside those of the target's (``old``, null without one): one row a file."""
+    return src.join(tgt.select("rel", F.col("hashes").alias("old")), "rel", "left")
+
+
+def _old(i: Column) -> Column:
+    """The target's digest of a chunk, or null."""
+    return F.get("old", i)
+
+
+def dirty_leaves(both: DataFrame, chunk: int) -> DataFrame:
     """Source leaves that the target lacks or has otherwise; leaves that only the target has don't count."""
-    old = tgt.select("rel", "idx", F.col("hash").alias("old"), F.col("length").alias("old_length"))
-    both = src.join(old, ["rel", "idx"], "left")
-    return both.filter(F.col("old").isNull() | (F.col("old") != F.col("hash"))).drop("old", "old_length")
+    changed = leaves(both.select("rel", "chars", F.transform("hashes", lambda h, i: F.when(~_old(i).eqNullSafe(h), h)).alias("hashes")), chunk)
+    return changed.filter(F.col("hash").isNotNull())
+
+
+def dirty_length(chunk: int) -> Column:
+    """Characters of a compared file's chunks that differ."""
+    length = lambda i: F.least(F.lit(chunk).cast("long"), F.col("chars") - i.cast("long") * chunk)
+    changed = F.transform("hashes", lambda h, i: F.when(_old(i).eqNullSafe(h), F.lit(0).cast("long")).otherwise(length(i)))
+    return F.aggregate(changed, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def merged_ranges(dirty: DataFrame) -> DataFrame:
@@ -51,19 +74,17 @@ def merged_ranges(dirty: DataFrame) -> DataFrame:
     return dirty.withColumn("island", island).groupBy("rel", "island").agg(F.min("offset").alias("offset"), F.sum("length").cast("long").alias("length")).drop("island")
 
 
-def patched(src: DataFrame, tgt: DataFrame) -> DataFrame:
+def patched(both: DataFrame) -> DataFrame:
     """What a delta write leaves on the target: its own chunk where equal, the source's where not."""
-    old = tgt.select("rel", "idx", F.col("hash").alias("old"))
-    both = src.join(old, ["rel", "idx"], "left")
-    return both.select("rel", "idx", "hash", F.col("old").eqNullSafe(F.col("hash")).alias("kept"))
+    each = F.transform("hashes", lambda h, i: F.struct(i.cast("long").alias("idx"), h.alias("hash"), _old(i).eqNullSafe(h).alias("kept")))
+    return both.select("rel", F.inline(each))
 
 
 def block_runs(tree: DataFrame, block: int, content: str = "content") -> DataFrame:
-    """Data and hole runs: blocks that hold nothing but NUL or blank characters are holes."""
-    n = F.ceil(F.length(content) / block).cast("int")
-    idx = tree.filter(F.length(content) > 0).select("rel", content, F.explode(F.sequence(F.lit(0), n - 1)).alias("idx"))
-    part = F.substring(F.col(content), F.col("idx") * block + 1, F.lit(block))
-    flagged = idx.select("rel", "idx", (F.length(F.trim(F.replace(part, F.lit("\x00"), F.lit(" ")))) == 0).alias("hole"), F.length(part).alias("length"))
+    """Data and hole runs: blocks that hold nothing but NUL characters are holes."""
+    each = tree.select("rel", F.posexplode(F.transform(pieces(content, block), lambda x: F.struct(
+        (F.length(F.replace(x, F.lit("\x00"), F.lit(""))) == 0).alias("hole"), F.length(x).alias("length")))).alias("idx", "b"))
+    flagged = each.select("rel", "idx", "b.hole", "b.length")
     w = Window.partitionBy("rel")
     k = F.row_number().over(w.orderBy("idx")) - F.row_number().over(Window.partitionBy("rel", "hole").orderBy("idx"))
     return (

@@ -13,10 +13,23 @@ from treeflow.operators.coalesce import folded
 _L, _D, _S = pa.int64(), pa.float64(), pa.string()
 
 
-def rolling(samples: DataFrame, value: str, interval: str, *keys: str) -> DataFrame:
-    """Least and largest value of the interval up to and including each sample (peers in time included)."""
-    frame = f"PARTITION BY {', '.join(keys)} ORDER BY ts RANGE BETWEEN INTERVAL {interval} PRECEDING AND CURRENT ROW"
-    return samples.withColumns({"low": F.expr(f"min({value}) OVER ({frame})"), "high": F.expr(f"max({value}) OVER ({frame})")})
+def rolling(samples: DataFrame, ident: str, value: str, seconds: int, *keys: str) -> DataFrame:
+    """(ident, low, high): least and largest value of the interval up to and including each sample (peers in time included).
+
+    Time is cut into slices as long as the interval, so an interval is the front of its sample's slice and the
+    end of the slice before: two running extremes, whose windows are a key's slice, and no frame is scanned anew
+    for a row. ``ident`` tells samples apart.
+    """
+    at, most = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
+    rows = samples.select(*keys, F.col(ident).alias("_id"), F.col(value).alias("_v"), at.alias("_at"), F.floor(at / most).alias("_slice"))
+    # Every sample also asks the slice before its own for what it has from there on.
+    asked = rows.select(*keys, "_id", F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"), (F.col("_at") - most).alias("_at"), (F.col("_slice") - 1).alias("_slice"), F.lit(True).alias("_asks"))
+    both = rows.withColumn("_asks", F.lit(False)).unionByName(asked)
+    slices = Window.partitionBy(*keys, "_slice")
+    front, end = (slices.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("_at"), F.col("_at").desc()))
+    pick = lambda f: F.when(F.col("_asks"), f("_v").over(end)).otherwise(f("_v").over(front))
+    found = both.select("_id", pick(F.min).alias("low"), pick(F.max).alias("high"))
+    return found.groupBy(F.col("_id").alias(ident)).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def with_key(df: DataFrame, *keys: str) -> DataFrame:
@@ -26,7 +39,7 @@ def with_key(df: DataFrame, *keys: str) -> DataFrame:
 def ewma(samples: DataFrame, order: str, value: str, alpha: float) -> DataFrame:
     """Every sample of a key with its exponentially weighted mean; the first sample starts it."""
 
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         mean = None
         for key, at, x in rows:
             mean = x if mean is None else alpha * x + (1 - alpha) * mean
@@ -43,7 +56,7 @@ def latency_timeouts(samples: DataFrame, order: str, value: str) -> DataFrame:
     before the sample. Starts at 1 s and 0.5 s; the timeout is mean + 4 deviations within 5 to 60 s.
     """
 
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         mean, deviation = 1_000_000, 500_000
         for key, at, x in rows:
             if x is None:
@@ -59,7 +72,7 @@ def latency_timeouts(samples: DataFrame, order: str, value: str) -> DataFrame:
 def rates(samples: DataFrame, order: str, us: str, size: str) -> DataFrame:
     """Committed throughput samples: after 10 ms, or after 0.5 ms once there are bytes."""
 
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         took = total = 0
         for key, at, t, n in rows:
             took, total = took + t, total + n
@@ -152,7 +165,7 @@ class Tuner:
 def tuner_states(samples: DataFrame, order: str = "event_id") -> DataFrame:
     """State, batch, target bytes in flight and flush interval after each telemetry row of a worker."""
 
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         tuner = Tuner()
         for key, at, t, size, took, latency, stress, pending in rows:
             yield (key, at, *tuner.step(t, size, took, latency, stress, pending))

@@ -21,37 +21,37 @@ _ROOT = "SELECT rel, CASE WHEN count(*) = 1 THEN min(hash) ELSE sha256(string_ag
 _DIRTY = _BOTH + ", dirty AS (SELECT sl.* FROM sl LEFT JOIN tl ON sl.rel = tl.rel AND sl.idx = tl.idx WHERE tl.hash IS NULL OR tl.hash <> sl.hash)"
 
 
-def _src_leaves(spark, d):
-    return merkle.leaves(lens.src_tree(spark, d), LEAF)
+def _src(spark, d):
+    return merkle.signatures(lens.src_tree(spark, d), LEAF)
 
 
-def _tgt_leaves(spark, d):
-    return merkle.leaves(lens.tgt_tree(spark, d), LEAF)
+def _tgt(spark, d):
+    return merkle.signatures(lens.tgt_tree(spark, d), LEAF)
 
 
-def _dirty(spark, d):
-    return merkle.dirty_leaves(_src_leaves(spark, d), _tgt_leaves(spark, d))
+def _both(spark, d):
+    return merkle.compared(_src(spark, d), _tgt(spark, d))
 
 
 @query("merkle_leaves", f"WITH src AS ({SRC_SQL}) " + _LEAVES.format("src"))
 def merkle_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return _src_leaves(spark, d)
+    return merkle.leaves(_src(spark, d), LEAF)
 
 
 @query("merkle_root", _BOTH + " " + _ROOT.format("sl"))
 def merkle_root(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.roots(_src_leaves(spark, d))
+    return merkle.roots(_src(spark, d))
 
 
 @query("dirty_ranges", _DIRTY + """, i AS (SELECT *, idx - row_number() OVER (PARTITION BY rel ORDER BY idx) AS k FROM dirty)
 SELECT rel, min("offset") AS "offset", CAST(sum(length) AS BIGINT) AS length FROM i GROUP BY rel, k""")
 def dirty_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.merged_ranges(_dirty(spark, d))
+    return merkle.merged_ranges(merkle.dirty_leaves(_both(spark, d), LEAF))
 
 
 @query("delta_write", _BOTH + " SELECT sl.rel, sl.idx, sl.hash, coalesce(tl.hash = sl.hash, false) AS kept FROM sl LEFT JOIN tl ON sl.rel = tl.rel AND sl.idx = tl.idx")
 def delta_write(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.patched(_src_leaves(spark, d), _tgt_leaves(spark, d))
+    return merkle.patched(_both(spark, d))
 
 
 def _delta(over: str, half: str) -> str:
@@ -64,11 +64,9 @@ SELECT rel, dirty_bytes, CASE WHEN sig_root IS NULL OR size <= {over} THEN 'full
 
 
 def _decided(spark: SparkSession, d: str, over: int, half: bool) -> DataFrame:
-    sr = merkle.roots(_src_leaves(spark, d)).select("rel", F.col("root").alias("src_root"))
-    tr = merkle.roots(_tgt_leaves(spark, d)).select("rel", F.col("root").alias("sig_root"))
-    db = _dirty(spark, d).groupBy("rel").agg(F.sum("length").cast("long").alias("dirty_bytes"))
-    files = lens.src_tree(spark, d).select("rel", F.length("content").cast("long").alias("size"))
-    j = files.join(sr, "rel", "left").join(tr, "rel", "left").join(db, "rel", "left").withColumn("dirty_bytes", F.coalesce("dirty_bytes", F.lit(0)))
+    j = _both(spark, d).select(
+        "rel", F.col("chars").alias("size"), merkle.root("hashes").alias("src_root"), merkle.root("old").alias("sig_root"), merkle.dirty_length(LEAF).alias("dirty_bytes")
+    )
     return j.select("rel", "dirty_bytes", strategy.delta_decision(over, half).alias("decision"))
 
 
@@ -89,23 +87,25 @@ j AS (SELECT src.rel, src.size AS a, tgt.size AS b, src.mtime_sec AS s1, tgt.mti
 SELECT rel, CASE WHEN a <> b THEN false WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN r1 = r2 WHEN s1 <> s2 THEN false
   WHEN h1 IS NOT NULL AND h2 IS NOT NULL THEN h1 = h2 ELSE true END AS same FROM j""")
 def signature_match(spark: SparkSession, d: str) -> DataFrame:
-    def side(tree, leaf, p, root, hash_):
-        t = tree.join(merkle.roots(leaf), "rel", "left")
+    def side(tree, p, root, hash_):
+        whole = merkle.root(F.transform(merkle.pieces("content", LEAF), lambda x: F.sha2(x, 256)))
+        t = tree.select("rel", "size", "mtime_sec", "mtime_nsec", whole.alias("root"), F.sha2("content", 256).alias("digest"))
         return t.select("rel", F.col("size").alias(p + "size"), F.col("mtime_sec").alias(p + "mtime_sec"), F.col("mtime_nsec").alias(p + "mtime_nsec"), root.alias(p + "merkle_root"), hash_.alias(p + "hash"))
 
     every_other = F.when(F.col("mtime_sec") % 2 == 0, F.col("root"))
-    digest = F.sha2("content", 256)
-    a = side(lens.src_tree(spark, d), _src_leaves(spark, d), "", every_other, digest)
-    b = side(lens.tgt_tree(spark, d), _tgt_leaves(spark, d), "t_", F.col("root"), F.when(F.col("size") % 3 > 0, digest))
+    a = side(lens.src_tree(spark, d), "", every_other, F.col("digest"))
+    b = side(lens.tgt_tree(spark, d), "t_", F.col("root"), F.when(F.col("size") % 3 > 0, F.col("digest")))
     return a.join(b, "rel").select("rel", diff.signature_match().alias("same"))
 
 
-@query("sparse_runs", f"""WITH src AS ({SRC_SQL}), b AS (SELECT rel, i, length(trim(replace(substring(content, i * 16 + 1, 16), chr(0), ' '))) = 0 AS hole, length(substring(content, i * 16 + 1, 16)) AS length
-  FROM (SELECT rel, content, unnest(range(0, (length(content) + 15) // 16)) AS i FROM src)),
+@query("sparse_runs", f"""WITH src AS ({SRC_SQL}), b AS (SELECT rel, i, length(replace(substring(content, i * 4 + 1, 4), chr(0), '')) = 0 AS hole, length(substring(content, i * 4 + 1, 4)) AS length
+  FROM (SELECT rel, regexp_replace(content, '[ \\n\\t]|[0-9]', chr(0), 'g') AS content, unnest(range(0, (length(content) + 3) // 4)) AS i FROM src)),
 k AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY i) - row_number() OVER (PARTITION BY rel, hole ORDER BY i) AS k FROM b)
-SELECT rel, hole, CAST(min(i) * 16 AS BIGINT) AS "offset", CAST(sum(length) AS BIGINT) AS length FROM k GROUP BY rel, hole, k""")
+SELECT rel, hole, CAST(min(i) * 4 AS BIGINT) AS "offset", CAST(sum(length) AS BIGINT) AS length FROM k GROUP BY rel, hole, k""")
 def sparse_runs(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.block_runs(lens.src_tree(spark, d), 16)
+    """Texts whose blanks and digits are NUL, in blocks of four characters."""
+    t = lens.src_tree(spark, d).withColumn("content", F.regexp_replace("content", "[ \\n\\t]|[0-9]", "\x00"))
+    return merkle.block_runs(t, 4)
 
 
 @query("fn_chunk_size", """SELECT CAST(size AS BIGINT) AS size, CASE WHEN size <= 0 THEN 65536 ELSE CAST(pow(2, ceil(log2(greatest(65536, (size + 1799) // 1800)))) AS BIGINT) END AS chunk
@@ -132,7 +132,7 @@ ix AS (SELECT hash, row_number() OVER (ORDER BY first) - 1 AS chunk_id, size, re
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Fixed-size chunks of two snapshots: the target tree, then the source tree."""
     at = lambda t, n: t.select(F.lit(n).alias("snapshot"), "rel", F.col("idx").alias("ord"), "hash", F.col("length").alias("size"))
-    return at(_tgt_leaves(spark, d), 0).unionByName(at(_src_leaves(spark, d), 1))
+    return at(merkle.leaves(_tgt(spark, d), LEAF), 0).unionByName(at(merkle.leaves(_src(spark, d), LEAF), 1))
 
 
 @query("chunk_dedup", _FIXED + " SELECT hash, chunk_id, size, refs FROM ix")
@@ -189,7 +189,7 @@ def restore_order(spark: SparkSession, d: str) -> DataFrame:
 @query("shared_chunks", _BOTH + """, s AS (SELECT DISTINCT hash FROM sl), t AS (SELECT DISTINCT hash FROM tl)
 SELECT (SELECT count(*) FROM s) AS source_chunks, (SELECT count(*) FROM t) AS target_chunks, (SELECT count(*) FROM (SELECT * FROM s INTERSECT SELECT * FROM t)) AS shared""")
 def shared_chunks(spark: SparkSession, d: str) -> DataFrame:
-    s, t = _src_leaves(spark, d).select("hash").distinct(), _tgt_leaves(spark, d).select("hash").distinct()
+    s, t = (x.select(F.explode("hashes").alias("hash")).distinct() for x in (_src(spark, d), _tgt(spark, d)))
     n = lambda df, name: df.agg(F.count("*").alias(name))
     return n(s, "source_chunks").crossJoin(n(t, "target_chunks")).crossJoin(n(s.intersect(t), "shared"))
 

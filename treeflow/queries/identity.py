@@ -30,9 +30,6 @@ def deferred_renames(spark: SparkSession, d: str) -> DataFrame:
     return identity.effective_order(_events(spark, d)).select("seq", "inode", "at", "deferred")
 
 
-_CHAIN = "m AS (SELECT 'n' || CAST(event_id AS VARCHAR) AS src, 'n' || CAST(event_id + 1 AS VARCHAR) AS dst FROM events WHERE event_id % 6 < 4 AND event_id < 3000)"
-
-
 def _moves(spark: SparkSession, d: str) -> DataFrame:
     """Chains of four renames a -> b -> c -> d -> e."""
     e = lens.read(spark, d, "events").filter("event_id % 6 < 4")
@@ -40,21 +37,13 @@ def _moves(spark: SparkSession, d: str) -> DataFrame:
     return e.select(name(F.col("event_id")).alias("src"), name(F.col("event_id") + 1).alias("dst"))
 
 
-@query("rename_chain_end", f"""WITH RECURSIVE {_CHAIN}, r AS (SELECT src AS start, dst AS "end", CAST(1 AS BIGINT) AS hops FROM m WHERE src NOT IN (SELECT dst FROM m)
-  UNION ALL SELECT r.start, m.dst, r.hops + 1 FROM r JOIN m ON r."end" = m.src)
-SELECT start, arg_max("end", hops) AS "end", max(hops) AS hops FROM r GROUP BY start""")
-def rename_chain_end(spark: SparkSession, d: str) -> DataFrame:
-    """The first 3,000 events only, as its SQL; rename_chain_ends is the whole table."""
-    return identity.chain_ends(_moves(spark, d).filter("cast(substr(src, 2) as long) < 3000"))
-
-
-_CHAINS = "m AS (SELECT 'n' || CAST(event_id AS VARCHAR) AS src, 'n' || CAST(event_id + 1 AS VARCHAR) AS dst FROM events WHERE event_id % 6 < 4)"
+_CHAIN = "m AS (SELECT 'n' || CAST(event_id AS VARCHAR) AS src, 'n' || CAST(event_id + 1 AS VARCHAR) AS dst FROM events WHERE event_id % 6 < 4)"
 
 
-@query("rename_chain_ends", f"""WITH RECURSIVE {_CHAINS}, r AS (SELECT src AS start, dst AS "end", CAST(1 AS BIGINT) AS hops FROM m WHERE src NOT IN (SELECT dst FROM m)
+@query("rename_chain_end", f"""WITH RECURSIVE {_CHAIN}, r AS (SELECT src AS start, dst AS "end", CAST(1 AS BIGINT) AS hops FROM m WHERE src NOT IN (SELECT dst FROM m)
   UNION ALL SELECT r.start, m.dst, r.hops + 1 FROM r JOIN m ON r."end" = m.src)
 SELECT start, arg_max("end", hops) AS "end", max(hops) AS hops FROM r GROUP BY start""")
-def rename_chain_ends(spark: SparkSession, d: str) -> DataFrame:
+def rename_chain_end(spark: SparkSession, d: str) -> DataFrame:
     return identity.chain_ends(_moves(spark, d))
 
 

@@ -54,7 +54,7 @@ def stream_reorder(spark: SparkSession, d: str) -> DataFrame:
 def event_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline into a state table, batch by batch."""
     out = pipeline.run_once(_changes(pipeline.events_stream(spark, d)), "event-pipeline", pipeline.upsert)
-    return spark.read.parquet(f"{out}/v0")
+    return pipeline.newest(spark, out)
 
 
 # --- sources and sinks --------------------------------------------------------------------------
@@ -82,11 +82,11 @@ def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return archive.read(spark, archive.export(chunks)).select("chunk_id", F.sha2("data", 256).alias("hash"))
 
 
-@query("tree_walk", f"WITH src AS ({SRC_SQL}) SELECT rel, size FROM src WHERE starts_with(rel, 'src0/')")
+@query("tree_walk", f"WITH src AS ({SRC_SQL}) SELECT rel, size FROM src")
 def tree_walk(spark: SparkSession, d: str) -> DataFrame:
     """A tree written as files, one a document, and listed again without opening them."""
     root = scratch(spark, "tree")
-    files = lens.src_tree(spark, d).filter(F.col("rel").startswith("src0/")).select(F.col("parent").alias("parent"), "name", F.col("content").alias("value"))
+    files = lens.src_tree(spark, d).select(F.col("parent").alias("parent"), "name", F.col("content").alias("value"))
     write_tree(files, root)
     return trees.walk(spark, root).select("rel", "size")
 

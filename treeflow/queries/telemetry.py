@@ -18,7 +18,7 @@ _T = f"WITH t AS ({TELEMETRY_SQL})"
 WINDOW w AS (PARTITION BY label ORDER BY ts RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND CURRENT ROW)""")
 def rolling_minmax(spark: SparkSession, d: str) -> DataFrame:
     """Three days in place of three seconds: the table's events are that far apart."""
-    return telemetry.rolling(lens.telemetry(spark, d), "latency_us", "3 DAYS", "label").select("event_id", "low", "high")
+    return telemetry.rolling(lens.telemetry(spark, d), "event_id", "latency_us", 3 * 86_400, "label")
 
 
 @query("ewma_latency", _T + """ SELECT label || '/' || CAST(worker AS VARCHAR) AS key, max(event_id) AS event_id,

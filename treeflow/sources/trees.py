@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from treeflow.operators import merkle
 
 
 def walk(spark: SparkSession, root: str, glob: str | None = None, content: bool = False) -> DataFrame:
@@ -32,10 +35,14 @@ def frontier(directories: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def blocks(df: DataFrame, column: str, size: int) -> DataFrame:
-    """A binary or text column cut into blocks: (..., block, data)."""
-    n = F.ceil(F.length(column) / size).cast("int")
-    cut = df.filter(F.length(column) > 0).withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)))
-    return cut.withColumn("data", F.substring(F.col(column), F.col("block") * size + 1, F.lit(size))).drop(column)
+    """A binary or text column cut into blocks of bytes or characters: (..., block, data)."""
+    rest = [c for c in df.columns if c != column]
+    if isinstance(df.schema[column].dataType, BinaryType):  # a slice of bytes is found at once
+        n = F.ceil(F.octet_length(column) / size).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(column), i * size + 1, F.lit(size)))
+    else:
+        cut = merkle.pieces(column, size)
+    return df.filter(F.octet_length(column) > 0).select(*rest, F.posexplode(cut).alias("block", "data"))
 
 
 # First bytes (hexadecimal) of compressed streams.

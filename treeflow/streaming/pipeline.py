@@ -65,3 +65,12 @@ def upsert(changes: DataFrame, epoch: int, root: str) -> None:
     if epoch > 0:
         new = merged_state(spark.read.parquet(f"{root}/v{epoch - 1}"), new)
     new.write.mode("overwrite").parquet(f"{root}/v{epoch}")
+
+
+def newest(spark: SparkSession, root: str) -> DataFrame:
+    """The state after the last batch whose table was committed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)]  # one folder a batch
+    done = [int(n[1:]) for n in names if n[1:].isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{root}/v{max(done)}")
