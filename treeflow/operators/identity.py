@@ -158,9 +158,10 @@ def projected(events: DataFrame) -> DataFrame:
                 for n in list(paths.pop(inode, [])):
                     owner.pop(n, None)
 
+        tree = None
         for row in rows:
+            tree = row[0]
             apply(row)
-        tree = rows[0][0]
         for inode in sorted(paths):
             yield tree, inode, ",".join(paths[inode])
 
