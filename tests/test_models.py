@@ -233,4 +233,4 @@ def test_rename_chains_of_the_whole_table(spark):
             end, hops = moves[end], hops + 1
         want.add((f"n{start}", f"n{end}", hops))
     assert max(ids) > 3000
-    assert {(r["start"], r["end"], r["hops"]) for r in registry.QUERIES["rename_chain_ends"](spark, sf).collect()} == want
+    assert {(r["start"], r["end"], r["hops"]) for r in registry.QUERIES["rename_chain_end"](spark, sf).collect()} == want
