@@ -48,7 +48,8 @@ _DIGITS = re.compile(rb"[0-9]+")
 
 def _rows_of(token: bytes) -> int:
     """The rows of a word and of its shape, as one number."""
-    shape = _DIGITS.sub(b"0", _CAPITALS.sub(b"A", _LETTERS.sub(b"a", token)))
+    plain = token.islower() and token.isalpha()
+    shape = b"a" if plain else _DIGITS.sub(b"0", _CAPITALS.sub(b"A", _LETTERS.sub(b"a", token)))
     half = ROWS // 2
     return (xxhash.xxh3_64_intdigest(token) % half) * ROWS + half + xxhash.xxh3_64_intdigest(shape, 1) % half
 
@@ -105,8 +106,19 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the sums of their rows of values."""
+    order = np.argsort(own.astype(np.uint16), kind="stable")  # ROWS at most: a radix sort
+    own = own[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], np.add.reduceat(values[order].astype(np.float32), first, axis=0)
+
+
 def _neighbours(texts: list[bytes], index: np.ndarray) -> np.ndarray:
-    """Sums of the index vectors of the words around each row's words, and of the shapes of its shapes."""
+    """Sums of the index vectors of the words around each row's words, and of the shapes of its shapes.
+
+    Words are added up token by token; shapes, of which there are few, by how often two are neighbours.
+    """
     out = np.zeros((ROWS, DIM), dtype=np.int64)
     blank = [ROWS * ROWS + ROWS] * WINDOW  # between texts: a row of zeros, for word and shape
     flat = list(blank)
@@ -115,19 +127,33 @@ def _neighbours(texts: list[bytes], index: np.ndarray) -> np.ndarray:
         flat.extend(blank)
     both = np.array(flat, dtype=np.int64)
     vectors = np.vstack([index, np.zeros((1, DIM))]).astype(np.int8)
-    for rows in (np.minimum(both // ROWS, ROWS), np.where(both >= ROWS * ROWS, ROWS, both % ROWS)):
-        for at in range(WINDOW, len(rows) - WINDOW, _AROUND):
-            end = min(at + _AROUND, len(rows) - WINDOW)
-            near = vectors[rows[at - WINDOW : end + WINDOW]]
-            n = end - at
-            around = sum(near[k : k + n] for k in range(2 * WINDOW + 1) if k != WINDOW)
-            own = rows[at:end]
-            order = np.argsort(own, kind="stable")
-            own = own[order]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sums = np.add.reduceat(around[order].astype(np.float32), first, axis=0)
-            some = own[first] < ROWS
-            out[own[first[some]]] += sums[some].astype(np.int64)
+    rows = np.minimum(both // ROWS, ROWS)
+    for at in range(WINDOW, len(rows) - WINDOW, _AROUND):
+        end = min(at + _AROUND, len(rows) - WINDOW)
+        near = vectors[rows[at - WINDOW : end + WINDOW]]
+        n = end - at
+        around = near[:n].copy()
+        for k in range(1, 2 * WINDOW + 1):
+            if k != WINDOW:
+                around += near[k : k + n]
+        own, sums = _sums(rows[at:end], around)
+        some = own < ROWS
+        out[own[some]] += sums[some].astype(np.int64)
+    rows = np.where(both >= ROWS * ROWS, ROWS, both % ROWS).astype(np.uint32)
+    pairs = []
+    for k in range(1, WINDOW + 1):
+        a, b = rows[:-k], rows[k:]
+        inside = (a < ROWS) & (b < ROWS)
+        pairs.append(a[inside] * np.uint32(ROWS) + b[inside])
+    code, count = np.unique(np.concatenate(pairs), return_counts=True)
+    for own, other in ((code // ROWS, code % ROWS), (code % ROWS, code // ROWS)):
+        for at in range(0, len(own), _AROUND):
+            part = slice(at, at + _AROUND)
+            order = np.argsort(own[part], kind="stable")
+            sorted_ = own[part][order]
+            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            weighted = index[other[part][order]].astype(np.float64) * count[part][order, None]
+            out[sorted_[first]] += np.add.reduceat(weighted, first, axis=0).astype(np.int64)
     return out
 
 
