@@ -2,8 +2,9 @@
 
 Natural words cost few tokens for their length under a byte-pair vocabulary; random keys don't.
 A run of key characters whose ratio of characters to tokens is low is reported as ``random``,
-unless it is a known digest (hex of a digest's length), an identifier (UUID, date, number,
-version, path, address, e-mail) or lies in a span that a pattern has already found.
+unless it is a known digest (hex of a digest's length), an identifier without letters (number, date,
+rule of dashes) or a UUID, or lies in a span that a pattern has already found. Whether letters are words,
+names, paths or a key is for the ratio to tell.
 
 A document is read and scanned whole in one pass; nothing is shuffled.
 """
@@ -37,12 +38,13 @@ _LEAST = 8
 #: Candidates for the token-efficiency test; shorter strings have too few tokens to judge.
 CANDIDATE_CHARS = 20
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Characters per token below which a string counts as random.
-RATIO = 2.2
+#: Characters per token below which a string counts as random, and the same for strings without a digit:
+#: long invented words come near the first.
+RATIO, LETTERS_RATIO = 2.2, 2.05
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _HEX_ANY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_IDENTIFIER = re.compile(r"[0-9_=+/-]+|[A-Za-z]+([_-][A-Za-z]+)*[0-9]{0,4}|([A-Za-z]+/)+[A-Za-z]*[0-9]*")
+_NUMBER = re.compile(r"[0-9_=+/-]+")
 
 
 @functools.cache
@@ -63,14 +65,12 @@ def default_vocabulary() -> str:
 
 def looks_random(run: str, vocabulary: str, ratio: float) -> bool:
     """The token-efficiency test of one run of key characters."""
-    if _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run):
+    if _UUID.fullmatch(run) or _NUMBER.fullmatch(run):
         return False
     if len(run) in _DIGEST_LENGTHS and _HEX_ANY.fullmatch(run):
         return False
-    kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run))
-    if sum(kinds) < 2 or not kinds[0]:
-        return False
-    return len(run) / len(_encoder(vocabulary).encode_ordinary(run)) < ratio
+    least = ratio if any(c.isdigit() for c in run) else min(ratio, LETTERS_RATIO)
+    return len(run) / len(_encoder(vocabulary).encode_ordinary(run)) < least
 
 
 def spans(text: str, vocabulary: str, ratio: float = RATIO) -> list[tuple[int, int, str]]:
@@ -104,8 +104,9 @@ def secret_spans(documents: DataFrame, vocabulary: str | None = None, ratio: flo
     """One row per document row: counts by kind and all spans.
 
     A null text counts as empty; an empty text has no spans, ``base_sha256`` is then the digest of
-    the empty string. Repeated rows each give a row; other columns are ignored. ``vocabulary`` is a
-    file of ranks that every executor can read.
+    the empty string. Repeated rows each give a row, a null id is kept, an empty table gives no rows; other
+    columns are ignored. A text is scanned whole, however long. ``vocabulary`` is a file of ranks that every
+    executor can read.
     """
     path = vocabulary or default_vocabulary()
 
@@ -140,7 +141,8 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 def redacted(documents: DataFrame, vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
     """The same rows and columns with the secrets in ``text`` replaced; ``n_chars`` follows if present.
 
-    A null text stays null; a text without secrets stays as it is.
+    A null text stays null; a text without secrets stays as it is. Repeated rows stay as many; an empty
+    table stays empty.
     """
     path = vocabulary or default_vocabulary()
     names = documents.columns
