@@ -191,6 +191,19 @@ def test_redaction_keeps_columns_and_clean_texts(spark):
     assert got == {1: ("<assign>", 8), 2: ("clean", 5), 3: (None, 0)}
 
 
+def test_random_strings_of_every_alphabet_are_found_and_words_are_not():
+    import string
+
+    r, v = np.random.default_rng(5), op2_secrets.default_vocabulary()
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (low + up + digits, low + up + digits + "+/", up + "234567", low + digits, low, up, low + up):
+        for n in (20, 31, 45):
+            found = [op2_secrets.looks_random("".join(r.choice(list(alphabet), n)), v, op2_secrets.RATIO) for _ in range(200)]
+            assert np.mean(found) >= 0.95, (alphabet, n)
+    words = ("internationalization", "Donaudampfschifffahrtsgesellschaft", "some_rather_long_variable_name", "getElementsByClassName", "usr/local/share/documentation", "=" * 40, "2024-01-02-03-04-05-06")
+    assert not any(op2_secrets.looks_random(x, v, op2_secrets.RATIO) for x in words)
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 

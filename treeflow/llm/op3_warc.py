@@ -1,13 +1,14 @@
 """WARC archives with an index: records are written once and later read by coalesced byte ranges.
 
 Writing: equal payloads are found by digest (a pre-aggregated count per digest, so a payload that a
-third of all pages share is one small row per task), each page learns whether it is a response or a
-revisit, and every task appends its records, one gzip member each, to archives of its own below the
+third of all pages share is one small row per task, and a join of ids without payloads), each page learns
+whether it is a response or a revisit, and every task appends its records, one gzip member each, to archives of its own below the
 shared folder. The rows that the tasks return (archive, offset, length, URL, digest) are the index; Spark
 commits them as Parquet. A task that is run again writes other archives; the index names only those of
 attempts that were committed.
 
-Reading: selected index rows are range-partitioned by (archive, offset) and sorted; neighbouring ranges
+Reading: selected index rows are range-partitioned by (archive, offset), into as many tasks as the records
+have bytes for, and sorted; neighbouring ranges
 are merged up to a gap and a block size, each block is one read, and records are cut out of it.
 """
 
@@ -33,6 +34,8 @@ ARCHIVE_BYTES = 1 << 30
 #: Ranges that are at most this far apart are read together, up to a block of BLOCK_BYTES.
 GAP_BYTES = 64 << 10
 BLOCK_BYTES = 8 << 20
+#: Bytes of records that a task reads back.
+TASK_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -45,31 +48,21 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 
 def with_record_types(pages: DataFrame) -> DataFrame:
-    """Pages with digest, size, ``record_type`` and ``refers_to``; revisits carry no payload."""
+    """Pages with digest, size, ``record_type`` and ``refers_to``; revisits carry no payload.
+
+    Which pages are revisits is found from ids and digests alone; payloads are dealt by page, so that a
+    payload that many pages share is no hot key.
+    """
     own = pages.select(
         "page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
     ).withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    winners = (
-        own.filter(F.col("payload_bytes") >= REVISIT_BYTES)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("winner"), F.count("*").alias("copies"))
-        .filter((F.col("copies") > 1) & F.col("winner").isNotNull())
-        .select(F.col("digest").alias("key"), "winner")
-    )
-    # Short payloads are dealt out by page as well: they match nothing, and a common one is no hot key.
-    key = F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("digest")).otherwise(
-        F.concat_ws(":", "digest", F.col("page_id").cast("string"))
-    )
-    revisit = F.col("winner").isNotNull() & (F.col("page_id") < F.col("winner"))
-    return (
-        own.withColumn("key", key)
-        .join(winners, "key", "left")
-        .select(
-            "page_id", "url", "digest", "payload_bytes",
-            F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-            F.when(revisit, F.col("winner")).alias("refers_to"),
-            F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"),
-        )
+    large = own.filter((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    winners = large.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).filter("copies > 1")
+    revisits = large.join(winners.select("digest", "winner"), "digest").filter("page_id < winner").groupBy("page_id", "digest").agg(F.max("winner").alias("refers_to"))
+    revisit = F.col("refers_to").isNotNull()
+    return own.join(revisits, ["page_id", "digest"], "left").select(
+        "page_id", "url", "digest", "payload_bytes", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
+        "refers_to", F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
@@ -160,7 +153,14 @@ def coalesced(ranges: Iterator[tuple], gap: int = GAP_BYTES, block: int = BLOCK_
 
 
 def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of index rows (any selection of them), read by coalesced ranges of each archive."""
+    """The records of index rows (any selection of them), read by coalesced ranges of each archive.
+
+    No rows give no records; rows that repeat give their record as often.
+    """
+    spark = selected.sparkSession
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    # A given number of tasks: the index rows say little about the bytes behind them.
+    tasks = max(1, -(-total // TASK_BYTES), min(spark.sparkContext.defaultParallelism, total // GAP_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -181,7 +181,7 @@ def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
 
     return (
         selected.select("archive", "offset", "length")
-        .repartitionByRange("archive", "offset")
+        .repartitionByRange(int(tasks), "archive", "offset")
         .sortWithinPartitions("archive", "offset")
         .mapInArrow(lean(run), RECORDS)
     )
