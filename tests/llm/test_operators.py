@@ -385,6 +385,23 @@ def test_pieces_rebuild_every_document(docs, rows, tokenizer, nothing):
     assert op9_packing.packed(nothing).count() == 0
 
 
+def test_budgets_are_answered_from_prefix_tables(spark, docs, rows, nothing):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    short = docs.filter("coalesce(length(text), 0) < 400")
+    tables = op5_token_counts.prefix_tables(short)
+    kept = [(r[0], r[1] or "") for r in rows if len(r[1] or "") < 400]
+    for budget in (0, 3, 20):
+        want = sorted(((d, max(i for i in range(len(t) + 1) if size(t[:i]) <= budget)) for d, t in kept), key=_key)
+        assert sorted((tuple(r) for r in op5_token_counts.fitting_prefixes(tables, budget).collect()), key=_key) == want
+    want = sorted(((d, size(t[:17])) for d, t in kept), key=_key)
+    assert sorted((tuple(r) for r in op5_token_counts.prefix_tokens(tables, 17).collect()), key=_key) == want
+    assert op5_token_counts.fitting_prefixes(op5_token_counts.prefix_tables(nothing), 5).count() == 0
+
+
 # --- 6 ------------------------------------------------------------------------------------------
 
 

@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeflow.llm.bpe import SPECIAL, Cache, PartEncoder, default_vocabulary, encoding
-from treeflow.llm.common import lean, split_batches, table, texts
+from treeflow.llm.common import lean, sized_batches, split_batches, table, texts
 
 #: Documents of more tokens are over the limit.
 LIMIT = 512
@@ -122,8 +123,9 @@ def _counter(path: str) -> PrefixCounter:
 def token_counts(documents: DataFrame, vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row per document row: bytes, tokens, and whether the tokens are over the limit.
 
-    A null text counts as empty (0 bytes, 0 tokens). Repeated rows each give a row, other columns are
-    ignored. ``vocabulary`` is a file that every executor can read.
+    A null text counts as empty (0 bytes, 0 tokens). Repeated rows each give a row, a null id is kept, an
+    empty table gives no rows; other columns are ignored. A text is counted whole, however long.
+    ``vocabulary`` is a file that every executor can read.
     """
     path = vocabulary or default_vocabulary()
 
@@ -140,19 +142,40 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None, limit: int
     return documents.select("doc_id", "text").mapInArrow(lean(run), _SCHEMA)
 
 
-def fitting_prefixes(documents: DataFrame, budget: int, vocabulary: str | None = None) -> DataFrame:
-    """One row per document row: the longest prefix of its text, in code points, within the budget."""
+def prefix_tables(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """One row per document row: ``counts[i]`` is how many tokens its first i code points have, from 0 on.
+
+    Written once, the table answers any later budget or truncation without the texts or an encoder: see
+    fitting_prefixes() and prefix_tokens(). A null or empty text has the single entry 0; repeated rows each
+    give a row; an empty table gives no rows; other columns are ignored.
+    """
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
-        for batch in split_batches(batches, 200):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([counter.longest_prefix(x, budget) for x in texts(batch)], pa.int64())],
-                names=["doc_id", "n_chars"],
-            )
+        for batch in sized_batches(batches, 1_000_000):
+            found = [counter.prefix_counts(x).astype(np.int32) for x in texts(batch)]
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in found])]).astype(np.int32)
+            counts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), counts], names=["doc_id", "counts"])
+
+    return documents.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, counts array<int>")
+
+
+def fitting_prefixes(tables: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, n_chars): the longest prefix of each text, in code points, within a budget, from prefix_tables().
+
+    A prefix that cuts a word may have more tokens than a longer one, so all entries are looked at. A budget
+    below 0 fits nothing: null.
+    """
+    fits = F.transform("counts", lambda n, i: F.when(n <= budget, i))
+    return tables.select("doc_id", F.array_max(fits).cast("long").alias("n_chars"))
+
 
-    return documents.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_chars long")
+def prefix_tokens(tables: DataFrame, n_chars: int) -> DataFrame:
+    """(doc_id, n_tokens): tokens of the first ``n_chars`` code points of each text, of all of a shorter one."""
+    at = F.least(F.lit(n_chars), F.size("counts") - 1)
+    return tables.select("doc_id", F.get("counts", at).cast("long").alias("n_tokens"))
 
 
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
