@@ -117,18 +117,42 @@ def child_hash(kind: str = "f") -> Column:
     return F.sha2(F.concat_ws(":", F.col("size").cast("string"), F.col("mtime_sec").cast("string"), F.col("mtime_nsec").cast("string"), F.lit(kind)), 256)
 
 
+#: Hexadecimal digits of a name's digest that tell its slice of a directory.
+SLICE_DIGITS = 4
+
+
+def _listed(tree: DataFrame) -> DataFrame:
+    """(dir, name, entry): the files and the subdirectories right below each directory, with digests of their metadata.
+
+    A directory's metadata is how many files it holds and the newest of their times; one that holds only
+    directories has neither.
+    """
+    own = tree.filter(~F.col("name").startswith(".treeflow"))
+    files = own.select(F.col("parent").alias("dir"), "name", child_hash().alias("entry"))
+    held = own.groupBy(F.col("parent").alias("dir")).agg(F.count("*").alias("n"), F.max("mtime_sec").alias("newest"))
+    parts = F.split("dir", "/")
+    chain = F.concat(F.when(F.size(parts) > 1, ancestors("dir")).otherwise(F.array()), F.array("dir"))
+    every = held.select(F.explode(chain).alias("dir")).distinct().join(held, "dir", "left").filter("dir <> ''")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    digest = F.sha2(F.concat_ws(":", number("n"), number("newest"), F.lit("0"), F.lit("d")), 256)
+    above = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    return files.unionAll(every.select(above.alias("dir"), F.element_at(parts, -1).alias("name"), digest.alias("entry")))
+
+
 def directory_hashes(tree: DataFrame) -> DataFrame:
-    """(dir, hash, children): digest of the names and metadata of a directory's immediate files.
+    """(dir, hash, children): digest of the names and metadata of a directory's immediate files and subdirectories.
 
-    A directory's child list is one group; its entries are digests, 80 bytes a file, not contents.
+    A directory is hashed in slices of its names, and then over its slices' digests, so that one that holds a
+    large part of all files is spread over tasks and no list holds all of its entries. Directories above others
+    are listed too, up to the root (the empty path).
     """
-    entry = F.struct("name", F.concat_ws(":", "name", child_hash()).alias("e"))
-    return (
-        tree.filter(~F.col("name").startswith(".treeflow"))
-        .groupBy(F.col("parent").alias("dir"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.count("*").alias("children"))
-        .select("dir", F.sha2(F.array_join(F.transform("entries", lambda e: e["e"]), "\n"), 256).alias("hash"), "children")
-    )
+    slices = (
+        _listed(tree).groupBy("dir", F.substring(F.sha2("name", 256), 1, SLICE_DIGITS).alias("slice"))
+        .agg(F.array_sort(F.collect_list(F.struct("name", "entry"))).alias("l"), F.count("*").alias("n"))
+        .select("dir", "n", F.concat_ws(":", "slice", F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["name"], x["entry"])), "\n"), 256)).alias("h"))
+    )
+    listed = slices.groupBy("dir").agg(F.array_sort(F.collect_list("h")).alias("l"), F.sum("n").cast("long").alias("children"))
+    return listed.select("dir", F.sha2(F.array_join("l", "\n"), 256).alias("hash"), "children")
 
 
 def prune_directories(src_hashes: DataFrame, stored: DataFrame, targets: DataFrame) -> DataFrame:
@@ -155,15 +179,29 @@ def with_ancestors(df: DataFrame, path: str) -> DataFrame:
 
 
 def unprune_ancestors(decisions: DataFrame) -> DataFrame:
-    """A directory above one that differs isn't skipped, even if its own listing is equal."""
-    broken = with_ancestors(decisions.filter(~F.col("pruned")), "dir").select(F.col("ancestor").alias("dir"), F.lit(True).alias("above")).distinct()
-    return decisions.join(broken, "dir", "left").select("dir", (F.col("pruned") & F.col("above").isNull()).alias("pruned"))
+    """A directory above one that differs isn't skipped, even if its own listing is equal.
+
+    One pass: every directory that differs votes against those above it.
+    """
+    parts = F.split("dir", "/")
+    vote = lambda d, pruned, own: F.struct(d.alias("dir"), pruned.alias("pruned"), F.lit(own).alias("own"))
+    above = F.when(F.col("pruned"), F.array()).otherwise(
+        F.concat(F.when(F.size(parts) > 1, ancestors("dir")).otherwise(F.array()), F.when(F.col("dir") != "", F.array(F.lit(""))).otherwise(F.array()))
+    )
+    votes = F.concat(F.array(vote(F.col("dir"), F.col("pruned"), True)), F.transform(above, lambda d: vote(d, F.lit(False), False)))
+    counted = decisions.select(F.inline(votes)).groupBy("dir").agg(F.bool_and("pruned").alias("pruned"), F.bool_or("own").alias("own"))
+    return counted.filter("own").select("dir", "pruned")
 
 
 def outside_pruned(files: DataFrame, pruned: DataFrame) -> DataFrame:
-    """Files without a pruned ancestor: an equi anti join over exploded ancestors, no prefix matching."""
-    under = with_ancestors(files.select("rel"), "rel").join(pruned.filter("pruned").select(F.col("dir").alias("ancestor")), "ancestor", "left_semi")
-    return files.join(under.select("rel").distinct(), "rel", "left_anti")
+    """Files without a pruned ancestor: directories meet pruned ones by equi joins over exploded ancestors, files their directory."""
+    of = F.expr("if(instr(rel, '/') > 0, regexp_replace(rel, '/[^/]*$', ''), '')")
+    dirs = files.select(of.alias("at")).distinct()
+    parts = F.split("at", "/")
+    chain = F.concat(F.when(F.size(parts) > 1, ancestors("at")).otherwise(F.array()), F.array("at"))
+    skipped = pruned.filter("pruned").select(F.col("dir").alias("ancestor"))
+    under = dirs.select("at", F.explode(chain).alias("ancestor")).join(skipped, "ancestor", "left_semi").select("at").distinct()
+    return files.withColumn("at", of).join(under, "at", "left_anti").select(*files.columns)
 
 
 def one_owner_per_path(sources: list[DataFrame]) -> DataFrame:

@@ -53,10 +53,17 @@ def post_copy_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CHILD = "sha256(CAST(size AS VARCHAR) || ':' || CAST(mtime_sec AS VARCHAR) || ':' || CAST(mtime_nsec AS VARCHAR) || ':f')"
-_DIR = "SELECT parent AS dir, sha256(string_agg(name || ':' || " + _CHILD + ", chr(10) ORDER BY name)) AS hash, count(*) AS children FROM {} GROUP BY parent"
+_PARTS = "string_split(dir, '/')"
+_DIR = f"""WITH f AS (SELECT parent AS dir, name, {_CHILD} AS h, mtime_sec FROM {{}}),
+d AS (SELECT dir, count(*) AS n, max(mtime_sec) AS newest FROM f GROUP BY dir),
+a AS (SELECT DISTINCT array_to_string({_PARTS}[1 : k], '/') AS dir FROM (SELECT dir, unnest(range(1, len({_PARTS}) + 1)) AS k FROM d)),
+e AS (SELECT dir, name, h FROM f UNION ALL SELECT array_to_string({_PARTS}[1 : len({_PARTS}) - 1], '/'), {_PARTS}[-1],
+  sha256(CAST(coalesce(n, 0) AS VARCHAR) || ':' || CAST(coalesce(newest, 0) AS VARCHAR) || ':0:d') FROM a LEFT JOIN d USING (dir) WHERE dir <> ''),
+s AS (SELECT dir, substr(sha256(name), 1, 4) AS slice, sha256(string_agg(name || ':' || h, chr(10) ORDER BY name, h)) AS h, count(*) AS n FROM e GROUP BY dir, slice)
+SELECT dir, sha256(string_agg(slice || ':' || h, chr(10) ORDER BY slice)) AS hash, CAST(sum(n) AS BIGINT) AS children FROM s GROUP BY dir"""
 
 
-@query("dir_hash", TREES + " " + _DIR.format("src"))
+@query("dir_hash", TREES + ", h AS (" + _DIR.format("src") + ") SELECT * FROM h")
 def dir_hash(spark: SparkSession, d: str) -> DataFrame:
     return diff.directory_hashes(lens.src_tree(spark, d))
 
