@@ -118,7 +118,7 @@ def child_hash(kind: str = "f") -> Column:
 
 
 #: Hexadecimal digits of a name's digest that tell its slice of a directory.
-SLICE_DIGITS = 4
+SLICE_DIGITS = 3
 
 
 def _listed(tree: DataFrame) -> DataFrame:
@@ -131,10 +131,12 @@ def _listed(tree: DataFrame) -> DataFrame:
     files = own.select(F.col("parent").alias("dir"), "name", child_hash().alias("entry"))
     held = own.groupBy(F.col("parent").alias("dir")).agg(F.count("*").alias("n"), F.max("mtime_sec").alias("newest"))
     parts = F.split("dir", "/")
-    chain = F.concat(F.when(F.size(parts) > 1, ancestors("dir")).otherwise(F.array()), F.array("dir"))
-    every = held.select(F.explode(chain).alias("dir")).distinct().join(held, "dir", "left").filter("dir <> ''")
-    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-    digest = F.sha2(F.concat_ws(":", number("n"), number("newest"), F.lit("0"), F.lit("d")), 256)
+    entry = lambda d, n, newest: F.struct(d.alias("dir"), n.alias("n"), newest.alias("newest"))
+    none = F.lit(0).cast("long")
+    higher = F.transform(F.when(F.size(parts) > 1, ancestors("dir")).otherwise(F.array()), lambda d: entry(d, none, F.lit(None).cast("long")))
+    every = held.select(F.inline(F.concat(F.array(entry(F.col("dir"), F.col("n"), F.col("newest").cast("long"))), higher)))
+    every = every.filter("dir <> ''").groupBy("dir").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+    digest = F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.coalesce("newest", none).cast("string"), F.lit("0"), F.lit("d")), 256)
     above = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     return files.unionAll(every.select(above.alias("dir"), F.element_at(parts, -1).alias("name"), digest.alias("entry")))
 

@@ -10,7 +10,7 @@ from treeflow.lens import SRC_SQL, TARGETS_SQL, TREES
 from treeflow.operators import diff, filters
 from treeflow.plans import strategy
 from treeflow.registry import query
-from treeflow.shared import scratch
+from treeflow.shared import scratch, written
 
 
 @query("tree_verify", TREES + """, f AS (
@@ -59,7 +59,7 @@ d AS (SELECT dir, count(*) AS n, max(mtime_sec) AS newest FROM f GROUP BY dir),
 a AS (SELECT DISTINCT array_to_string({_PARTS}[1 : k], '/') AS dir FROM (SELECT dir, unnest(range(1, len({_PARTS}) + 1)) AS k FROM d)),
 e AS (SELECT dir, name, h FROM f UNION ALL SELECT array_to_string({_PARTS}[1 : len({_PARTS}) - 1], '/'), {_PARTS}[-1],
   sha256(CAST(coalesce(n, 0) AS VARCHAR) || ':' || CAST(coalesce(newest, 0) AS VARCHAR) || ':0:d') FROM a LEFT JOIN d USING (dir) WHERE dir <> ''),
-s AS (SELECT dir, substr(sha256(name), 1, 4) AS slice, sha256(string_agg(name || ':' || h, chr(10) ORDER BY name, h)) AS h, count(*) AS n FROM e GROUP BY dir, slice)
+s AS (SELECT dir, substr(sha256(name), 1, 3) AS slice, sha256(string_agg(name || ':' || h, chr(10) ORDER BY name, h)) AS h, count(*) AS n FROM e GROUP BY dir, slice)
 SELECT dir, sha256(string_agg(slice || ':' || h, chr(10) ORDER BY slice)) AS hash, CAST(sum(n) AS BIGINT) AS children FROM s GROUP BY dir"""
 
 
@@ -68,10 +68,8 @@ def dir_hash(spark: SparkSession, d: str) -> DataFrame:
     return diff.directory_hashes(lens.src_tree(spark, d))
 
 
-def _stored(spark: SparkSession, d: str) -> DataFrame:
+def _stored(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Stored directory hashes: those of the target tree on one target, of the source on the others but for one source."""
-    src = diff.directory_hashes(lens.src_tree(spark, d)).select("dir", "hash")
-    tgt = diff.directory_hashes(lens.tgt_tree(spark, d)).select("dir", "hash")
     part = src.filter(~F.col("dir").startswith("src3/"))
     names = list(lens.TARGETS)
     at = lambda t, name: t.select(F.lit(name).alias("target"), "dir", "hash")
@@ -87,7 +85,9 @@ dec AS (SELECT sd.dir, bool_and(coalesce(sd.hash = stored.hash, false)) AS prune
 
 @query("dir_prune", _PRUNE + " SELECT dir, pruned FROM dec")
 def dir_prune(spark: SparkSession, d: str) -> DataFrame:
-    return diff.prune_directories(diff.directory_hashes(lens.src_tree(spark, d)), _stored(spark, d), lens.targets(spark))
+    # One row a directory, used for the source and as what two targets have stored: trees are hashed once.
+    src = written(diff.directory_hashes(lens.src_tree(spark, d)), "directories")
+    return diff.prune_directories(src, _stored(src, diff.directory_hashes(lens.tgt_tree(spark, d))), lens.targets(spark))
 
 
 @query("files_to_check", _PRUNE + " SELECT rel, size FROM src WHERE parent NOT IN (SELECT dir FROM dec WHERE pruned)")
