@@ -279,12 +279,20 @@ def test_components_equal_all_pairs(spark, rows, docs, nothing):
     assert op4_near_dedup.near_duplicates(nothing).count() == 0
 
 
-def _possible(spark, sets, components):
-    """The filter's pairs of sets of numbers, whose order is that of the numbers."""
-    tokens = [(t, at, rep, components[rep]) for rep, s in sets.items() for at, t in enumerate(sorted(s)[: len(s) - -(-75 * len(s) // 100) + 1])]
-    tokens = spark.createDataFrame(tokens, "token long, at long, rep long, component long")
-    sizes = spark.createDataFrame([(rep, len(s)) for rep, s in sets.items()], "rep long, n long")
-    return {tuple(r) for r in op4_near_dedup._possible(tokens, sizes).collect()}
+def _bitmaps(sets):
+    return [op4_near_dedup.signature(np.unique(op4_near_dedup._mix(np.array(sorted(x), dtype=np.int64).view(np.uint64)))) for x in sets.values()]
+
+
+def _possible(spark, sets, components, every=True):
+    """The filter's pairs of the sets of one bucket: within a task, and by way of blocks."""
+    rep, n, component = np.array(list(sets)), np.array([len(x) for x in sets.values()]), np.array([components[x] for x in sets])
+    a, b = op4_near_dedup.candidates(rep, n, component, np.zeros(len(rep), dtype=int), _bitmaps(sets), every)
+    mixed = spark.createDataFrame([(1, *map(int, x), len(sets)) for x in zip(rep, n, component, strict=True)], "key long, rep long, n long, component long, held long")
+    signatures = spark.createDataFrame(list(zip(map(int, rep), _bitmaps(sets), strict=True)), "rep long, signature binary")
+    met = {tuple(r) for r in op4_near_dedup._met(mixed, signatures, every).collect()}
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert met == found if every else met >= set()
+    return found
 
 
 def _similar(sets, components):
@@ -304,7 +312,8 @@ def test_equal_sets_at_the_threshold_pass_the_filter(spark):
         assert _similar(sets, components) == {(1, 2)} <= _possible(spark, sets, components)
 
 
-def test_filter_keeps_every_similar_pair_of_equal_sets(spark):
+def test_filter_keeps_every_similar_pair_of_equal_sets(spark, monkeypatch):
+    monkeypatch.setattr(op4_near_dedup, "BLOCK", 16)
     r = np.random.default_rng(12)
     sets, components = {}, {}
     for rep in range(120):
@@ -316,6 +325,23 @@ def test_filter_keeps_every_similar_pair_of_equal_sets(spark):
     assert len(want) > 300 and want <= _possible(spark, sets, components)
 
 
+def test_filter_keeps_every_similar_pair_of_any_size(spark, monkeypatch):
+    """Sets of 5 to 3,000 elements: bitmaps of several widths, also beside each other; and the nearest of each."""
+    monkeypatch.setattr(op4_near_dedup, "BLOCK", 20)
+    r, sets = np.random.default_rng(21), {}
+    for rep in range(150):
+        size = int(r.choice([5, 60, 500, 560, 1100, 3000]))
+        base = np.arange(size) + 10_000 * size
+        gone = r.random(size) < r.choice([0, 0.05, 0.12, 0.2])
+        sets[rep] = set(base[~gone].tolist()) | {int(x) for x in r.integers(1 << 40, 1 << 41, int(size * r.choice([0, 0.1, 0.2])))} | {7}
+    components = {rep: rep % 40 for rep in sets}
+    similar = _similar(sets, components)
+    every = _possible(spark, sets, components)
+    assert similar and similar <= every
+    nearest = _possible(spark, sets, components, every=False)
+    assert nearest <= every and {x for pair in nearest for x in pair} == {x for pair in every for x in pair}
+
+
 def test_sketches_fill_and_estimate():
     r = np.random.default_rng(4)
     a = np.unique(r.integers(0, 1 << 63, 400).astype(np.uint64))
