@@ -43,3 +43,15 @@ def test_equals_twin(name, spark, duck, sf):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(name, spark, sf):
     assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+def test_progress_past_its_total(spark, tmp_path):
+    """More done than the total, no or negative time, and numbers that doubles can't hold."""
+    ids = "NULL, 0, -1, -7, 1, 2, 3, 99999, 100000, 100001, 150001, 299999, 300001, 6000000, 27021597764223, 1000000000000007, 3002399751580333, 3074457345618258600"
+    c = duckdb.connect()
+    c.sql(f"""COPY (SELECT e AS event_id, u AS user_id FROM (SELECT CAST(unnest([{ids}]) AS BIGINT)) a(e), (SELECT CAST(unnest([NULL, -3, -2, -1, 0, 1, 2, 3, 5, 7]) AS BIGINT)) b(u))
+TO '{tmp_path}/events.parquet'""")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    columns = ["event_id", "per_second", "eta_s", "load"]
+    found = sorted(repr(tuple(r)) for r in registry.QUERIES["fn_progress"](spark, str(tmp_path)).select(*columns).collect())
+    assert found == sorted(map(repr, c.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES['fn_progress']})").fetchall()))

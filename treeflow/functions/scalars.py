@@ -134,12 +134,19 @@ def adaptive_timeouts(rtt_s: Column) -> dict[str, Column]:
 
 
 def throughput(n: Column, seconds: Column) -> Column:
-    """Per second; null without time."""
-    return F.try_divide(n, seconds)
+    """Per second; null unless some time passed."""
+    return F.when(seconds > 0, n / seconds)
 
 
 def eta_s(done: Column, total: Column, seconds: Column) -> Column:
-    return F.when(done > 0, F.floor((total - done) * seconds / done)).cast("long")
+    """Whole seconds, cut towards zero; negative where more than the total is done."""
+    return F.when(done > 0, F.call_function("div", (total - done) * seconds, done))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Scaled, rounded half away from zero and scaled back, as DuckDB does with doubles; a large number's last bits may change."""
+    scale = 10.0**digits
+    return F.round(x * scale, 0) / scale
 
 
 def reynolds(rate: Column, latency_s: Column, capacity: Column) -> Column:

@@ -76,7 +76,7 @@ def fn_copy_timeout(spark: SparkSession, d: str) -> DataFrame:
 def fn_progress(spark: SparkSession, d: str) -> DataFrame:
     n, s = F.col("event_id"), F.col("user_id").cast("long") % 4
     e = lens.read(spark, d, "events")
-    return e.select("event_id", F.round(scalars.throughput(n, s), 6).alias("per_second"), scalars.eta_s(n, F.lit(100_000).cast("long"), s).alias("eta_s"), scalars.reynolds(n, F.lit(0.004), F.lit(64)).alias("load"))
+    return e.select("event_id", scalars.rounded(scalars.throughput(n, s), 6).alias("per_second"), scalars.eta_s(n, F.lit(100_000).cast("long"), s).alias("eta_s"), scalars.reynolds(n, F.lit(0.004), F.lit(64)).alias("load"))
 
 
 @query("fn_hex_json", """SELECT event_id, lower(hex(encode(event_type))) AS hex, decode(unhex(hex(encode(event_type)))) AS back, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
