@@ -6,11 +6,13 @@ import hashlib
 import itertools
 import math
 import operator
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -512,6 +514,37 @@ def test_seating_equals_seating_one_by_one():
     assert got.tolist() == [_seated(int(a), float(b), 0.7, s) for a, b, s in zip(c, prior, salt, strict=True)]
 
 
+def test_sweeps_join_no_rows(docs, monkeypatch):
+    """Rows per cell that Spark joins in every sweep were most of the time that the JVM took."""
+    def none(*_, **__):
+        raise AssertionError("a join")
+
+    monkeypatch.setattr(type(docs), "join", none)
+    scores = lambda **more: sorted((tuple(r) for r in op6_pitman_yor.language_scores(docs, **more).collect()), key=_key)
+    want, got = scores(), scores(chunk_bytes=20_000, group_cells=2, class_sums=5)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert all(g[5:] == pytest.approx(w[5:], rel=1e-6) for g, w in zip(got, want, strict=True))
+
+
+def test_words_of_whole_columns_equal_those_of_texts():
+    from treeflow.llm.common import space_words
+
+    odd = [None, "", " ", "a", " a  b ", "\t\n\v\f\r", "A\x00B c\x1cd\x1de\x1ff", "x\u00a0Y\u2003z \u0085 \u0130\u00c0B", "\x7f\x80 \U0001f600Q  ", "", " q"]
+    r = random.Random(6)
+    odd += ["".join(r.choices(" \t\n\v\f\rAbZ\x00\x1c\u00a0\u3000\u00c9", k=r.randrange(30))) for _ in range(500)]
+    for texts in (odd, [], [None], ["", " "], ["a"]):
+        column = pa.array(["skipped", *texts], pa.string()).slice(1)
+        counts, words = op6_pitman_yor._split(column)
+        want = [space_words((x or "").encode()) for x in texts]
+        assert counts.tolist() == [len(x) for x in want]
+        assert [x.encode() for x in words.to_pylist()] == [w for x in want for w in x]
+        batch = pa.RecordBatch.from_arrays([column], names=["text"])
+        chunk = op6_pitman_yor.Chunk([batch, batch])
+        hashes = [[*(xxhash.xxh3_64_intdigest(w) & ((1 << 48) - 1) for w in x), int(op6_pitman_yor._END)] for x in want]
+        assert chunk.hashes[chunk.ids].tolist() == [h for x in 2 * hashes for h in x]
+        assert chunk.lengths.tolist() == [len(x) for x in 2 * hashes]
+
+
 def test_scores_equal_a_sampler_over_dictionaries(spark, sf):
     """The same draws, restaurant by restaurant, in plain Python."""
     m = op6_pitman_yor

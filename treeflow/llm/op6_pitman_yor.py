@@ -6,25 +6,30 @@ word. A context is the word before itself, so there are as many restaurants as t
 
 A cell is a word in a context. A sweep seats the customers of every cell anew, one after the other,
 given the parent's predictive probability, then those of the parent, which are the tables below. A cell
-of one customer always has one table, so only cells of several customers are rows of a sweep; the
-others are counted once, for their word and for their context. What a cell needs (its context's tables,
-its word's customers and tables above) is joined by shuffle from one row per word. Draws come from a
-hash of word, context, sweep and customer, so the sample doesn't depend on how rows are dealt to tasks.
-Probabilities are averaged over the samples.
+of one customer always has one table, so only cells of several customers take part in a sweep; the
+others are counted once, for their word and for their context. Draws come from a hash of word, context,
+sweep and customer, so the sample doesn't depend on how rows are dealt to tasks. Probabilities are
+averaged over the samples.
+
+Cells of several customers lie in groups by a hash of word and context, so a frequent word or context is
+spread over all tasks; words lie in classes by a hash of the word. Both are packed rows of a bounded number
+of entries, on average. What a cell needs (its context's tables, its word's customers and tables above) comes
+as one number for every distinct word of a group: a class keeps which of its words each group has, and answers
+with a packed row; a group sends back the tables per word likewise. So a sweep is two shuffles of packed rows,
+and no row is joined.
 
 Words travel as 48-bit hashes (a million words collide once in 500 corpora) and never as texts; the texts
 are never shuffled. A task sums its cells for chunks of texts, packs them by ranges of the cells' hashes and
 sends them once to where all chunks' counts of a range meet. There a cell's total is known, so what goes on
 is small: the cells of several customers, sums per word, and per chunk which of its cells occur never, once
-or more often in training. After the sweeps only the last are looked up. Cells are dealt by a hash of word
-and context, so a frequent word or context is spread over all tasks. Vocabulary and counts are never
+or more often in training. After the sweeps only the last are looked up. Vocabulary and counts are never
 gathered in one place.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -35,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeflow.llm.common import drop, id_crc, lean, scratch, shuffles_released, sized_batches, space_words, table, text_bytes, written
+from treeflow.llm.common import drop, id_crc, lean, scratch, shuffles_released, sized_batches, table, written
 
 #: A document is held out if crc32 of its id's text leaves no remainder.
 HELD_OUT_MOD = 10
@@ -49,14 +54,23 @@ _TASK_BITS, _CHUNK_BITS = 40, 28
 #: Cells travel in rows of one part of the range of their keys; words in such rows behind those of the cells.
 _BUCKET_BITS = 13
 _WORD_BUCKETS = 1 << _BUCKET_BITS
-#: Cells that are packed, and that are summed up, at once.
-_PACKED, _SUMMED = 400_000, 1_000_000
+#: Cells that are summed up at once.
+_SUMMED = 1_000_000
 #: Packed bytes of whole buckets that are worked on at once.
 _WHOLE_BYTES = 4_000_000
 _WORD_BITS = 48
 _CELL = np.dtype([("w", "<u4"), ("w_high", "<u2"), ("u", "<u4"), ("u_high", "<u2")])
 _SEVERAL = np.dtype([("w", "<i8"), ("u", "<i8"), ("c", "<i8")])
+#: Per word: training count, customers it has as a context, its cells of one customer as a word and as a context, and all its cells.
 _SUM = np.dtype([(x, "<i8") for x in ("w", "c", "cu", "n1", "s1", "n", "tu")])
+_WORD = np.dtype([("w", "<u8"), ("c", "<i8"), ("cu", "<i8")])
+_WORTH = np.dtype([("key", "<u8"), ("v", "<f4")])
+#: Cells of several customers of one group, and partial sums per word of one class, about; groups and classes are 2^4 at least.
+GROUP_CELLS, CLASS_SUMS, _LEAST_BITS = 400_000, 400_000, 4
+#: Kinds of packed rows.
+_CELLS, _ROUTES, _STATIC, _WORDS, _MESSAGES, _TABLES, _SAMPLE = range(7)
+#: For Spark's Parquet writer: packed values don't repeat.
+_PLAIN = {"parquet.enable.dictionary": "false"}
 #: What rows that answer no chunk hold, in place of a row's id.
 _MODEL, _SEVERAL_ROWS, _SUM_ROWS = -1, -2, -3
 _END, _START = np.uint64(0x79B97F4A7C15), np.uint64(0x14F22545F491)
@@ -73,31 +87,36 @@ def _key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return _mix(words + contexts.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-class _Ids(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all the words: ``common.space_words`` of whole columns."""
+    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    words = pc.ascii_split_whitespace(low)
+    found = words.flatten()
+    some = np.diff(np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset : found.offset + len(found) + 1]) > 0
+    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not some.all():  # at the ends of texts, and of texts without words
+        ends = np.cumsum(counts)
+        whole = np.concatenate([[0], np.cumsum(some)])
+        counts, found = whole[ends] - whole[ends - counts], found.filter(pa.array(some))
+    return counts, found
 
 
 class Chunk:
     """Tokens of some documents: numbers of their words, the words' hashes, and where each document ends."""
 
-    def __init__(self, rows: Iterable[bytes]):
-        ids, parts = _Ids(), []
-        ids[None], ids[b""] = 0, 1  # the start and the end of a text
-        for text in rows:
-            words = space_words(text)
-            own = np.ones(len(words) + 1, dtype=np.int32)
-            own[:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-            parts.append(own)
-        self.lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        self.ids = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+    def __init__(self, batches: list[pa.RecordBatch]):
+        counts, words = _split(pa.concat_arrays([b.column("text") for b in batches]))
+        words = words.dictionary_encode()
+        self.lengths = counts + 1
         self.begins = np.cumsum(self.lengths) - self.lengths
-        found = np.fromiter((xxhash.xxh3_64_intdigest(w or b"") for w in ids), np.uint64, len(ids)) & np.uint64((1 << _WORD_BITS) - 1)
-        found[:2] = _START, _END
-        self.hashes = found
+        self.ids = np.ones(int(self.lengths.sum()), dtype=np.int32)
+        inside = np.ones(len(self.ids), dtype=bool)
+        inside[self.begins + counts] = False
+        self.ids[inside] = words.indices.to_numpy(zero_copy_only=False) + 2
+        words = words.dictionary.cast(pa.binary()).to_pylist()
+        self.hashes = np.empty(len(words) + 2, dtype=np.uint64)
+        self.hashes[:2] = _START, _END  # the start and the end of a text
+        self.hashes[2:] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) & np.uint64((1 << _WORD_BITS) - 1)
 
     def contexts(self) -> np.ndarray:
         """The number of the word before each."""
@@ -109,7 +128,7 @@ class Chunk:
     def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order of tokens by their cells' keys, where in it each cell begins, and the cells' keys."""
         key = _key(self.hashes[self.ids], self.hashes[self.contexts()])
-        order = np.argsort(key, kind="stable").astype(np.int32)
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
         cell = _begins(key)
         return order, cell, key[cell]
@@ -183,6 +202,7 @@ def _longs(column: pa.Array) -> np.ndarray:
 
 
 _ROWS = "bucket int, id long, a binary, n binary"
+_KIND_ROWS = "kind int, " + _ROWS
 
 
 def _rows(bucket: np.ndarray, lengths: np.ndarray, ids: np.ndarray, a: np.ndarray, kind, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -203,10 +223,10 @@ def _counted(documents: DataFrame, chunk_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         for number, group in _chunks(batches, chunk_bytes):
-            chunk = Chunk(x for b in group for x in text_bytes(b))
+            chunk = Chunk(group)
             train = ~np.concatenate([np.asarray(b.column("held_out").to_pylist(), dtype=bool) for b in group])
             order, cell, key = chunk.cells()
-            n = np.add.reduceat(np.repeat(train, chunk.lengths)[order].astype(np.int64), cell)
+            n = np.add.reduceat(np.repeat(train, chunk.lengths)[order].astype(np.int32), cell)
             cells = _pack_cells(chunk.hashes[chunk.ids[order[cell]]], chunk.hashes[chunk.contexts()[order[cell]]])
             base = (p << _TASK_BITS) + (number << _CHUNK_BITS)
             asked, _ = chunk.asked()
@@ -241,17 +261,29 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield held
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct number is found, in ascending order of the numbers, and every number's place among them."""
+    order = np.argsort(values)
+    first = _begins(values[order])
+    place = np.empty(len(values), dtype=np.uint32)
+    place[order] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.append(first, len(values))))
+    return order[first], place
+
+
 def _summed(w: list[np.ndarray], u: list[np.ndarray], c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Cells summed per word and context, as one packed row."""
+    """Cells summed per word and context, as packed rows."""
     w, u, c = (np.concatenate(x) for x in (w, u, c))
-    words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
-    out = np.zeros(len(words), dtype=_SUM)
-    out["w"] = words.view(np.int64)
+    both = np.concatenate([w, u])
+    mixed = _mix(both)
+    found, at = _distinct(mixed)
+    out = np.zeros(len(found), dtype=_SUM)
+    out["w"] = both[found].view(np.int64)
     one = (c == 1).astype(np.float64)
     for own, names in ((at[: len(w)], ("c", "n1", "n")), (at[len(w) :], ("cu", "s1", "tu"))):
         for name, value in zip(names, (c, one, None), strict=True):
-            out[name] = np.bincount(own, value, minlength=len(words)).astype(np.int64)  # whole numbers below 2^53
-    yield from _rows(np.array([-1]), np.array([len(out)]), np.array([_SUM_ROWS]), out, _SUM)
+            out[name] = np.bincount(own, value, minlength=len(found)).astype(np.int64)  # whole numbers below 2^53
+    bucket, lengths = _buckets(mixed[found])
+    yield from _rows(bucket, lengths, np.full(len(bucket), _SUM_ROWS), out, _SUM)
 
 
 def _reduced(counts: DataFrame) -> DataFrame:
@@ -275,7 +307,7 @@ def _reduced(counts: DataFrame) -> DataFrame:
             lengths, cells = _unpacked(own.column("a"), _CELL)
             w, u = _unpack_cells(cells)
             key = _key(w, u)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             first = _begins(key[order])
             c = np.add.reduceat(_unpacked(own.column("n"), "<u4")[1][order].astype(np.int64), first)
             place = order[first]
@@ -291,7 +323,8 @@ def _reduced(counts: DataFrame) -> DataFrame:
             some = c > 1
             out = np.empty(int(some.sum()), dtype=_SEVERAL)
             out["w"], out["u"], out["c"] = w[some].view(np.int64), u[some].view(np.int64), c[some]
-            yield from _rows(np.array([-1]), np.array([len(out)]), np.array([_SEVERAL_ROWS]), out, _SEVERAL)
+            bucket, lengths = _buckets(key[place][some])
+            yield from _rows(bucket, lengths, np.full(len(bucket), _SEVERAL_ROWS), out, _SEVERAL)
             some = c > 0
             for x, y in zip(held, (w, u, c), strict=True):
                 x.append(y[some])
@@ -305,33 +338,6 @@ def _reduced(counts: DataFrame) -> DataFrame:
     return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), _ROWS)
 
 
-def _as_columns(rows: DataFrame, kind: np.dtype) -> DataFrame:
-    """Packed rows as one row for every entry."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                values = _unpacked(batch.column("a").slice(i, 1), kind)[1]
-                for at in range(0, len(values), 50_000):
-                    part = values[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[x])) for x in kind.names], names=list(kind.names))
-
-    return rows.select("a").mapInArrow(lean(run), ", ".join(f"{x} long" for x in kind.names))
-
-
-#: Per word: training count, customers it has as a context, tables of its cells of one customer as a word
-#: and as a context; customers and tables above, and its tables as a context; the last three of each sample.
-_NODE = "w long, c long, cu long, n1 long, s1 long, n long, tw long, tu long, ns array<long>, tws array<long>, tus array<long>"
-
-
-def _nodes(sums: DataFrame) -> DataFrame:
-    """One row per word or context with one table for every cell and one for the word above."""
-    sums = sums.groupBy("w").agg(*(F.sum(x).alias(x) for x in ("c", "cu", "n1", "s1", "n", "tu")))
-    empty = F.expr("cast(array() as array<bigint>)")
-    tw = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
-    return sums.select("w", "c", "cu", "n1", "s1", "n", tw.alias("tw"), "tu", empty.alias("ns"), empty.alias("tws"), empty.alias("tus"))
-
-
 @dataclass(frozen=True)
 class Totals:
     """What a sweep needs of all restaurants, and customers and tables of the contexts at hand."""
@@ -343,12 +349,6 @@ class Totals:
     tables: np.ndarray
 
 
-def _totals(nodes: DataFrame) -> Totals:
-    none = np.empty(0)
-    r = nodes.filter("c > 0").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("tw").alias("tw")).first()
-    return Totals(r["words"], float(r["n"] or 0), float(r["tw"] or 0), none, none)
-
-
 class Model:
     """Predictive probabilities and seating under given totals and discounts."""
 
@@ -361,7 +361,10 @@ class Model:
         self.all = THETA[1] + totals.customers
 
     def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return (customers - self.d1 * tables + self.parent_strength * self.base) / self.parent_all
+        return self.parent_of(customers - self.d1 * tables)
+
+    def parent_of(self, discounted: np.ndarray) -> np.ndarray:
+        return (discounted + self.parent_strength * self.base) / self.parent_all
 
     def back_off(self) -> np.ndarray:
         """Weight of the parent in each context."""
@@ -477,63 +480,200 @@ def _opener(a: np.ndarray, p: np.ndarray, left: np.ndarray, u: np.ndarray) -> np
     return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Batches in groups of about _PACKED rows."""
-    waiting, n = [], 0
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each bucket, of batches that come by bucket."""
+    held, number = [], None
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     for batch in batches:
-        if batch.num_rows:
-            waiting.append(batch)
-            n += batch.num_rows
-        if n >= _PACKED:
-            yield waiting
-            waiting, n = [], 0
-    if waiting:
-        yield waiting
+        bucket = _longs(batch.column("bucket"))
+        first = _begins(bucket)
+        for at, end in zip(first, np.append(first, len(bucket))[1:], strict=True):
+            if held and bucket[at] != number:
+                yield number, joined()
+                held = []
+            number = int(bucket[at])
+            held.append(batch.slice(int(at), int(end - at)))
+    if held:
+        yield number, joined()
 
 
-def _swept(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tuple[float, float], sweep: int) -> DataFrame:
-    """The cells (w, u, c, t, tsum) of several customers, seated anew."""
-    seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
+def _values(rows: pa.RecordBatch, of: np.ndarray, column: str, kind) -> np.ndarray:
+    """The packed numbers of some rows, one after the other."""
+    return _unpacked(rows.column(column).take(pa.array(np.flatnonzero(of))), kind)[1]
+
+
+def _as_rows(kind: int, bucket, ids, a: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    rows = [pa.array(np.full(len(a), x) if np.isscalar(x) else x, pa.int64()) for x in (kind, bucket, ids)]
+    return pa.RecordBatch.from_arrays([rows[0].cast(pa.int32()), rows[1].cast(pa.int32()), rows[2], a, n], names=["kind", "bucket", "id", "a", "n"])
+
+
+def _one_row(kind: int, bucket: int, id_: int, a: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return _as_rows(kind, bucket, id_, *(pa.array([x.tobytes()], pa.binary()) for x in (a, n)))
+
+
+def _by_class(mixed: np.ndarray, bits: int) -> np.ndarray:
+    """How many of the words are of each class, by ascending mixed values."""
+    return np.bincount((mixed >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+class _Kinds:
+    """Rows written to the shared folder by their kind."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self._treeflow_path = df.sparkSession, scratch(df.sparkSession, name)
+        with shuffles_released(self.spark):
+            df.write.partitionBy("kind").options(**_PLAIN).parquet(self._treeflow_path)
+
+    def __call__(self, kind: int) -> DataFrame:
+        return self.spark.read.schema(_KIND_ROWS).parquet(self._treeflow_path).filter(F.col("kind") == kind).drop("kind")
+
+    def release(self, kind: int) -> None:
+        drop(self.spark, f"{self._treeflow_path}/kind={kind}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _gathered(batches):
-            w, u, c, tsum, n, tw, tu = (np.concatenate([_longs(b.column(x)) for b in group]) for x in ("w", "u", "c", "tsum", "n", "tw", "tu"))
-            model = Model(replace(totals, customers=np.zeros(len(w)), tables=tu), discounts)
-            t = seat(c, model.strength * model.parent(n, tw), model.d2, _key(w.view(np.uint64) ^ seed, u.view(np.uint64)))
-            for at in range(0, len(w), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (w, u, c, t, tsum)], names=["w", "u", "c", "t", "tsum"])
 
-    above = nodes.select("w", "n", "tw")
-    beside = nodes.select(F.col("w").alias("u"), "tu")
-    rows = cells.join(beside, "u").join(above, "w").select("w", "u", "c", "tsum", "n", "tw", "tu")
-    return rows.mapInArrow(lean(run), "w long, u long, c long, t long, tsum long")
+def _dealt(run, *frames: DataFrame) -> DataFrame:
+    """``run`` over the rows of all frames, bucket by bucket and in the order of their ids."""
+    rows = frames[0]
+    for x in frames[1:]:
+        rows = rows.unionAll(x)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(lean(run), _KIND_ROWS)
 
 
-def _resummed(cells: DataFrame, nodes: DataFrame, totals: Totals, discounts: tuple[float, float], sweep: int, keep: bool) -> DataFrame:
-    """The nodes after a sweep of the cells: their words seated above anew; ``keep`` adds them to the samples."""
-    seed = np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
-    names = ["w", "c", "cu", "n1", "s1", "n", "tw", "tu", "ns", "tws", "tus"]
+def _groups(several: DataFrame, group_bits: int, class_bits: int) -> DataFrame:
+    """The cells of every group, with what they share: its words, and which of them each class has to answer for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in _each(batches):
+            cells = _unpacked(rows.column("a"), _SEVERAL)[1]
+            words, places, mixed = [], [], []
+            for name in ("w", "u"):
+                x = np.ascontiguousarray(cells[name]).view(np.uint64)
+                m = _mix(x)
+                found, place = _distinct(m)
+                words.append(x[found])
+                places.append(place)
+                mixed.append(m[found])
+            yield _one_row(_CELLS, group, -3, *words)
+            yield _one_row(_CELLS, group, -2, np.concatenate(places), np.ascontiguousarray(cells["c"]))
+            lengths = [_by_class(m, class_bits) for m in mixed]
+            some = np.flatnonzero(lengths[0] + lengths[1])
+            yield _as_rows(_ROUTES, some, group, *(_packed(n[some], m, "<u8") for n, m in zip(lengths, mixed, strict=True)))
+
+    several = several.select(F.shiftright("bucket", _BUCKET_BITS - group_bits).alias("bucket"), F.col("bucket").cast("long").alias("id"), "a", "n")
+    return _dealt(run, several)
+
+
+def _classes(sums: DataFrame, routes: DataFrame, class_bits: int) -> DataFrame:
+    """The words of every class, with one table for every cell and one above, and their first messages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _each(batches):
+            ids = _longs(rows.column("id"))
+            sums = _values(rows, ids < 0, "a", _SUM)
+            mixed = _mix(np.ascontiguousarray(sums["w"]).view(np.uint64))
+            order = np.argsort(mixed)
+            first = _begins(mixed[order])
+            mixed = mixed[order][first]
+            at = {x: np.add.reduceat(sums[x][order], first) for x in ("c", "cu", "n1", "s1", "n", "tu")}
+            words = np.empty(len(first), dtype=_WORD)
+            words["w"], words["c"], words["cu"] = sums["w"][order][first].view(np.uint64), at["c"], at["cu"]
+            n = at["n"]
+            known = np.array([at["c"].sum(), at["n1"].sum(), (n == 1).sum(), (n == 2).sum(), (n > 0).sum(), n.sum(), (n > 0).sum()], dtype=np.int64)
+            yield _one_row(_WORDS, number, -1, words, known)
+            yield _one_row(_STATIC, number, -3, np.ascontiguousarray(words["w"]), np.empty(0))
+            yield _one_row(_STATIC, number, -2, at["n1"], at["s1"])
+            groups = ids[ids >= 0]
+            routes = rows.slice(len(ids) - len(groups))
+            places, answers = [], []
+            for column, x in (("a", n), ("n", at["tu"])):
+                lengths, asked = _unpacked(routes.column(column), "<u8")
+                place = np.searchsorted(mixed, asked)
+                places.append(_packed(lengths, place, "<u4"))
+                answers.append(_packed(lengths, x[place], "<f8"))
+            yield _as_rows(_STATIC, number, groups, *places)
+            yield _as_rows(_MESSAGES, groups, number, *answers)
+
+    sums = sums.select(F.shiftright("bucket", _BUCKET_BITS - class_bits).alias("bucket"), F.lit(-1).cast("long").alias("id"), "a", "n")
+    return _dealt(run, sums, routes)
+
+
+def _seed(sweep: int) -> np.uint64:
+    return np.uint64((sweep * 0x632BE59BD9B4E019) & ((1 << 64) - 1))
+
+
+def _swept(frames: list[DataFrame], totals: Totals, discounts: tuple[float, float], sweep: int, class_bits: int, samples: int, last: bool) -> DataFrame:
+    """The cells of several customers, seated anew: tables per word and context go back to the classes.
+
+    ``samples`` counts those that this sweep completes; with any, sums of the cells' tables are kept too, in the last
+    sweep what the cells are worth.
+    """
+    seed = _seed(sweep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in _each(batches):
+            ids = _longs(rows.column("id"))
+            w, u = (_values(rows, ids == -3, x, "<u8") for x in ("a", "n"))
+            at, beside = _values(rows, ids == -2, "a", "<u4").reshape(2, -1)
+            c = _values(rows, ids == -2, "n", "<i8")
+            above, tu = (_values(rows, ids >= 0, x, "<f8") for x in ("a", "n"))
+            model = Model(replace(totals, customers=np.zeros(len(u)), tables=tu), discounts)
+            parent = model.parent_of(above - model.d1 if sweep == 1 else above)  # at first one table each
+            cell_w, cell_u = w[at], u[beside]
+            t = seat(c, model.strength[beside] * parent[at], model.d2, _key(cell_w ^ seed, cell_u))
+            packed = []
+            for words, place in ((w, at), (u, beside)):
+                tables = np.bincount(place, t, minlength=len(words))  # whole numbers below 2^53
+                packed.append((_by_class(_mix(words), class_bits), tables))
+            some = np.flatnonzero(packed[0][0] + packed[1][0])
+            yield _as_rows(_TABLES, some, _WORD_BUCKETS + group, *(_packed(n[some], x, "<i8") for n, x in packed))
+            if samples:
+                t = t + _values(rows, ids == -1, "a", "<i8") if (ids == -1).any() else t
+                if not last:
+                    yield _one_row(_SAMPLE, group, -1, t, np.empty(0))
+                    continue
+                out = np.empty(len(c), dtype=_WORTH)
+                out["key"], out["v"] = _key(cell_w, cell_u), c - model.d2 * t / samples
+                bucket, lengths = _buckets(out["key"])
+                yield _as_rows(_SAMPLE, bucket, _MODEL, packed_ := _packed(lengths, out, _WORTH), pa.nulls(len(packed_), pa.binary()))
+
+    return _dealt(run, *frames)
+
+
+def _resummed(frames: list[DataFrame], totals: Totals, discounts: tuple[float, float], sweep: int) -> DataFrame:
+    """The words of all classes after a sweep of the cells, seated above anew, and their messages to the cells."""
+    seed = _seed(sweep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(totals, discounts)
-        for batch in batches:
-            w, n = _longs(batch.column("w")), _longs(batch.column("n"))
-            if not len(w):
-                continue
-            tw = seat(n, np.full(len(w), model.parent_strength * model.base), model.d1, _mix(w.view(np.uint64) ^ seed))
+        for number, rows in _each(batches):
+            ids = _longs(rows.column("id"))
+            w = _values(rows, ids == -3, "a", "<u8")
+            routes, back = (ids >= 0) & (ids < _WORD_BUCKETS), ids >= _WORD_BUCKETS
+            groups, asked, own = ids[routes], [], []
+            for column in ("a", "n"):
+                lengths, place = _unpacked(rows.column(column).take(pa.array(np.flatnonzero(routes))), "<u4")
+                once = _values(rows, ids == -2, column, "<i8")
+                own.append(once + np.bincount(place, _values(rows, back, column, "<i8"), minlength=len(w)).astype(np.int64))
+                asked.append((lengths, place))
+            n, tu = own
+            tw = seat(n, np.full(len(w), model.parent_strength * model.base), model.d1, _mix(w ^ seed))
             tw = np.where(n > 0, tw, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(tw) if x == "tw" else batch.column(x) for x in names], names=names)
+            known = np.array([0, 0, 0, 0, (n > 0).sum(), n.sum(), tw.sum()], dtype=np.int64)
+            yield _one_row(_SAMPLE, number, sweep, np.concatenate([n, tw, tu]), known)
+            answers = (_packed(lengths, x[place], "<f8") for x, (lengths, place) in zip((n - model.d1 * tw, tu), asked, strict=True))
+            yield _as_rows(_MESSAGES, groups, number, *answers)
+
+    return _dealt(run, *frames)
+
+
+def _known(rows: DataFrame) -> np.ndarray:
+    """Training tokens, cells of one customer, words above of one and of two customers; words, and customers and tables above."""
+    return sum((np.frombuffer(r["n"], dtype="<i8") for r in rows.select("n").toLocalIterator()), start=np.zeros(7, dtype=np.int64))
 
-    none = F.lit(0).cast("long")
-    both = cells.select("w", F.col("t").alias("nt"), none.alias("tt")).unionAll(cells.select(F.col("u").alias("w"), none.alias("nt"), F.col("t").alias("tt")))
-    sums = both.groupBy("w").agg(F.sum("nt").alias("nt"), F.sum("tt").alias("tt"))
-    n = F.col("n1") + F.coalesce("nt", F.lit(0))
-    tu = F.col("s1") + F.coalesce("tt", F.lit(0))
-    rows = nodes.join(sums, "w", "left").withColumns({"n": n, "tu": tu}).select(*names).mapInArrow(lean(run), _NODE)
-    if keep:
-        rows = rows.withColumns({x + "s": F.concat(x + "s", F.array(x)) for x in ("n", "tw", "tu")})
-    return rows
+
+def _totals(known: np.ndarray) -> Totals:
+    none = np.empty(0)
+    return Totals(int(known[4]), float(known[5]), float(known[6]), none, none)
 
 
 def _answered(queries: DataFrame, model: DataFrame, answer) -> DataFrame:
@@ -550,38 +690,18 @@ def _answered(queries: DataFrame, model: DataFrame, answer) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(lean(run), "id long, v binary")
 
 
-def _model_rows(df: DataFrame, columns: list[str], kind: np.dtype, values) -> DataFrame:
-    """The rows of a table packed by bucket; ``values(*columns)`` gives buckets' keys and packed values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _gathered(batches):
-            key, out = values(*(np.concatenate([_longs(b.column(x)) for b in group]) for x in columns))
-            order = np.argsort(key)
-            bucket, lengths = _buckets(key[order])
-            bucket = bucket.astype(np.int64) + (_WORD_BUCKETS if "c" in kind.names else 0)
-            yield from _rows(bucket, lengths, np.full(len(bucket), _MODEL), out[order], kind)
-
-    return df.select(*columns).mapInArrow(lean(run), _ROWS)
-
-
-def _cells_answered(queries: DataFrame, cells: DataFrame, discount: float, samples: int) -> DataFrame:
+def _cells_answered(queries: DataFrame, cells: DataFrame, discount: float) -> DataFrame:
     """For every row of cells: customers less the discounted tables, averaged."""
-    kind = np.dtype([("key", "<u8"), ("v", "<f4")])
-
-    def values(w, u, c, tsum):
-        out = np.empty(len(w), dtype=kind)
-        out["key"], out["v"] = _key(w.view(np.uint64), u.view(np.uint64)), c - discount * tsum / max(1, samples)
-        return out["key"], out
 
     def answer(known: pa.RecordBatch, query: pa.RecordBatch) -> pa.Array:
-        model = np.sort(_unpacked(known.column("a"), kind)[1], order="key")
+        model = np.sort(_unpacked(known.column("a"), _WORTH)[1], order="key")
         asked = _unpacked(query.column("a"), "<u8")[1]
         lengths, code = _unpacked(query.column("n"), "<u1")
         v = np.where(code == 0, 0.0, 1 - discount)  # a cell of one customer has one table
         v[code == 2] = model["v"][np.searchsorted(model["key"], asked)]
         return _packed(lengths, v, "<f4")
 
-    return _answered(queries, _model_rows(cells, ["w", "u", "c", "tsum"], kind, values), answer)
+    return _answered(queries, cells, answer)
 
 
 def _word_kind(samples: int) -> np.dtype:
@@ -590,7 +710,12 @@ def _word_kind(samples: int) -> np.dtype:
     return np.dtype([("w", "<u8"), ("c", "<i8"), ("all", "<f4"), ("p", "<f4", (samples,)), ("back_off", "<f4", (samples,))])
 
 
-def _words_answered(queries: DataFrame, nodes: DataFrame, samples: list[Totals], discounts: tuple[float, float]) -> DataFrame:
+def _answer_kind(samples: int) -> np.dtype:
+    """As _word_kind(), without the word."""
+    return np.dtype(_word_kind(samples).descr[1:])
+
+
+def _words_answered(queries: DataFrame, words: list[DataFrame], samples: list[Totals], discounts: tuple[float, float]) -> DataFrame:
     """For every row of words what their probabilities are made of."""
     kind = _word_kind(len(samples))
 
@@ -603,9 +728,14 @@ def _words_answered(queries: DataFrame, nodes: DataFrame, samples: list[Totals],
             out["p"][:, k], out["back_off"][:, k] = model.parent(n, tw), model.back_off()
         return out
 
-    def values(w, c, cu, *each):
-        words = w.view(np.uint64)
-        return _mix(words), filled(words, c, cu, each)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _each(batches):
+            ids = _longs(rows.column("id"))
+            own = _values(rows, ids < 0, "a", _WORD)
+            each = _values(rows, ids >= 0, "a", "<i8").reshape(3 * len(samples), -1)
+            out = filled(own["w"], own["c"], own["cu"], each)
+            bucket, lengths = _buckets(_mix(own["w"]))
+            yield _as_rows(0, bucket.astype(np.int64) + _WORD_BUCKETS, _MODEL, packed := _packed(lengths, out, kind), pa.nulls(len(packed), pa.binary()))
 
     none = np.zeros(1)
     unknown = filled(np.zeros(1, dtype=np.uint64), none, none, [none] * 3 * len(samples))
@@ -614,20 +744,18 @@ def _words_answered(queries: DataFrame, nodes: DataFrame, samples: list[Totals],
         model = _unpacked(known.column("a"), kind)[1]
         model = model[np.argsort(model["w"])]
         lengths, asked = _unpacked(query.column("a"), "<u8")
-        out = np.repeat(unknown, len(asked))
-        if len(model):
-            at = np.minimum(np.searchsorted(model["w"], asked), len(model) - 1)
-            there = model["w"][at] == asked
-            out[there] = model[at[there]]
-        return _packed(lengths, out, kind)
+        at = np.searchsorted(model["w"], asked)
+        at[np.append(model["w"], 0)[at] != asked] = len(model)
+        out = np.empty(len(asked), dtype=_answer_kind(len(samples)))
+        for name in out.dtype.names:
+            out[name] = np.concatenate([model[name], unknown[name]])[at]
+        return _packed(lengths, out, out.dtype)
 
-    parts = [(x, k) for k in range(len(samples)) for x in ("ns", "tws", "tus")]
-    rows = nodes.select("w", "c", "cu", *(F.col(x)[k].alias(f"{x}{k}") for x, k in parts))
-    return _answered(queries, _model_rows(rows, rows.columns, kind, values), answer)
+    return _answered(queries, _dealt(run, *words).drop("kind"), answer)
 
 
 def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, tokens: int, vocabulary: int, samples: int) -> DataFrame:
-    kind = _word_kind(samples)
+    kind = _answer_kind(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
@@ -644,7 +772,7 @@ def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, to
             if tables is None:
                 found = [pafs.FileSystem.from_uri(f) for f in folders]
                 tables = [ds.dataset(f"{root}/task={task}", filesystem=fs, format="parquet") for fs, root in found]
-            chunk = Chunk(x for b in group for x in text_bytes(b))
+            chunk = Chunk(group)
             order, cell, key = chunk.cells()
             lengths, value = _unpacked(own(1, number), "<f4")
             if len(value) != len(cell) or not (lengths == _buckets(key)[1]).all():
@@ -680,8 +808,19 @@ def _scored(documents: DataFrame, folders: tuple[str, str], chunk_bytes: int, to
     )
 
 
+def _twice(cells: DataFrame) -> int:
+    """Cells of two customers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int((_unpacked(batch.column("n"), "<i8")[1] == 2).sum())], pa.int64())], names=["twice"])
+
+    return cells.filter("id = -2").select("n").mapInArrow(lean(run), "twice long").agg(F.sum("twice")).first()[0] or 0
+
+
 def language_scores(
-    documents: DataFrame, stable: bool = False, sweeps: int = SWEEPS, burn: int = BURN, chunk_bytes: int = CHUNK_BYTES
+    documents: DataFrame, stable: bool = False, sweeps: int = SWEEPS, burn: int = BURN, chunk_bytes: int = CHUNK_BYTES,
+    group_cells: int = GROUP_CELLS, class_sums: int = CLASS_SUMS,
 ) -> DataFrame:
     """One row per document row: log10 probability of its text under the model, and the base's.
 
@@ -696,38 +835,51 @@ def language_scores(
     rows = documents.select("doc_id", "text", held_out.alias("held_out"))
     if not stable:
         rows = written(rows, "lm-documents")
-    counts = written(_reduced(_counted(rows, chunk_bytes)), "lm-counts", compression="zstd")
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    nodes = written(_nodes(_as_columns(counts.filter(F.col("id") == _SUM_ROWS), _SUM)), "lm-words")
-    several = _as_columns(counts.filter(F.col("id") == _SEVERAL_ROWS), _SEVERAL)
-    cells = written(several.select("w", "u", "c", one.alias("t"), none.alias("tsum")), "lm-several")
+    counts = written(_reduced(_counted(rows, chunk_bytes)), "lm-counts", compression="zstd", **_PLAIN)
+    several, sums = (counts.filter(F.col("id") == x) for x in (_SEVERAL_ROWS, _SUM_ROWS))
+    sizes = {r[0]: r[1] for r in counts.filter(F.col("id") < 0).groupBy("id").agg(F.sum(F.octet_length("a"))).collect()}
+    bits = lambda rows, kind, most: min(_BUCKET_BITS, max(_LEAST_BITS, math.ceil(math.log2(max(1, sizes.get(rows, 0) / kind.itemsize / most)))))
+    group_bits, class_bits = bits(_SEVERAL_ROWS, _SEVERAL, group_cells), bits(_SUM_ROWS, _SUM, class_sums)
+    groups = _Kinds(_groups(several, group_bits, class_bits), "lm-cells")
+    classes = _Kinds(_classes(sums, groups(_ROUTES), class_bits), "lm-words")
     # Discounts from how many cells, and how many words above, have one and two customers.
-    sums = nodes.agg(F.sum("c"), F.sum("n1"), *(F.sum((F.col("n") == n).cast("long")) for n in (1, 2))).first()
-    tokens, once, above_once, above_twice = (int(x or 0) for x in sums)
-    twice = cells.filter("c = 2").count()
+    known = _known(classes(_WORDS))
+    tokens, once, above_once, above_twice = (int(x) for x in known[:4])
+    twice = _twice(groups(_CELLS))
     discount = lambda once, twice: min(0.95, max(0.05, once / max(1.0, once + 2 * twice)))
     discounts = (discount(above_once, above_twice), discount(once, twice))
-    totals = _totals(nodes)
-    samples = []
+    totals = _totals(known)
+    groups.release(_ROUTES)
+    samples, words, messages, before = [], [classes(_WORDS)], classes, None
+    done: list[_Kinds] = [groups, classes]
     for sweep in range(1, sweeps + 1):
-        keep = sweep > burn
-        after = _swept(cells, nodes, totals, discounts, sweep)
-        after = written(after.withColumn("tsum", F.col("tsum") + F.col("t")) if keep else after, "lm-several")
-        above = written(_resummed(after, nodes, totals, discounts, sweep, keep), "lm-words")
-        drop(spark, cells, nodes)
-        cells, nodes, totals = after, above, _totals(above)
-        samples += [totals] * keep
+        n_samples, last = max(0, sweep - burn), sweep == sweeps
+        frames = [groups(_CELLS), messages(_MESSAGES), *([before(_SAMPLE)] if before else [])]
+        after = _Kinds(_swept(frames, totals, discounts, sweep, class_bits, n_samples, last), "lm-tables")
+        messages.release(_MESSAGES)
+        if before:
+            before.release(_SAMPLE)
+        messages = _Kinds(_resummed([classes(_STATIC), after(_TABLES)], totals, discounts, sweep), "lm-messages")
+        after.release(_TABLES)
+        totals = _totals(_known(messages(_SAMPLE)))
+        done += [after, messages]
+        if n_samples:
+            before = after
+            words.append(messages(_SAMPLE))
+            samples.append(totals)
+    for x, kind in ((groups, _CELLS), (classes, _STATIC), (messages, _MESSAGES)):
+        x.release(kind)
     task = F.shiftright("id", _TASK_BITS).cast("int")
     queries = counts.filter("id >= 0")
     answers = (
-        _words_answered(queries.filter(F.col("bucket") >= _WORD_BUCKETS), nodes, samples, discounts),
-        _cells_answered(queries.filter(F.col("bucket") < _WORD_BUCKETS), cells, discounts[1], len(samples)),
+        _words_answered(queries.filter(F.col("bucket") >= _WORD_BUCKETS), words, samples, discounts),
+        _cells_answered(queries.filter(F.col("bucket") < _WORD_BUCKETS), before(_SAMPLE), discounts[1]),
     )
     folders = scratch(spark, "lm-words-asked"), scratch(spark, "lm-cells-asked")
     with shuffles_released(spark):
         for folder, rows_ in zip(folders, answers, strict=True):
             rows_.repartition(task).withColumn("task", task).sortWithinPartitions("task", "id").write.partitionBy("task").parquet(folder)
-    drop(spark, counts, cells, nodes)
+    drop(spark, counts, *done)
     return _scored(rows, folders, chunk_bytes, tokens, samples[-1].words, len(samples))
 
 
